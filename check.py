@@ -25,6 +25,7 @@ def main() -> int:
     catalog.load_all()
     names = sys.argv[2:] or list(catalog.QUERIES)
     spark = local_session(8)
+    spark.sparkContext.setLogLevel("OFF")
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
@@ -53,7 +54,7 @@ def main() -> int:
                 print("   check ", [str(x)[:300] for x in sorted(b - a)[:2]])
         except Exception as e:  # noqa: BLE001
             bad += 1
-            print(f"FAIL  {name:32} {type(e).__name__}: {str(e)[:600]}", flush=True)
+            print(f"FAIL  {name:32} {type(e).__name__}: {str(e)[:900]}", flush=True)
     print(f"{len(names)} queries, {bad} bad")
     return bad
 

@@ -54,19 +54,15 @@ def shape_matches(surface: Column, any_case: bool = False) -> Column:
 
     ``any_case`` also takes a number before a lower-case word for an address.
     """
-    found = [
-        F.transform(
-            regex_spans(surface, pattern),
-            lambda s, shape=shape, rank=rank: F.struct(
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-                s["value"].alias("value"),
-                F.lit(shape).alias("shape"),
-                F.lit(rank).alias("rank"),
-            ),
-        )
-        for rank, (shape, pattern) in enumerate(_shapes(any_case))
-    ]
+
+    def spans(rank: int, shape: str, pattern: str) -> Column:
+        def row(s: Column) -> Column:
+            place = [s[c].alias(c) for c in ("start", "end", "value")]
+            return F.struct(*place, F.lit(shape).alias("shape"), F.lit(rank).alias("rank"))
+
+        return F.transform(regex_spans(surface, pattern), row)
+
+    found = [spans(rank, *shape) for rank, shape in enumerate(_shapes(any_case))]
     chosen = leftmost_longest(F.concat(*found), MATCH, "rank")
     return F.when(surface.rlike("[0-9@]"), chosen).otherwise(F.array().cast(MATCH))
 
