@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -33,12 +34,13 @@ FOLDED = T.StructType(
 )
 
 _CANON = {ord(c): group[0] for group in (APOSTROPHES, DASHES) for c in group}
-_UNIT = re.compile(f"[{INVISIBLE}]|[{WHITE}][{WHITE}{INVISIBLE}]*|.", re.S)
+_UNIT = re.compile(f"[{INVISIBLE}]|[{WHITE}][{WHITE}{INVISIBLE}]*|[!-~]+|.", re.S)
+_UNEVEN = re.compile(f"[{WHITE[:5]}]|  ")
 _NUMBER = re.compile(r"[0-9]+(?:[" + re.escape(SEPARATORS) + "]{1,%d}[0-9]+)*" % GAP)
 
 
 def is_word(ch: str) -> bool:
-    return bool(ch) and (ch == "_" or unicodedata.category(ch)[0] in "LN")
+    return ch.isalnum() or ch == "_"
 
 
 def digit(ch: str) -> str | None:
@@ -47,8 +49,10 @@ def digit(ch: str) -> str | None:
     return folded if len(folded) == 1 and folded in "0123456789" else None
 
 
-def fold(text: str) -> tuple[str, list[int], list[int]]:
+def fold(text: str) -> tuple[str, Sequence[int], Sequence[int]]:
     """The folded text, and for each of its characters the start and end of the original characters it came from."""
+    if text.isascii() and not _UNEVEN.search(text):
+        return text.lower(), range(len(text)), range(1, len(text) + 1)
     out: list[str] = []
     starts: list[int] = []
     ends: list[int] = []
@@ -59,16 +63,22 @@ def fold(text: str) -> tuple[str, list[int], list[int]]:
         if unit[0] in INVISIBLE:
             pos = end
             continue
+        if "!" <= unit[0] <= "~":
+            # A run of plain characters; the last one may carry a mark and then belongs to the next unit.
+            if len(unit) > 1 and end < size and unicodedata.category(text[end])[0] == "M":
+                unit, end = unit[:-1], end - 1
+            if len(unit) > 1 or end == size or unicodedata.category(text[end])[0] != "M":
+                out.append(unit.lower())
+                starts += range(pos, end)
+                ends += range(pos + 1, end + 1)
+                pos = end
+                continue
         if unit[0] in WHITE:
             folded = " "
         else:
             while end < size and unicodedata.category(text[end])[0] == "M":
                 end += 1
-            cluster = text[pos:end]
-            if len(cluster) == 1 and cluster.isascii():
-                folded = cluster.lower()
-            else:
-                folded = unicodedata.normalize("NFKC", cluster.translate(_CANON)).upper().lower()
+            folded = unicodedata.normalize("NFKC", text[pos:end].translate(_CANON)).upper().lower()
         out.append(folded)
         starts += [pos] * len(folded)
         ends += [end] * len(folded)
@@ -96,26 +106,23 @@ def nfc_lower(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else v.lower() if v.isascii() else text_key(v))
 
 
-def text_windows(text: str, lengths: frozenset[int]) -> list[tuple[int, int, str]]:
-    """Folded stretches of the wanted lengths that start and end where a stored value may start and end."""
+def text_windows(text: str, lengths: Mapping[str, Sequence[int]]) -> list[tuple[int, int, str]]:
+    """Folded stretches that start and end where a stored value may start and end.
+
+    ``lengths`` gives, by the first character of a value, the lengths that occur.
+    """
     norm, starts, ends = fold(text)
-    size = len(norm)
-    prev = [starts[i] == 0 or not is_word(text[starts[i] - 1]) for i in range(size)]
-    after = [ends[i] >= len(text) or not is_word(text[ends[i]]) for i in range(size)]
-    word = [is_word(c) for c in norm]
-    begin = [i for i in range(size) if prev[i] or not word[i]]
-    stop = {i + 1 for i in range(size) if after[i] or not word[i]}
-    longest = max(lengths, default=0)
-    stops = sorted(stop)
-    out, first = [], 0
-    for b in begin:
-        while first < len(stops) and stops[first] <= b:
-            first += 1
-        for e in stops[first:]:
-            if e - b > longest:
-                break
-            if e - b in lengths:
-                out.append((starts[b], ends[e - 1], norm[b:e]))
+    size, total, out = len(norm), len(text), []
+    for i, first in enumerate(norm):
+        if first not in lengths:
+            continue
+        start = starts[i]
+        if start and is_word(first) and is_word(text[start - 1]):
+            continue
+        for n in lengths[first]:
+            j = i + n
+            if j <= size and (ends[j - 1] == total or not (is_word(norm[j - 1]) and is_word(text[ends[j - 1]]))):
+                out.append((start, ends[j - 1], norm[i:j]))
     return out
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.functions import folding
-from textloom.functions.text import SPACES, SPAN, blank_spans, js_trim, leftmost_longest, regex_spans
+from textloom.functions.text import SPACES, SPAN, blank_spans, js_trim, leftmost_longest, let, regex_spans
 
 # Shapes in tie order, attributes that hold no data, token forms.
 _SEP = r"[-\x{2010}-\x{2015} ]"
@@ -34,9 +34,10 @@ MATCH = "array<struct<start:int,end:int,value:string,shape:string,rank:int>>"
 
 def scan_surface(text: Column) -> Column:
     """The text with everything blanked that holds no page data: styling attributes, URL ports, tokens already given out."""
+    # A plain search for a part every match must hold spares most texts the regular expressions.
     out = F.coalesce(text, F.lit(""))
-    for pattern in (SKIPPED_ATTRIBUTES, URL_PORT, OWN_TOKEN):
-        out = blank_spans(out, pattern)
+    for part, pattern in (("=", SKIPPED_ATTRIBUTES), ("://", URL_PORT), (OWN_TOKEN[:6], OWN_TOKEN)):
+        out = let(out, lambda t: F.when(F.contains(t, F.lit(part)), blank_spans(t, pattern)).otherwise(t))
     return out
 
 
@@ -44,27 +45,30 @@ def _shapes(any_case: bool) -> tuple[tuple[str, str], ...]:
     return tuple((n, p.replace(_WORD, _ANY_WORD) if any_case else p) for n, p in SHAPES)
 
 
-def has_shape(surface: Column, any_case: bool = False) -> Column:
-    """Whether any shape occurs at all."""
-    return surface.rlike("|".join(f"(?:{p})" for _, p in _shapes(any_case)))
-
-
 def shape_matches(surface: Column, any_case: bool = False) -> Column:
     """All values that look like personal data, without overlaps, in text order.
 
     ``any_case`` also takes a number before a lower-case word for an address.
     """
 
-    def spans(rank: int, shape: str, pattern: str) -> Column:
+    def spans(t: Column, rank: int, shape: str, pattern: str) -> Column:
         def row(s: Column) -> Column:
             place = [s[c].alias(c) for c in ("start", "end", "value")]
             return F.struct(*place, F.lit(shape).alias("shape"), F.lit(rank).alias("rank"))
 
-        return F.transform(regex_spans(surface, pattern), row)
+        return F.transform(regex_spans(t, pattern), row)
+
+    none = F.array().cast(MATCH)
+
+    def group(t: Column, mail: bool) -> Column:
+        parts = [spans(t, rank, *shape) for rank, shape in enumerate(_shapes(any_case)) if (shape[0] == "email") == mail]
+        present = F.contains(t, F.lit("@")) if mail else t.rlike("[0-9]")
+        return F.when(present, F.concat(*parts)).otherwise(none)
+
+    def found(t: Column) -> Column:
+        return let(F.concat(group(t, False), group(t, True)), lambda m: F.when(F.size(m) > 0, leftmost_longest(m, MATCH, "rank")).otherwise(none))
 
-    found = [spans(rank, *shape) for rank, shape in enumerate(_shapes(any_case))]
-    chosen = leftmost_longest(F.concat(*found), MATCH, "rank")
-    return F.when(surface.rlike("[0-9@]"), chosen).otherwise(F.array().cast(MATCH))
+    return let(surface, found)
 
 
 def decision_value(value: Column) -> Column:

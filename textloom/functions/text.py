@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,14 +19,16 @@ SPACES = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\
 BOM = r"\x{FEFF}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def regex_spans(text: Column, pattern: str) -> Column:
     """Every match of ``pattern`` with its character offsets. The pattern must not match empty text.
 
     Matches and the gaps between them line up, so offsets are running sums of their lengths.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    pairs = F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(0))).alias("gap"))
     empty = F.array().cast(SPAN)
 
     def step(acc: Column, x: Column) -> Column:
@@ -35,31 +37,42 @@ def regex_spans(text: Column, pattern: str) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"))
         return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.regexp(text, F.lit(pattern)), found).otherwise(empty)
+    def found(t: Column) -> Column:
+        hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        # Past the last match the gaps hold one more part, which pairs with a NULL hit and is left out.
+        pairs = F.zip_with(hits, F.split(t, pattern, -1), lambda h, g: F.struct(h.alias("hit"), F.length(g).alias("gap")))
+        pairs = F.filter(pairs, lambda x: x["hit"].isNotNull())
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    return let(text, lambda t: F.when(F.regexp(t, F.lit(pattern)), found(t)).otherwise(empty))
 
 
 def blank_spans(text: Column, pattern: str) -> Column:
     """Overwrite every match with as many spaces, so later offsets still point into the original text."""
-    gaps = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    blanks = F.transform(hits, lambda h: F.repeat(F.lit(" "), F.length(h)))
-    joined = F.array_join(F.flatten(F.zip_with(gaps, blanks, lambda g, b: F.array(g, F.coalesce(b, F.lit(""))))), "")
-    return F.when(F.regexp(text, F.lit(pattern)), joined).otherwise(text)
+
+    def blanked(t: Column) -> Column:
+        hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        pieces = F.zip_with(F.split(t, pattern, -1), hits, lambda g, h: F.concat(g, F.repeat(F.lit(" "), F.coalesce(F.length(h), F.lit(0)))))
+        return F.array_join(pieces, "")
+
+    return let(text, lambda t: F.when(F.regexp(t, F.lit(pattern)), blanked(t)).otherwise(t))
 
 
 def rebuild(text: Column, spans: Column) -> Column:
     """Replace sorted, non-overlapping spans by their ``token`` field."""
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substr(text, acc["pos"] + 1, s["start"] - acc["pos"])
-        return F.struct(F.concat(acc["out"], kept, s["token"]).alias("out"), s["end"].alias("pos"))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substr(text, acc["pos"] + 1, F.length(text)))
+    def filled(t: Column, found: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            kept = F.substr(t, acc["pos"] + 1, s["start"] - acc["pos"])
+            return F.struct(F.concat(acc["out"], kept, s["token"]).alias("out"), s["end"].alias("pos"))
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, finish)).otherwise(text)
+        return F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substr(t, acc["pos"] + 1, F.length(t))))
+
+    # One binding for both, so that neither ends up inside the other's lambda, where a Python function could not run.
+    both = F.struct(text.alias("text"), spans.alias("spans"))
+    return let(both, lambda x: F.when(F.size(x["spans"]) > 0, filled(x["text"], x["spans"])).otherwise(x["text"]))
 
 
 def leftmost_longest(spans: Column, spans_type: str, rank: str | None = None) -> Column:
@@ -86,29 +99,30 @@ def leftmost_longest(spans: Column, spans_type: str, rank: str | None = None) ->
 def match_context(text: Column, start: Column, end: Column, lines: int = 2) -> Column:
     """Line number, the hit line cut to a window around the match, and ``lines`` clamped lines on both sides."""
     width = CONTEXT_WIDTH
-    all_lines = F.split(text, "\n", -1)
-    line = F.size(F.split(F.substr(text, F.lit(1), start), "\n", -1))
-    head = F.array_join(F.slice(all_lines, 1, line - 1), "\n")
-    col = F.when(line > 1, start - F.length(head) - 1).otherwise(start)
-    raw = F.element_at(all_lines, line)
-    lo = F.greatest(F.lit(0), col - width)
-    hi = F.least(F.length(raw), col + (end - start) + width)
-    hit = F.concat(
-        F.when(lo > 0, F.lit("… ")).otherwise(F.lit("")),
-        F.substr(raw, lo + 1, hi - lo),
-        F.when(hi < F.length(raw), F.lit(" …")).otherwise(F.lit("")),
-    )
 
     def clamp(x: Column) -> Column:
         return F.when(F.length(x) <= 2 * width, x).otherwise(F.concat(F.substring(x, 1, 2 * width), F.lit(" …")))
 
-    first = F.greatest(F.lit(1), line - lines)
-    return F.struct(
-        line.alias("line"),
-        F.transform(F.slice(all_lines, first, line - first), clamp).alias("before"),
-        hit.alias("hit"),
-        F.transform(F.slice(all_lines, line + 1, F.lit(lines)), clamp).alias("after"),
-    )
+    def window(raw: Column, col: Column) -> Column:
+        lo = F.greatest(F.lit(0), col - width)
+        hi = F.least(F.length(raw), col + (end - start) + width)
+        left = F.when(lo > 0, F.lit("… ")).otherwise(F.lit(""))
+        right = F.when(hi < F.length(raw), F.lit(" …")).otherwise(F.lit(""))
+        return F.concat(left, F.substr(raw, lo + 1, hi - lo), right)
+
+    def context(all_lines: Column, before: Column) -> Column:
+        line = F.size(before)
+        first = F.greatest(F.lit(1), line - lines)
+        return F.struct(
+            line.alias("line"),
+            F.transform(F.slice(all_lines, first, line - first), clamp).alias("before"),
+            let(F.element_at(all_lines, line), lambda raw: window(raw, F.length(F.element_at(before, -1)))).alias("hit"),
+            F.transform(F.slice(all_lines, line + 1, F.lit(lines)), clamp).alias("after"),
+        )
+
+    # The last of the lines before the match ends where the match starts, so its length is the column.
+    head = F.split(F.substr(text, F.lit(1), start), "\n", -1)
+    return let(F.split(text, "\n", -1), lambda all_lines: let(head, lambda before: context(all_lines, before)))
 
 
 def clip(text: Column, n: int = CLIP_CHARS) -> Column:

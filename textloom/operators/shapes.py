@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from textloom.functions.identifiers import (
     OWN_TOKEN,
     decision_value,
-    has_shape,
     own_token,
     scan_surface,
     shape_matches,
@@ -82,10 +81,9 @@ def mask_by_policy(
     text travels once, to meet its decided matches again. With ``raw`` a match counts only if the column of that name
     holds it too (the text may already carry tokens). ``default`` ``mask`` masks whatever nobody has decided.
     """
-    surface = scan_surface(F.col(text))
-    plain = df.where(~has_shape(surface) | F.col(text).isNull())
-    risky = df.where(has_shape(surface))
-    found = shape_matches(surface)
+    found = shape_matches(scan_surface(F.col(text)))
+    plain = df.where(F.size(found) == 0)
+    risky = df.where(F.size(found) > 0)
     if raw is not None:
         found = F.filter(found, lambda m: F.contains(F.col(raw), m["value"]))
     rows = risky.select(key, "source", F.explode(found).alias("m")).select(

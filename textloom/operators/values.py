@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions.folding import fold_key, nfc_lower
 from textloom.functions.identifiers import digits_of, is_numeric_text, NUMBER_FLOOR, norm_key, pii_id, value_problem
 from textloom.functions.text import js_trim
+from textloom.session import cut_lineage
 
 # The fields a member and a family are expected to have.
 MEMBER_FIELDS = (
@@ -41,7 +42,12 @@ def after_first_dot(c: Column) -> Column:
 
 
 def indexed_values(values: DataFrame) -> DataFrame:
-    """Rows (norm_key, family, slot, field, spelling) for every value that can be matched safely."""
+    """Rows (norm_key, family, slot, field, spelling) for every value that can be matched safely.
+
+    Every function below that reads the index takes these rows as well as a plain store.
+    """
+    if "norm_key" in values.columns:
+        return values
     v = js_trim(F.col("value"))
     rows = values.select("family", slot().alias("slot"), v.alias("spelling"))
     short = is_numeric_text(F.col("spelling")) & (F.length(digits_of(F.col("spelling"))) < NUMBER_FLOOR)
@@ -53,6 +59,11 @@ def indexed_values(values: DataFrame) -> DataFrame:
     )
 
 
+def fixed_index(values: DataFrame) -> DataFrame:
+    """The index rows, written out once, for jobs that read them several times."""
+    return cut_lineage(indexed_values(values).distinct())
+
+
 def build_value_index(values: DataFrame) -> DataFrame:
     """Distinct (norm_key, path) rows. Rows rather than arrays: a value may be shared by any number of families."""
     path = F.concat_ws(".", "family", "slot").alias("path")
