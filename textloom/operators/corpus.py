@@ -238,11 +238,11 @@ def outline(html: str | None) -> list[str]:
     tree.close()
     lines: list[str] = []
     refs = 0
-    todo = [(k, 0) for k in reversed(tree.root["kids"]) if not isinstance(k, str)]
+    todo = [(k, 0, False) for k in reversed(tree.root["kids"]) if not isinstance(k, str)]
     while todo and len(lines) <= OUTLINE_LINES:
-        node, depth = todo.pop()
+        node, depth, hidden = todo.pop()
         tag, attrs = node["tag"], node["attrs"]
-        hidden = "hidden" in attrs or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""))
+        hidden = hidden or "hidden" in attrs or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""))
         if tag in SKIPPED:
             continue
         pad, shown = "  " * min(depth, 8), False
@@ -260,7 +260,7 @@ def outline(html: str | None) -> list[str]:
             if text:
                 lines.append(pad + (f"{tag.upper()} " if tag[0] == "h" else "") + f'"{text}"')
                 shown = True
-        todo += [(k, depth + shown) for k in reversed(node["kids"]) if not isinstance(k, str)]
+        todo += [(k, depth + shown, hidden) for k in reversed(node["kids"]) if not isinstance(k, str)]
     return lines
 
 

@@ -55,7 +55,7 @@ def read_value_store(spark: SparkSession, path: str) -> DataFrame:
     if not path_exists(spark, path):
         return empty
     raw = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.[jJ][sS][oO][nN]").text(path)
+        spark.read.text(path, wholetext=True, pathGlobFilter="*.[jJ][sS][oO][nN]")
         .select(F.regexp_replace(F.lower(file_name()), r"\.json$", "").alias("family"), F.parse_json("value").alias("v"))
         .where(F.col("family").rlike("^[a-z0-9_-]+$"))
     )
@@ -124,7 +124,7 @@ def conversation_records(texts: DataFrame) -> DataFrame:
 
 def read_conversation_log(spark: SparkSession, path: str) -> DataFrame:
     """Conversation files, one conversation each."""
-    return conversation_records(spark.read.option("wholetext", True).text(path).select(file_name().alias("conv_id"), "value"))
+    return conversation_records(spark.read.text(path, wholetext=True).select(file_name().alias("conv_id"), "value"))
 
 
 def debug_records(lines: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def project_records(texts: DataFrame, tail_chars: int | None = TAIL_CHARS) -> Da
 
 
 def read_project_log(spark: SparkSession, path: str, tail_chars: int | None = TAIL_CHARS) -> DataFrame:
-    return project_records(spark.read.option("wholetext", True).text(path).select(file_path().alias("log"), "value"), tail_chars)
+    return project_records(spark.read.text(path, wholetext=True).select(file_path().alias("log"), "value"), tail_chars)
 
 
 def event_rows(lines: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def sse_chunks(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 def read_sse_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Chunks of streamed responses, one file per stream."""
-    text = spark.read.option("wholetext", True).text(path).select(file_path().alias("stream_id"), "value")
+    text = spark.read.text(path, wholetext=True).select(file_path().alias("stream_id"), "value")
     return sse_chunks(text.select("stream_id", F.posexplode(F.split("value", "\n", -1)).alias("pos", "line")), ["stream_id"])
 
 
@@ -251,7 +251,7 @@ def response_parts(texts: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read_stream_response(spark: SparkSession, path: str) -> DataFrame:
-    return response_parts(spark.read.option("wholetext", True).text(path).select(file_path().alias("response"), "value")).drop("value")
+    return response_parts(spark.read.text(path, wholetext=True).select(file_path().alias("response"), "value")).drop("value")
 
 
 # ── bundles ───────────────────────────────────────────────────────────────────
@@ -297,7 +297,7 @@ def unbundle(texts: DataFrame, form: str = "header", delimiter: str = "=" * 80)
 
 
 def read_bundle(spark: SparkSession, path: str, form: str = "header", delimiter: str = "=" * 80) -> DataFrame:
-    return unbundle(spark.read.option("wholetext", True).text(path).select(file_path().alias("bundle"), "value"), form, delimiter)
+    return unbundle(spark.read.text(path, wholetext=True).select(file_path().alias("bundle"), "value"), form, delimiter)
 
 
 # ── corpus and network artefacts ──────────────────────────────────────────────
