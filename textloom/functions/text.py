@@ -24,38 +24,45 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
 
-def regex_spans(text: Column, pattern: str) -> Column:
-    """Every match of ``pattern`` with its character offsets. The pattern must not match empty text.
+# Two characters that no text should hold; the first marks the borders of matches, the second stands in for it.
+_MARK, _OTHER = chr(0xFFFF), chr(0xFFFE)
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """Gaps and matches in turn, starting with a gap.
 
-    Matches and the gaps between them line up, so offsets are running sums of their lengths.
+    One replacement puts a mark on both sides of every match and a split on that single character takes the text apart:
+    one pass of the expression, compiled once for all rows.
     """
-    empty = F.array().cast(SPAN)
+    clean = F.when(F.contains(text, F.lit(_MARK)), F.translate(text, _MARK, _OTHER)).otherwise(text)
+    return F.split(F.regexp_replace(clean, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + x["gap"]
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    def found(t: Column) -> Column:
-        hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-        # Past the last match the gaps hold one more part, which pairs with a NULL hit and is left out.
-        pairs = F.zip_with(hits, F.split(t, pattern, -1), lambda h, g: F.struct(h.alias("hit"), F.length(g).alias("gap")))
-        pairs = F.filter(pairs, lambda x: x["hit"].isNotNull())
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
+def regex_spans(text: Column, pattern: str) -> Column:
+    """Every match of ``pattern`` with its character offsets. The pattern must not match empty text."""
+
+    def step(acc: Column, piece: Column) -> Column:
+        end = acc["pos"] + F.length(piece)
+        span = F.struct(acc["pos"].alias("start"), end.alias("end"), piece.alias("value"))
+        out = F.when(acc["hit"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        return F.struct(end.alias("pos"), (~acc["hit"]).alias("hit"), out.alias("out"))
+
+    empty = F.array().cast(SPAN)
+    zero = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hit"), empty.alias("out"))
+
+    def found(pieces: Column) -> Column:
+        return F.when(F.size(pieces) > 1, F.aggregate(pieces, zero, step, lambda acc: acc["out"])).otherwise(empty)
 
-    return let(text, lambda t: F.when(F.regexp(t, F.lit(pattern)), found(t)).otherwise(empty))
+    return let(text, lambda t: let(_pieces(t, pattern), found))
 
 
 def blank_spans(text: Column, pattern: str) -> Column:
     """Overwrite every match with as many spaces, so later offsets still point into the original text."""
 
-    def blanked(t: Column) -> Column:
-        hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-        pieces = F.zip_with(F.split(t, pattern, -1), hits, lambda g, h: F.concat(g, F.repeat(F.lit(" "), F.coalesce(F.length(h), F.lit(0)))))
-        return F.array_join(pieces, "")
+    def blank(piece: Column, i: Column) -> Column:
+        return F.when(i % 2 == 1, F.repeat(F.lit(" "), F.length(piece))).otherwise(piece)
 
-    return let(text, lambda t: F.when(F.regexp(t, F.lit(pattern)), blanked(t)).otherwise(t))
+    return let(text, lambda t: let(_pieces(t, pattern), lambda p: F.when(F.size(p) > 1, F.array_join(F.transform(p, blank), "")).otherwise(t)))
 
 
 def rebuild(text: Column, spans: Column) -> Column:

@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 from textloom.operators import corpus
 from textloom.plans.catalog import query
 from textloom.plans.inputs import load
+from textloom.session import spread
 
 _LINES = "SELECT path, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM $corpus"
 
 
 @query(f"SELECT path, line, text FROM ({_LINES}) l WHERE regexp_matches(text, '(?i)[a-z]+tion [a-z]+ly')")
 def grep_corpus(spark, folder):
-    return corpus.grep_corpus(load(spark, folder, "corpus"), "[a-z]+tion [a-z]+ly", flags="i", limit=None).select("path", "line", "text")
+    return corpus.grep_corpus(spread(load(spark, folder, "corpus")), "[a-z]+tion [a-z]+ly", flags="i", limit=None).select("path", "line", "text")
 
 
 @query(f"SELECT path, line, path || ':' || line || ':' || text AS shown FROM ({_LINES}) l WHERE regexp_matches(path, '^src1[^/]*/.*[.](md|txt)$') AND contains(text, 'the') ORDER BY path, line LIMIT 2000")
 def grep_corpus_first(spark, folder):
-    return corpus.grep_corpus(load(spark, folder, "corpus"), "the", "src1*/**.{md,txt}").select("path", "line", "shown")
+    return corpus.grep_corpus(spread(load(spark, folder, "corpus")), "the", "src1*/**.{md,txt}").select("path", "line", "shown")
 
 
 @query("SELECT path FROM $corpus WHERE regexp_matches(path, '^src[^/]*/en/[^/]*[.]md$') ORDER BY path LIMIT 5000")
@@ -44,7 +45,7 @@ def capped_paths(spark, folder):
 
 def pairs(spark, folder):
     """Every document beside a copy with edited lines."""
-    docs = load(spark, folder, "corpus")
+    docs = spread(load(spark, folder, "corpus"))
     lines = F.split("text", "\n", -1)
     edited = F.transform(F.filter(lines, lambda l, i: (i + F.col("doc_id")) % 5 != 4), lambda l, i: F.when(i % 7 == 3, F.concat(l, F.lit(" (edited)"))).otherwise(l))
     return docs.select("doc_id", "path", F.col("text").alias("old"), F.array_join(edited, "\n").alias("new"))
@@ -82,16 +83,16 @@ def unified_diff(spark, folder):
 
 @query()
 def page_outline(spark, folder):
-    pages = load(spark, folder, "SELECT page_id, html FROM $pages")
+    pages = spread(load(spark, folder, "SELECT page_id, html FROM $pages"))
     return pages.select("page_id", F.posexplode(corpus.page_outline("html")).alias("n", "line"))
 
 
 @query("""SELECT page_id, len(regexp_extract_all(html, '<a ')) AS links FROM $pages WHERE regexp_matches(html, '<a ')""")
 def outline_links(spark, folder):
-    found = corpus.find_in_outline(load(spark, folder, "SELECT page_id, html FROM $pages"), ["page_id"], r"^\s*\[e[0-9]+\] link ")
+    found = corpus.find_in_outline(spread(load(spark, folder, "SELECT page_id, html FROM $pages")), ["page_id"], r"^\s*\[e[0-9]+\] link ")
     return found.groupBy("page_id").agg(F.count("*").alias("links"))
 
 
 @query()
 def find_in_outline(spark, folder):
-    return corpus.find_in_outline(load(spark, folder, "SELECT page_id, html FROM $pages"), ["page_id"], "***")
+    return corpus.find_in_outline(spread(load(spark, folder, "SELECT page_id, html FROM $pages")), ["page_id"], "***")

@@ -11,6 +11,7 @@ from textloom.operators import shapes, values
 from textloom.plans import masking
 from textloom.plans.catalog import query
 from textloom.plans.inputs import load
+from textloom.session import spread
 
 # The key of the examples. A real one comes from a file or from the session, never from code.
 SECRET = "example key"
@@ -25,7 +26,7 @@ def hmac_sql(message: str) -> str:
 
 
 def documents(spark, folder):
-    return load(spark, folder, "SELECT doc_id, source, text FROM $documents")
+    return spread(load(spark, folder, "SELECT doc_id, source, text FROM $documents"))
 
 
 # Without look-around: one alternation takes whole runs from the left, and run lengths decide afterwards.
@@ -61,7 +62,7 @@ _FORMS = """SELECT o_orderkey AS doc_id, o_orderpriority AS source, 'Id ' || lpa
 
 
 def forms(spark, folder):
-    return load(spark, folder, _FORMS)
+    return spread(load(spark, folder, _FORMS))
 
 
 @query(f"SELECT source, shape, count(*) AS matches, count(DISTINCT norm) AS distinct_values FROM ({found_sql('(' + _FORMS + ')')}) m GROUP BY ALL")
@@ -184,6 +185,10 @@ _TIERS = f"""SELECT norm_key, count(*) AS n_paths, count(DISTINCT family) AS n_f
     CASE WHEN count(*) = 1 THEN 1 WHEN count(DISTINCT family) = 1 THEN 2 ELSE 3 END AS tier FROM ({_INDEX}) i GROUP BY norm_key"""
 
 
+def letters(spark, folder):
+    return spread(load(spark, folder, "letters"))
+
+
 def store(spark, folder):
     return load(spark, folder, "store")
 
@@ -271,19 +276,19 @@ _MASKED = f"""
 
 @query(_MASKED)
 def mask_known(spark, folder):
-    return masking.mask_known(load(spark, folder, "letters"), store(spark, folder), SECRET).select("doc_id", "text")
+    return masking.mask_known(letters(spark, folder), store(spark, folder), SECRET).select("doc_id", "text")
 
 
 @query(_MASKED)
 def mask_known_joined(spark, folder):
     """The same with the strategy for large stores."""
-    return masking.mask_known(load(spark, folder, "letters"), store(spark, folder), SECRET, small_store=0).select("doc_id", "text")
+    return masking.mask_known(letters(spark, folder), store(spark, folder), SECRET, small_store=0).select("doc_id", "text")
 
 
 @query(_MASKED)
 def mask_known_twice(spark, folder):
     """Masking what is masked already changes nothing."""
-    once = masking.mask_known(load(spark, folder, "letters"), store(spark, folder), SECRET)
+    once = masking.mask_known(letters(spark, folder), store(spark, folder), SECRET)
     return masking.mask_known(once, store(spark, folder), SECRET).select("doc_id", "text")
 
 
@@ -293,7 +298,7 @@ def mask_known_twice(spark, folder):
             UNION ALL SELECT o_orderkey, 't:town ' || (o_custkey % 50) || 'x' FROM $orders
             UNION ALL SELECT o_orderkey, 't:nick' || o_custkey || 'y' FROM $orders) x JOIN (""" + _TIERS + """) t USING (norm_key)""")
 def dictionary_candidates(spark, folder):
-    return masking.dictionary_candidates(load(spark, folder, "letters"), store(spark, folder), SECRET).select("doc_id", "norm_key", "tier")
+    return masking.dictionary_candidates(letters(spark, folder), store(spark, folder), SECRET).select("doc_id", "norm_key", "tier")
 
 
 _NOTES = """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 10 = 1 THEN 'bad @@@(n' || c_nationkey || '.c' || c_custkey || '.shoe)' WHEN o_orderkey % 10 = 2
