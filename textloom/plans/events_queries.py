@@ -228,7 +228,7 @@ def template_requests(spark, folder):
 
 
 @query(f"""
-    SELECT session, event_id, g AS "group", CASE WHEN kind <> 'new' AND g > 0 AND g % 5 > 0 THEN replace(url, '${{chat_id}}', 'new-' || session || '-' || g) ELSE url END AS url
+    SELECT session, event_id, CAST(g AS BIGINT) AS "group", CASE WHEN kind <> 'new' AND g > 0 AND g % 5 > 0 THEN replace(url, '${{chat_id}}', 'new-' || session || '-' || g) ELSE url END AS url
     FROM (SELECT *, sum(CASE WHEN kind = 'new' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY t, event_id) AS g FROM ({TEMPLATED}) x) y""")
 def replay_plan(spark, folder):
     templates = requests.template_requests(load(spark, folder, "captured"))

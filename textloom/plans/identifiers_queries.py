@@ -235,8 +235,8 @@ _COMMON = """SELECT word FROM (SELECT unnest(list_distinct(string_split(lower(te
 def value_problems(spark, folder):
     docs = documents(spark, folder)
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), " ", -1))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    total = docs.agg((F.count("*") / 4).alias("floor"))
-    common = words.join(F.broadcast(total), F.col("n") > F.col("floor")).select("word")
+    quarter = docs.agg(F.count("*") / 4).scalar()
+    common = words.where(F.col("n") > quarter).select("word")
     tried = docs.select(F.split("text", " ", -1)[0].alias("value")).where("NOT value rlike '[^A-Za-z0-9]'").distinct()
     return values.reject_common(tried, common)
 
@@ -326,13 +326,14 @@ def unmask_errors(spark, folder):
 def token_validator(spark, folder):
     """Genuine tokens out of genuine and forged ones."""
     rows = store(spark, folder)
+    index = values.fixed_index(rows)
     path = F.concat_ws(".", "family", "member", "path")
     real = rows.select(F.concat(F.lit("@@@("), path, F.lit(")")).alias("token"))
     forged = rows.select(F.concat(F.lit("@@@("), path, F.lit(".more)")).alias("token"))
-    shared = masking.shared_families(rows).where("fields = 'address.city'").groupBy("norm_key", "fields", "n_families").agg(F.min("family").alias("f"))
+    shared = masking.shared_families(index).where("fields = 'address.city'").groupBy("norm_key", "fields", "n_families").agg(F.min("family").alias("f"))
     form = lambda n, f: F.format_string("###{%s across %d families incl. %s #0123456789abcdef}", "fields", n, f).alias("token")
     tier3 = shared.select(form(F.col("n_families"), F.col("f"))).union(shared.select(form(F.col("n_families") + 100, F.col("f")))).union(shared.select(form(F.col("n_families"), F.lit("nobody"))))
-    return masking.token_validator(real.union(forged).union(tier3), rows).distinct()
+    return masking.token_validator(real.union(forged).union(tier3), rows, index).distinct()
 
 
 @query(f"""SELECT 'browser:orders@' || lower(source) AS key, count(*) AS n FROM ({_FORMS}) f GROUP BY 1""")

@@ -1,7 +1,7 @@
 """Inputs of the registered queries, derived from the given tables by plain SQL.
 
 The same text runs on Spark and on the checking engine. ``$name`` stands for another input or a table, ``@ms`` for
-the epoch milliseconds of ``ts``.
+the epoch milliseconds of ``ts``, ``@each(...)`` for one row per listed value.
 """
 
 from __future__ import annotations
@@ -113,8 +113,7 @@ INPUTS = {
                     WHEN 'alias' THEN 'NICK' || CAST(c_custkey AS STRING) || 'Y'
                     WHEN 'floor' THEN CAST(c_custkey % 90 AS STRING)
                     ELSE c_mktsegment END AS value
-        FROM $customer CROSS JOIN (SELECT 'name' AS path UNION ALL SELECT 'phone' UNION ALL SELECT 'address.city'
-             UNION ALL SELECT 'nick' UNION ALL SELECT 'alias' UNION ALL SELECT 'floor' UNION ALL SELECT 'segment') p
+        FROM (SELECT *, @each('name', 'phone', 'address.city', 'nick', 'alias', 'floor', 'segment') AS path FROM $customer) p
         UNION ALL
         SELECT 'n' || CAST(n_nationkey AS STRING), NULL, 'deers_family_id', '7000' || lpad(CAST(n_nationkey AS STRING), 3, '0') FROM $nation""",
     "letters": """
@@ -126,20 +125,21 @@ INPUTS = {
 }
 
 
-def _expand(text: str, table, ms: str) -> str:
+def _expand(text: str, table, ms: str, each: str) -> str:
     def sub(m: re.Match) -> str:
         name = m.group(1)
-        return table(name) if name in TABLES else f"({_expand(INPUTS[name], table, ms)})" if name in INPUTS else m.group(0)
+        return table(name) if name in TABLES else f"({_expand(INPUTS[name], table, ms, each)})" if name in INPUTS else m.group(0)
 
-    return re.sub(r"\$([a-z_]+)", sub, text.replace("@ms", ms))
+    text = re.sub(r"@each\(([^)]*)\)", each, text.replace("@ms", ms))
+    return re.sub(r"\$([a-z_]+)", sub, text)
 
 
 def check_sql(text: str) -> str:
     """``text`` with inputs in place, for the checking engine."""
-    return _expand(text, lambda name: name, "epoch_us(ts) // 1000").strip()
+    return _expand(text, lambda name: name, "epoch_us(ts) // 1000", r"unnest([\1])").strip()
 
 
 def load(spark: SparkSession, folder: str, text: str) -> DataFrame:
     """An input by name, or SQL over inputs, as a Spark frame."""
     sql = f"SELECT * FROM ${text}" if re.fullmatch("[a-z_]+", text) else text
-    return spark.sql(_expand(sql, lambda name: f"parquet.`{folder}/{name}.parquet`", "unix_millis(CAST(ts AS TIMESTAMP))"))
+    return spark.sql(_expand(sql, lambda name: f"parquet.`{folder}/{name}.parquet`", "unix_millis(CAST(ts AS TIMESTAMP))", r"explode(array(\1))"))

@@ -68,7 +68,7 @@ def unresolved_placeholders(spark, folder):
 
 
 @query("""SELECT event_id, greatest(greatest(coalesce(CASE WHEN k % 4 <> 0 AND k - 20 > 0 THEN k - 20 END, CASE WHEN k % 3 = 0 AND k > 0 THEN k / 2.0 END, 1),
-                 coalesce(CASE WHEN k % 3 = 0 AND k > 0 THEN k / 2.0 END, CASE WHEN k % 4 <> 0 AND k - 20 > 0 THEN k - 20 END, 1)) * 1000, 500 * pow(2, k % 6)) AS wait_ms FROM $ev""")
+                 coalesce(CASE WHEN k % 3 = 0 AND k > 0 THEN k / 2.0 END, CASE WHEN k % 4 <> 0 AND k - 20 > 0 THEN k - 20 END, 1)) * 1000.0::DOUBLE, 500 * pow(2, k % 6)) AS wait_ms FROM $ev""")
 def retry_wait(spark, folder):
     rows = load(spark, folder, "ev")
     header = F.when(F.col("k") % 4 == 0, F.lit("soon")).otherwise((F.col("k") - 20).cast("string"))
@@ -124,7 +124,7 @@ def redact_keys(spark, folder):
 
 
 @query("""SELECT event_id, 'app' || (user_id % 5) AS app, CASE WHEN k % 2 = 0 THEN 'A' || k || '.java' ELSE 'B' || k || '.java' END AS file, k % 2 = 0 AS ok,
-          CASE WHEN k % 2 = 0 THEN k / 10.0 END AS seconds, CASE WHEN k % 2 = 1 THEN 'B' || k || '.java:42 cannot find symbol' END AS error FROM $ev WHERE k % 5 > 0""")
+          CASE WHEN k % 2 = 0 THEN CAST(k AS DOUBLE) / 10 END AS seconds, CASE WHEN k % 2 = 1 THEN 'B' || k || '.java:42 cannot find symbol' END AS error FROM $ev WHERE k % 5 > 0""")
 def reload_markers(spark, folder):
     rows = load(spark, folder, """SELECT event_id, CASE WHEN k % 5 = 0 THEN props WHEN k % 2 = 0 THEN
         '=== reload app' || CAST(user_id % 5 AS STRING) || ': A' || CAST(k AS STRING) || '.java → compile OK, context rebuilt in ' || CAST(k DIV 10 AS STRING) || '.' || CAST(k % 10 AS STRING) || 's ==='
