@@ -86,7 +86,7 @@ def mask_by_policy(
     risky = df.where(F.size(found) > 0)
     if raw is not None:
         found = F.filter(found, lambda m: F.contains(F.col(raw), m["value"]))
-    rows = risky.select(key, "source", F.explode(found).alias("m")).select(
+    rows = df.select(key, "source", F.explode(found).alias("m")).select(
         key, "source", "m.start", "m.end", "m.value", decision_value(F.col("m.value")).alias("norm_value")
     )
     decided = apply_decisions(rows, decisions)
