@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.functions import folding
-from textloom.functions.text import SPACES, SPAN, blank_spans, js_trim, leftmost_longest, let, regex_spans
+from textloom.functions.text import SPACES, blank_spans, js_trim, leftmost_longest, let, regex_spans
 
 # Shapes in tie order, attributes that hold no data, token forms.
 _SEP = r"[-\x{2010}-\x{2015} ]"
