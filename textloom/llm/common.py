@@ -47,3 +47,31 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` with the columns of their group; ``groups`` has one row per key and its number of rows in ``size``.
+
+    Groups with a 2,000th of all rows or more are broadcast: there can be at most 2,000 of them. The rows of all other
+    groups meet them by a shuffle, in which no key has more than a 2,000th of the rows.
+    """
+    limit = max(1000, total // 2000)
+    hot = F.broadcast(groups.filter(F.col(size) >= limit))
+    cold = groups.filter(F.col(size) < limit)
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key, "left"))
+
+
+def key_filter(keys: DataFrame, bits: int, least: int = 1) -> DataFrame:
+    """A Bloom filter with one hash over column ``h``: (word, mask) of the positions that occur ``least`` times or more.
+
+    It has at most ``bits`` / 64 rows, whatever the number of keys. One counter per position and task is shuffled.
+    """
+    at = keys.select(F.pmod("h", F.lit(bits)).alias("at")).groupBy("at").agg(F.count("*").alias("n"))
+    return at.filter(F.col("n") >= least).groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at % 64))")).alias("mask"))
+
+
+def test_filter(rows: DataFrame, words: DataFrame, bits: int) -> DataFrame:
+    """``rows`` (with a hash in ``h``) and a column ``hit``: whether the broadcast filter may hold the key."""
+    at = F.pmod("h", F.lit(bits))
+    placed = rows.withColumn("at", at).withColumn("word", F.expr("at div 64"))
+    return placed.join(F.broadcast(words), "word", "left").withColumn("hit", F.coalesce(F.expr("(shiftright(mask, int(at % 64)) & 1L) = 1"), F.lit(False))).drop("at", "word", "mask")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, packing
+from textloom.llm import bpe, exact, packing, secrets
 from textloom.session import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,24 @@ def query(check: str | None = None):
     return register
 
 
+@query("""
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+""")
+def op3_exact(spark, folder):
+    return exact.mark_duplicates(table(spark, folder, "documents"))
+
+
+@query()
+def op5_secrets(spark, folder):
+    return secrets.scan(table(spark, folder, "documents")).select(
+        "doc_id",
+        *[secrets.count_kind(k).alias(f"n_{k}") for k in secrets.BASE],
+        F.sha2(secrets.listed(secrets.base_spans()), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query()
 def op7_bpe(spark, folder):
     coded = bpe.decode(bpe.encode(table(spark, folder, "documents"), TOKENIZER), TOKENIZER)
