@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact, packing, secrets
+from textloom.llm import ann, bpe, chunks, exact, neardup, packing, quality, secrets, suffix, warc
+from textloom.llm.common import new_folder
 from textloom.session import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,16 @@ def query(check: str | None = None):
     return register
 
 
+@query()
+def op1_graph(spark, folder):
+    return ann.nearest(table(spark, folder, "embeddings"))
+
+
+@query()
+def op2_chunks(spark, folder):
+    return chunks.dedup_chunks(table(spark, folder, "documents")).withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ","))
+
+
 @query("""
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
@@ -34,6 +45,17 @@ def op3_exact(spark, folder):
     return exact.mark_duplicates(table(spark, folder, "documents"))
 
 
+@query("""
+SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+       CASE WHEN strlen(coalesce(html, '')) < 100 OR page_id = min(page_id) OVER same THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN strlen(coalesce(html, '')) < 100 OR page_id = min(page_id) OVER same THEN NULL ELSE min(page_id) OVER same END AS refers_to
+FROM pages WINDOW same AS (PARTITION BY coalesce(html, ''))
+""")
+def op4_warc(spark, folder):
+    records = warc.archive_pages(table(spark, folder, "pages"), new_folder(spark, "warc"), with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query()
 def op5_secrets(spark, folder):
     return secrets.scan(table(spark, folder, "documents")).select(
@@ -44,6 +66,12 @@ def op5_secrets(spark, folder):
     )
 
 
+@query()
+def op6_quality(spark, folder):
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.fit(docs, quality.training_labels(table(spark, folder, "labels"))))
+
+
 @query()
 def op7_bpe(spark, folder):
     coded = bpe.decode(bpe.encode(table(spark, folder, "documents"), TOKENIZER), TOKENIZER)
@@ -58,3 +86,13 @@ def op7_bpe(spark, folder):
 @query()
 def op8_pack(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), TOKENIZER)
+
+
+@query()
+def op9_suffix(spark, folder):
+    return suffix.remove_repeats(table(spark, folder, "documents")).drop("spans")
+
+
+@query()
+def op10_minhash(spark, folder):
+    return neardup.near_duplicates(table(spark, folder, "documents"), words=4)
