@@ -250,3 +250,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     met = attach(rows.filter("digest IS NOT NULL"), placed, "digest", "n_rows", rows.count())
     out = met.select("doc_id", "n_shingles", "component_id").unionByName(rows.filter("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.expr("doc_id <=> component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the document with the smallest id.
+
+    A row without id counts as one with a larger id than all others, made from its text. Rows that share an id stay if one of
+    them does. Only rows whose id may be among those that go are shuffled; the others pass straight through.
+    """
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    key = F.coalesce(docs[id_col].cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(text), F.lit(1 << 61)))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("doc_id"), text.alias("text"))
+    found = near_duplicates(rows, words, percent)
+    gone = stash(found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept").select("doc_id"), "gone")
+    hashed = key_filter(gone.select(F.xxhash64("doc_id").alias("h")), FILTER_BITS)
+    tested = test_filter(rows.select("row", "doc_id").withColumn("h", F.xxhash64("doc_id")), hashed, FILTER_BITS)
+    stay = tested.filter("hit").join(gone, "doc_id", "left_anti")
+    return tested.filter("NOT hit").select("row.*").unionByName(stay.select("row.*"))
