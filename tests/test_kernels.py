@@ -124,7 +124,7 @@ def test_context_window(spark):
 
 def test_web_columns(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
-    assert one(web.source_key(F.lit("x"), F.lit("HTTPS://H.Example:443/p?ssn=1#a"))) == "browser:x@https://h.example/p"
+    assert one(web.source_key(F.lit("x"), F.lit("HTTPS://H.Test:443/p?ssn=1#a"))) == "browser:x@https://h.test/p"
     assert one(web.source_key(F.lit(None).cast("string"), F.lit("not a url"))) == "browser:?@not a url"
     assert one(web.classify_request(F.lit("https://h/api/v1/chats/new"))) == "new"
     assert one(web.classify_request(F.lit("https://h/pages/api/v1/chats/new"))) == "excluded"

@@ -26,6 +26,7 @@ SKIPPED_ATTRIBUTES = f"(?i){_S}(?:class|style|placeholder){_S}*={_S}*(?:\"[^\"]*
 _HOST = f"[^{SPACES}\\x{{FEFF}}/:?#]{{1,255}}"
 URL_PORT = f"(?i)(?<=:)[0-9]{{1,5}}(?<=https?://{_HOST}:[0-9]{{1,5}})"
 OWN_TOKEN = "⟦wall:[0-9a-f]{16}⟧"
+RESERVED = r"@@@\([^() \t\n\x0B\f\r]{0,200}\)|###\{[^{}]{0,400}\}"
 OWN_TOKEN_FORMAT = "⟦wall:%s⟧"
 NUMBER_FLOOR = 5
 SEPARATOR_CLASS = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in folding.SEPARATORS) + "]"

@@ -304,7 +304,7 @@ def summarize_event(kind: Column, payload: Column) -> Column:
         .when(kind == "rate-limit", F.concat(F.lit("rate-limit  →  sleep "), get("$.ms"), F.lit("ms")))
         .when(kind == "usage", F.concat(F.lit("usage  →  "), payload))
         .when(kind == "error", F.concat(F.lit("error: "), get("$.message")))
-        .otherwise(F.substring(payload, 1, 200))
+        .otherwise(clip(payload, 200))
     )
 
 

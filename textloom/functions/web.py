@@ -56,32 +56,41 @@ def html_ids(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit('id="([^"]*)"'), F.lit(1)))
 
 
-def html_change_summary(before: Column, after: Column) -> Column:
-    """Change in the number of tag openings, and the first ids that came and went."""
+def page_facts(html: Column) -> Column:
+    """What a change summary needs of a page: the number of tag openings and the ids."""
+    tags = F.length(html) - F.length(F.replace(html, F.lit("<"), F.lit("")))
+    return F.when(html.isNotNull(), F.struct(tags.alias("tags"), html_ids(html).alias("ids")))
 
-    def tags(c: Column) -> Column:
-        return F.length(c) - F.length(F.replace(c, F.lit("<"), F.lit("")))
+
+def html_change_summary(before: Column, after: Column, most: int | None = ID_CAP) -> Column:
+    """Change in the number of tag openings, and the first ``most`` ids that came and went; None for all."""
+    return facts_change_summary(page_facts(before), page_facts(after), most)
+
+
+def facts_change_summary(before: Column, after: Column, most: int | None = ID_CAP) -> Column:
+    """As ``html_change_summary``, from the facts of both pages."""
 
     def names(ids: Column) -> Column:
-        return F.when(F.size(ids) == 0, F.lit("(none)")).otherwise(F.array_join(F.slice(ids, 1, ID_CAP), ", "))
+        some = ids if most is None else F.slice(ids, 1, most)
+        return F.when(F.size(ids) == 0, F.lit("(none)")).otherwise(F.array_join(some, ", "))
 
-    delta = tags(after) - tags(before)
+    delta = after["tags"] - before["tags"]
     moved = (
         F.when(delta > 0, F.concat(F.lit("~+"), delta.cast("string"), F.lit(" tags")))
         .when(delta < 0, F.concat(F.lit("~"), delta.cast("string"), F.lit(" tags")))
         .otherwise(F.lit("no tag-count change"))
     )
-    added = F.array_except(html_ids(after), html_ids(before))
-    removed = F.array_except(html_ids(before), html_ids(after))
+    added = F.array_except(after["ids"], before["ids"])
+    removed = F.array_except(before["ids"], after["ids"])
     text = F.concat(moved, F.lit("; +ids: "), names(added), F.lit("; -ids: "), names(removed))
     return F.when(before.isNull(), F.lit("initial snapshot")).otherwise(text)
 
 
-def dom_change_summary(added: Column, removed: Column, attr: Column, cause: Column) -> Column:
-    """``+a, +b  -c  ~d``, each list cut to twelve names, after the action that caused it."""
+def dom_change_summary(added: Column, removed: Column, attr: Column, cause: Column, most: int | None = LIST_CAP) -> Column:
+    """``+a, +b  -c  ~d``, each list cut to ``most`` names (None: whole), after the action that caused it."""
 
     def part(sign: str, names: Column) -> Column:
-        signed = F.transform(F.slice(names, 1, LIST_CAP), lambda x: F.concat(F.lit(sign), x))
+        signed = F.transform(names if most is None else F.slice(names, 1, most), lambda x: F.concat(F.lit(sign), x))
         return F.when(F.size(names) > 0, F.array_join(signed, ", "))
 
     body = F.concat_ws("  ", part("+", added), part("-", removed), part("~", attr))

@@ -15,8 +15,6 @@ from pyspark.sql import types as T
 from textloom.functions.text import glob_predicate
 
 # Limits.
-GREP_LIMIT = 2000
-PATH_LIMIT = 5000
 SIZE_LIMIT = 2 * 1024 * 1024
 OUTLINE_LINES = 800
 
@@ -31,26 +29,34 @@ def capped(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
 
 
 def grep_corpus(
-    df: DataFrame, pattern: str, glob: str | None = None, flags: str = "", limit: int | None = GREP_LIMIT
+    df: DataFrame, pattern: str, glob: str | None = None, flags: str = "", limit: int | None = None, folder: str | None = None
 ) -> DataFrame:
-    """Lines matching ``pattern`` as (path, line, text, shown). The first ``limit`` by path and line; None for all.
+    """Lines matching ``pattern`` as (path, line, text, shown), below ``folder`` if one is given.
+
+    All of them; with ``limit`` the first ones by path and line, and ``truncated`` tells whether there were more.
 
     Texts without any match are dropped before they are split into lines.
     """
     own = f"(?{flags})" if flags else ""
-    out = df if glob is None else df.where(glob_predicate(F.col("path"), glob))
+    out = below(df, folder)
+    out = out if glob is None else out.where(glob_predicate(F.col("path"), glob))
     # Line by line first would split every text; a pattern without anchors can be tested on the whole text.
     if not re.search(r"[\^$]|\\[AzZbBG]|\(\?[=!<]", pattern):
         out = out.where(F.col("text").rlike(own + pattern))
     lines = out.select("path", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("_i", "text"))
     hits = lines.where(F.col("text").rlike(own + pattern)).select("path", (F.col("_i") + 1).alias("line"), "text")
     hits = hits.withColumn("shown", F.concat_ws(":", "path", F.col("line").cast("string"), "text"))
-    return hits if limit is None else hits.orderBy("path", "line").limit(limit)
+    return hits if limit is None else capped(hits, limit, ["path", "line"])
+
+
+def below(df: DataFrame, folder: str | None) -> DataFrame:
+    return df if folder is None else df.where(F.col("path").startswith(folder.rstrip("/") + "/"))
 
 
-def find_paths(df: DataFrame, glob: str, limit: int | None = PATH_LIMIT) -> DataFrame:
-    hits = df.where(glob_predicate(F.col("path"), glob)).select("path")
-    return hits if limit is None else hits.orderBy("path").limit(limit)
+def find_paths(df: DataFrame, glob: str, limit: int | None = None, folder: str | None = None) -> DataFrame:
+    """All paths that match; with ``limit`` the first ones and ``truncated``."""
+    hits = below(df, folder).where(glob_predicate(F.col("path"), glob)).select("path")
+    return hits if limit is None else capped(hits, limit, ["path"])
 
 
 def slice_lines(text: Column, offset: int | None = None, limit: int | None = None) -> Column:

@@ -6,17 +6,26 @@ Input frames have an id column, a ``source`` and a text column. Decisions are ro
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.identifiers import (
+    MATCH,
     OWN_TOKEN,
+    RESERVED,
     decision_value,
     own_token,
     scan_surface,
     shape_matches,
 )
-from textloom.functions.text import rebuild, regex_spans
+from textloom.functions.text import SPAN, let, rebuild, regex_spans
+
+# The words of a decision.
+DECISIONS = ("allow", "mask")
+#: Decisions that are broadcast at most, and their characters.
+SMALL_DECISIONS, DECISION_CHARS = 200_000, 32_000_000
+DECIDED = MATCH.replace("rank:int", "rank:int,decision:string")
 
 
 def detect_pii_shapes(df: DataFrame, text: str = "text", out: str = "matches", any_case: bool = False) -> DataFrame:
@@ -38,9 +47,16 @@ def pii_shape_report(df: DataFrame, source: str = "source", text: str = "text")
     return values.groupBy(source, "shape").agg(F.sum("n").alias("matches"), F.count("*").alias("distinct_values"))
 
 
+def fixed_decisions(decisions: DataFrame) -> DataFrame:
+    """One row per source and value. Any word but ``allow`` and ``mask`` decides nothing, and of several decisions the safest holds."""
+    word = F.when(F.col("decision").isin(*DECISIONS), F.col("decision")).otherwise(F.lit("pending"))
+    # In alphabetical order the safer word is the later one.
+    return decisions.where("source IS NOT NULL AND norm_value IS NOT NULL").groupBy("source", "norm_value").agg(F.max(word).alias("decision"))
+
+
 def apply_decisions(matches: DataFrame, decisions: DataFrame) -> DataFrame:
     """Add ``decision``: one made for all sources, else one made for this source, else ``pending``."""
-    unique = decisions.groupBy("source", "norm_value").agg(F.max("decision").alias("decision"))
+    unique = fixed_decisions(decisions)
     general = unique.where(F.col("source") == "*").select("norm_value", F.col("decision").alias("_general"))
     local = unique.where(F.col("source") != "*").withColumnRenamed("decision", "_local")
     return (
@@ -66,6 +82,23 @@ def distinct_matches(matches: DataFrame, keys: list[str]) -> DataFrame:
     return matches.groupBy(*keys, "norm_value").agg(first.alias("m")).select(*keys, "norm_value", "m.*")
 
 
+def row_key(*columns: Column) -> Column:
+    """A key made of what a row holds. Ids may be NULL or repeated, contents may not be mistaken for each other."""
+    return F.sha2(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])), 256)
+
+
+def counted_matches(text: Column, raw: Column | None) -> Column:
+    """The matches of a text. With ``raw``, those it lacks are left out, and those inside a token it lacks: masking put these there."""
+    found = shape_matches(scan_surface(text))
+    if raw is None:
+        return found
+    in_raw = lambda v: F.coalesce(F.contains(raw, v), F.lit(True))
+    held = F.contains(text, F.lit("@@@(")) | F.contains(text, F.lit("###{"))
+    put = F.when(held, F.filter(regex_spans(text, RESERVED), lambda t: ~in_raw(t["value"]))).otherwise(F.array().cast(SPAN))
+    inside = lambda m, tokens: F.exists(tokens, lambda t: (m["start"] < t["end"]) & (m["end"] > t["start"]))
+    return let(put, lambda tokens: F.filter(found, lambda m: in_raw(m["value"]) & ~inside(m, tokens)))
+
+
 def mask_by_policy(
     df: DataFrame,
     decisions: DataFrame,
@@ -74,37 +107,60 @@ def mask_by_policy(
     text: str = "text",
     raw: str | None = None,
     default: str = "pending",
+    small_decisions: int = SMALL_DECISIONS,
 ) -> DataFrame:
     """Masked text with counts; ``released`` is false where a match is undecided and the text must be held back.
 
-    Rows without any shape never enter a shuffle. For the others only the matches are joined with the decisions; the
-    text travels once, to meet its decided matches again. With ``raw`` a match counts only if the column of that name
-    holds it too (the text may already carry tokens). ``default`` ``mask`` masks whatever nobody has decided.
+    With ``raw`` a match counts only if the column of that name holds it too (the text may already carry tokens); where raw is
+    NULL every match counts. ``default`` ``mask`` masks whatever nobody has decided.
+
+    Decisions are brought to the rows, never rows to each other by their ids, so ``key`` may be NULL or repeated. At most
+    ``small_decisions`` of them, of bounded size, are broadcast: shapes are found once and no row leaves its partition. More are
+    joined with the matches, and a text meets its own matches again by what it holds.
     """
-    found = shape_matches(scan_surface(F.col(text)))
-    plain = df.where(F.size(found) == 0)
-    risky = df.where(F.size(found) > 0)
-    if raw is not None:
-        found = F.filter(found, lambda m: F.contains(F.col(raw), m["value"]))
-    rows = df.select(key, "source", F.explode(found).alias("m")).select(
-        key, "source", "m.start", "m.end", "m.value", decision_value(F.col("m.value")).alias("norm_value")
-    )
-    decided = apply_decisions(rows, decisions)
-    decided = decided.withColumn("decision", F.when(F.col("decision") == "pending", F.lit(default)).otherwise(F.col("decision")))
-    token = F.when(F.col("decision") == "mask", own_token(F.col("value"), secret)).otherwise(F.col("value"))
-    per_row = decided.groupBy(key).agg(
-        F.collect_list(F.struct("start", "end", token.alias("token"))).alias("_spans"),
-        *[F.count_if(F.col("decision") == d).alias(n) for d, n in (("mask", "masked"), ("allow", "allowed"), ("pending", "pending"))],
-    )
-    none = F.lit(0).cast("bigint")
-    masked = (
-        risky.join(per_row, key, "left")
-        .withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(rebuild(F.col(text), F.array_sort("_spans"))))
-        .drop("_spans")
-        .withColumns({n: F.coalesce(n, none) for n in ("masked", "allowed", "pending")})
-    )
-    untouched = plain.withColumns({n: none for n in ("masked", "allowed", "pending")})
-    return masked.unionByName(untouched).withColumn("released", F.col("pending") == 0)
+    found = counted_matches(F.col(text), None if raw is None else F.col(raw))
+    unique = fixed_decisions(decisions)
+    size = unique.limit(small_decisions + 1).agg(F.count("*"), F.sum(F.length("source") + F.length("norm_value"))).first()
+    if size[0] <= small_decisions and (size[1] or 0) <= DECISION_CHARS:
+        staged = _decide_in_place(df, unique, found)
+    else:
+        staged = _decide_joined(df, unique, found, [F.col(c) for c in ("source", text, *([raw] if raw else []))])
+    pick = lambda d: F.filter("_found", lambda m: m["decision"] == d)
+    settled = F.transform("_found", lambda m: F.when(m["decision"] == "pending", m.withField("decision", F.lit(default))).otherwise(m))
+    token = lambda m: F.when(m["decision"] == "mask", own_token(m["value"], secret)).otherwise(m["value"])
+    spans = F.transform("_found", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), token(m).alias("token")))
+    counts = {n: F.size(pick(d)).cast("bigint") for n, d in (("masked", "mask"), ("allowed", "allow"), ("pending", "pending"))}
+    counted = staged.withColumn("_found", settled).withColumns(counts)
+    rewritten = F.when(F.size("_found") > 0, rebuild(F.col(text), spans)).otherwise(F.col(text))
+    return counted.withColumn(text, rewritten).drop("_found").withColumn("released", F.col("pending") == 0)
+
+
+def _decide_in_place(df: DataFrame, unique: DataFrame, found: Column) -> DataFrame:
+    store = df.sparkSession.sparkContext.broadcast({(r["source"], r["norm_value"]): r["decision"] for r in unique.collect()})
+
+    @F.pandas_udf("array<string>")
+    def decide(source: pd.Series, values: pd.Series) -> pd.Series:
+        get = store.value.get
+        return pd.Series([[get(("*", v)) or get((s, v)) or "pending" for v in vs] for s, vs in zip(source, values)], dtype=object)
+
+    matched = df.withColumn("_found", found).withColumn("_values", F.transform("_found", lambda m: decision_value(m["value"])))
+    # Marked as non-deterministic only to be computed once, in a step of its own.
+    named = matched.withColumn("_named", decide.asNondeterministic()(F.col("source"), F.col("_values")))
+    paired = F.zip_with("_found", "_named", lambda m, d: m.withField("decision", F.coalesce(d, F.lit("pending"))))
+    return named.withColumn("_found", paired).drop("_values", "_named")
+
+
+def _decide_joined(df: DataFrame, unique: DataFrame, found: Column, content: list[Column]) -> DataFrame:
+    keyed = df.withColumn("_found", found)
+    plain = keyed.where(F.size("_found") == 0).withColumn("_found", F.array().cast(DECIDED))
+    risky = keyed.where(F.size("_found") > 0).withColumn("_row", row_key(*content))
+    rows = risky.select("_row", "source", F.explode("_found").alias("m")).select("_row", "source", "m", decision_value(F.col("m.value")).alias("norm_value"))
+    decided = apply_decisions(rows.distinct(), unique)
+    # Rows with the same content have the same matches, once each.
+    per_row = decided.groupBy("_row").agg(F.array_sort(F.collect_set(F.col("m").withField("decision", F.col("decision")))).alias("_decided"))
+    undecided = F.transform("_found", lambda m: m.withField("decision", F.lit("pending")))
+    met = risky.join(per_row, "_row", "left").withColumn("_found", F.coalesce("_decided", undecided)).drop("_row", "_decided")
+    return plain.unionByName(met)
 
 
 def mask_all(df: DataFrame, decisions: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,15 +186,19 @@ def vault_resolve(df: DataFrame, vault: DataFrame, key: str, text: str = "text")
 
 
 def replace_tokens(df: DataFrame, known: DataFrame, key: str, text: str, pattern: str, name: Column | None = None) -> DataFrame:
-    """Replace every token of ``known`` (token, value) found by ``pattern``; ``name`` maps a found token to its key."""
-    spans = df.select(key, F.explode(regex_spans(F.col(text), pattern)).alias("s"))
-    hits = spans.select(key, "s.start", "s.end", F.col("s.value").alias("_found"))
+    """Replace every token of ``known`` (token, value) found by ``pattern``; ``name`` maps a found token to its key.
+
+    A text meets its own tokens again by what it holds, so ``key`` may be NULL or repeated.
+    """
+    keyed = df.withColumn("_row", row_key(F.col(text)))
+    spans = keyed.select("_row", F.explode(regex_spans(F.col(text), pattern)).alias("s"))
+    hits = spans.select("_row", "s.start", "s.end", F.col("s.value").alias("_found")).distinct()
     hits = hits.withColumn("token", F.col("_found") if name is None else name)
     lookup = known.select("token", F.col("value").alias("_value"))
     per_row = (
         hits.join(lookup, "token")
-        .groupBy(key)
+        .groupBy("_row")
         .agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("_value").alias("token")))).alias("_spans"))
     )
     text_out = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(rebuild(F.col(text), F.col("_spans")))
-    return df.join(per_row, key, "left").withColumn(text, text_out).select(*df.columns)
+    return keyed.join(per_row, "_row", "left").withColumn(text, text_out).select(*df.columns)

@@ -77,24 +77,21 @@ def value_spellings(values: DataFrame) -> DataFrame:
 def tiered_index(values: DataFrame) -> DataFrame:
     """One row per key: counts, tier, and what its token is made of.
 
-    Grouped by key and family first, so a value shared by a third of all families is still one small row per family;
-    only the slots of a single family and the distinct field names are kept as arrays.
+    Counted by key and family first, so a value shared by a third of all families is still one small row per family. Slots
+    are gathered only for keys of a single family, whose token lists them; other keys keep their distinct field names.
     """
     rows = indexed_values(values).select("norm_key", "family", "slot", "field").distinct()
-    per_family = rows.groupBy("norm_key", "family").agg(
-        F.count("*").alias("n"),
-        F.collect_set("slot").alias("slots"),
-        F.array_sort(F.collect_set("field")).alias("fields"),
-    )
+    per_family = rows.groupBy("norm_key", "family").agg(F.count("*").alias("n"), F.min("slot").alias("slot"))
     per_key = per_family.groupBy("norm_key").agg(
-        F.sum("n").alias("n_paths"),
-        F.count("*").alias("n_families"),
-        F.min("family").alias("family"),
-        F.min_by("slots", "family").alias("slots"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("fields")))).alias("fields"),
+        F.sum("n").alias("n_paths"), F.count("*").alias("n_families"), F.min("family").alias("family"), F.min("slot").alias("slot")
     )
     tier = F.when(F.col("n_paths") <= 1, 1).when(F.col("n_families") == 1, 2).otherwise(3)
-    return per_key.withColumn("tier", tier)
+    per_key = per_key.withColumn("tier", tier)
+    several = per_key.where("tier = 2").select("norm_key")
+    slots = rows.join(several, "norm_key", "left_semi").groupBy("norm_key").agg(F.collect_set("slot").alias("_slots"))
+    fields = rows.select("norm_key", "field").distinct().groupBy("norm_key").agg(F.array_sort(F.collect_set("field")).alias("fields"))
+    met = per_key.join(fields, "norm_key", "left").join(slots, "norm_key", "left")
+    return met.withColumn("slots", F.coalesce("_slots", F.array("slot"))).drop("_slots", "slot")
 
 
 def value_tier(values: DataFrame) -> DataFrame:

@@ -17,12 +17,21 @@ def grep_corpus(spark, folder):
     return corpus.grep_corpus(spread(load(spark, folder, "corpus")), "[a-z]+tion [a-z]+ly", flags="i", limit=None).select("path", "line", "text")
 
 
-@query(f"SELECT path, line, path || ':' || line || ':' || text AS shown FROM ({_LINES}) l WHERE regexp_matches(path, '^src1[^/]*/.*[.](md|txt)$') AND contains(text, 'the') ORDER BY path, line LIMIT 2000")
+_THE = f"SELECT path, line, path || ':' || line || ':' || text AS shown FROM ({_LINES}) l WHERE regexp_matches(path, '^src1[^/]*/.*[.](md|txt)$') AND contains(text, 'the')"
+
+
+@query(f"SELECT *, CAST((SELECT count(*) FROM ({_THE}) a) > 2000 AS INT) AS truncated FROM ({_THE}) b ORDER BY path, line LIMIT 2000")
 def grep_corpus_first(spark, folder):
-    return corpus.grep_corpus(spread(load(spark, folder, "corpus")), "the", "src1*/**.{md,txt}").select("path", "line", "shown")
+    hits = corpus.grep_corpus(spread(load(spark, folder, "corpus")), "the", "src1*/**.{md,txt}", limit=2000)
+    return hits.select("path", "line", "shown", F.col("truncated").cast("int").alias("truncated"))
+
+
+@query(f"{_THE} AND path LIKE 'src1/%'")
+def grep_folder(spark, folder):
+    return corpus.grep_corpus(spread(load(spark, folder, "corpus")), "the", "**.{md,txt}", folder="src1").select("path", "line", "shown")
 
 
-@query("SELECT path FROM $corpus WHERE regexp_matches(path, '^src[^/]*/en/[^/]*[.]md$') ORDER BY path LIMIT 5000")
+@query("SELECT path FROM $corpus WHERE regexp_matches(path, '^src[^/]*/en/[^/]*[.]md$')")
 def find_paths(spark, folder):
     return corpus.find_paths(load(spark, folder, "corpus"), "src*/en/*.md")
 

@@ -13,8 +13,8 @@ from textloom.plans.catalog import query
 from textloom.plans.inputs import load
 from textloom.session import spread
 
-# The key of the examples. A real one comes from a file or from the session, never from code.
-SECRET = "example key"
+# The key of the queries. A real one comes from a file or from the session, never from code.
+SECRET = "a key for checks"
 
 _PAD = SECRET.encode().ljust(64, b"\0")
 _IPAD = "".join(f"\\x{b ^ 0x36:02X}" for b in _PAD)
@@ -58,7 +58,7 @@ def detect_pii_shapes(spark, folder):
 # Forms: every order as a short page text with numbers of all shapes.
 _FORMS = """SELECT o_orderkey AS doc_id, o_orderpriority AS source, 'Id ' || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '1') || '-' || lpad(CAST(o_custkey % 100 AS STRING), 2, '0')
     || '-' || lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0') || '; zip: ' || lpad(CAST(o_custkey % 700 + 10000 AS STRING), 5, '0') || '; mail u' || CAST(o_custkey % 300 AS STRING)
-    || '@example.org; <b class="12345" id="54321">at</b> ' || CAST(o_custkey % 97 AS STRING) || ' Oak.St; http://h.example:' || CAST(o_custkey % 700 + 10000 AS STRING) || '/x' AS text FROM $orders"""
+    || '@mail.test; <b class="12345" id="54321">at</b> ' || CAST(o_custkey % 97 AS STRING) || ' Oak.St; http://h.test:' || CAST(o_custkey % 700 + 10000 AS STRING) || '/x' AS text FROM $orders"""
 
 
 def forms(spark, folder):
@@ -71,8 +71,8 @@ def pii_shape_report_of_forms(spark, folder):
 
 
 _DECISIONS = """SELECT DISTINCT CASE WHEN c_custkey % 2 = 0 THEN '*' ELSE '1-URGENT' END AS source, CAST(c_custkey % 700 + 10000 AS STRING) AS norm_value,
-    CASE WHEN c_custkey % 3 = 0 THEN 'allow' ELSE 'mask' END AS decision FROM $customer WHERE c_custkey < 400 AND c_custkey % 7 > 0
-    UNION ALL SELECT '*', '54321', 'allow' UNION ALL SELECT DISTINCT '*', 'u' || CAST(c_custkey % 300 AS STRING) || '@exampleorg', 'mask' FROM $customer
+    CASE WHEN c_custkey % 3 = 0 THEN 'allow' ELSE 'mask' END AS decision FROM $customer WHERE c_custkey % 7 > 0
+    UNION ALL SELECT '*', '54321', 'allow' UNION ALL SELECT DISTINCT '*', 'u' || CAST(c_custkey % 300 AS STRING) || '@mailtest', 'mask' FROM $customer
     UNION ALL SELECT DISTINCT '*', CAST(c_custkey % 97 AS STRING) || 'oakst', 'allow' FROM $customer
     UNION ALL SELECT DISTINCT '*', lpad(CAST(o_orderkey % 1000 AS STRING), 3, '1') || lpad(CAST(o_custkey % 100 AS STRING), 2, '0') || lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0'), 'mask' FROM $orders"""
 _DECIDED = f"""SELECT m.*, coalesce(g.decision, l.decision, 'pending') AS decision FROM ({found_sql('(' + _FORMS + ')')}) m
@@ -116,7 +116,7 @@ def _policy_sql(default: str) -> str:
     p AS (SELECT doc_id, max(n) FILTER (shape = 'ssn') AS ssn, max(n) FILTER (shape = 'zip') AS zip, max(n) FILTER (shape = 'email') AS mail, max(n) FILTER (shape = 'address') AS addr,
           count(*) FILTER (decision = 'mask') AS masked, count(*) FILTER (decision = 'allow') AS allowed, count(*) FILTER (decision = 'pending') AS pending FROM r GROUP BY doc_id)
     SELECT p.doc_id, 'Id ' || ssn || '; zip: ' || zip || '; mail ' || mail || '; <b class="12345" id="54321">at</b> ' || addr
-           || '; http://h.example:' || (o_custkey % 700 + 10000) || '/x' AS text, masked, allowed, pending, CAST(pending = 0 AS INT) AS released
+           || '; http://h.test:' || (o_custkey % 700 + 10000) || '/x' AS text, masked, allowed, pending, CAST(pending = 0 AS INT) AS released
     FROM p JOIN $orders o ON o.o_orderkey = p.doc_id"""
 
 
@@ -126,6 +126,24 @@ def mask_by_policy(spark, folder):
     return rows.select("doc_id", "text", "masked", "allowed", "pending", F.col("released").cast("int").alias("released"))
 
 
+@query(_policy_sql("pending"))
+def mask_by_policy_joined(spark, folder):
+    """The same with the strategy for many decisions."""
+    rows = shapes.mask_by_policy(forms(spark, folder), decisions(spark, folder), SECRET, small_decisions=0)
+    return rows.select("doc_id", "text", "masked", "allowed", "pending", F.col("released").cast("int").alias("released"))
+
+
+def shared_keys(df):
+    """Rows whose key is NULL or shared by many; the true id goes along as ``own``."""
+    return df.withColumn("own", F.col("doc_id")).withColumn("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 7))
+
+
+@query(_policy_sql("pending"))
+def mask_by_policy_shared_keys(spark, folder):
+    rows = shapes.mask_by_policy(shared_keys(forms(spark, folder)), decisions(spark, folder), SECRET, small_decisions=0)
+    return rows.select(F.col("own").alias("doc_id"), "text", "masked", "allowed", "pending", F.col("released").cast("int").alias("released"))
+
+
 @query(f"SELECT doc_id, text, pending FROM ({_policy_sql('pending')}) x WHERE released = 0")
 def quarantine(spark, folder):
     rows = shapes.mask_by_policy(forms(spark, folder), decisions(spark, folder), SECRET)
@@ -143,6 +161,11 @@ def mask_all(spark, folder):
     return shapes.mask_all(forms(spark, folder), decisions(spark, folder), SECRET).select("doc_id", "text", "pending")
 
 
+@query(f"SELECT doc_id, count(*) AS masked FROM ({found_sql('$documents')}) m GROUP BY doc_id UNION ALL SELECT doc_id, 0 FROM $documents WHERE doc_id NOT IN (SELECT doc_id FROM ({found_sql('$documents')}) n)")
+def mask_documents_counts(spark, folder):
+    return shapes.mask_all(documents(spark, folder), decisions(spark, folder).where("false"), SECRET).select("doc_id", "masked")
+
+
 @query()
 def mask_documents(spark, folder):
     """Every shape in the documents masked; the rows keep their ids."""
@@ -170,10 +193,9 @@ def scan_surface(spark, folder):
     return rows.select("page_id", (count("html") - count("s")).alias("blanked"), F.length("s").alias("size"))
 
 
-@query("SELECT doc_id, regexp_replace(lower(left(text, 400)), '[\\s.‐-―-]', '', 'g') AS norm FROM $documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query("SELECT doc_id, regexp_replace(lower(text), '[\\s.‐-―-]', '', 'g') AS norm FROM $documents")
 def decision_values(spark, folder):
-    rows = documents(spark, folder).where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return rows.select("doc_id", ids.decision_value(F.substring("text", 1, 400)).alias("norm"))
+    return documents(spark, folder).select("doc_id", ids.decision_value(F.col("text")).alias("norm"))
 
 
 # ── known values ──────────────────────────────────────────────────────────────
@@ -285,6 +307,23 @@ def mask_known_joined(spark, folder):
     return masking.mask_known(letters(spark, folder), store(spark, folder), SECRET, small_store=0).select("doc_id", "text")
 
 
+@query(_MASKED)
+def mask_known_shared_keys(spark, folder):
+    rows = masking.mask_known(shared_keys(letters(spark, folder)), store(spark, folder), SECRET, small_store=0)
+    return rows.select(F.col("own").alias("doc_id"), "text")
+
+
+@query(f"""SELECT doc_id, text || ' zip ' || CASE WHEN doc_id % 3 = 0 THEN '⟦wall:' || {hmac_sql("CAST(doc_id % 90000 + 10000 AS STRING)")} || '⟧' ELSE CAST(doc_id % 90000 + 10000 AS STRING) END AS text,
+           CAST(doc_id % 3 = 0 AS BIGINT) AS masked, CAST(doc_id % 3 = 1 AS BIGINT) AS allowed, CAST(doc_id % 3 = 2 AS BIGINT) AS pending FROM ({_MASKED}) m""")
+def mask_letters_whole(spark, folder):
+    """Known values first, then shapes by decision, as one job."""
+    rows = letters(spark, folder).withColumn("zip", (F.col("doc_id") % 90000 + 10000).cast("string"))
+    rows = rows.withColumn("text", F.concat("text", F.lit(" zip "), "zip")).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 3))
+    made = rows.select("source", F.col("zip").alias("norm_value"), F.when(F.col("source") == "s0", "mask").when(F.col("source") == "s1", "allow").otherwise("Mask").alias("decision")).distinct()
+    out = masking.mask_documents(rows.drop("zip"), store(spark, folder), made, SECRET)
+    return out.select("doc_id", "text", "masked", "allowed", "pending")
+
+
 @query(_MASKED)
 def mask_known_twice(spark, folder):
     """Masking what is masked already changes nothing."""

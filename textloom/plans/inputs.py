@@ -30,7 +30,7 @@ INPUTS = {
                CASE event_type WHEN 'view' THEN 'response' WHEN 'purchase' THEN 'finished' WHEN 'error' THEN 'failed'
                     ELSE 'sent' END AS event,
                CASE WHEN k % 3 = 0 THEN 'POST' ELSE 'GET' END AS method,
-               'https://api.example.com/' || event_type || '/' || CAST(k AS STRING) AS url,
+               'https://api.wall.test/' || event_type || '/' || CAST(k AS STRING) AS url,
                CASE WHEN k % 5 = 0 THEN 404 WHEN k % 7 = 0 THEN 500 ELSE 200 END AS status,
                CASE WHEN k % 2 = 0 THEN 'application/json' ELSE 'text/html' END AS mime,
                CAST(floor(value * 100) AS BIGINT) AS size,
@@ -52,11 +52,11 @@ INPUTS = {
         FROM $ev WHERE event_type NOT IN ('click', 'signup')""",
     "captured": """
         SELECT session, event_id, t, chat AS response_id, CASE WHEN event_type = 'signup' THEN 'new' ELSE 'chat' END AS kind,
-               CASE event_type WHEN 'signup' THEN 'https://chat.example.com/api/v1/chats/new'
-                    WHEN 'click' THEN 'https://chat.example.com/api/v1/chats/' || chat
-                    WHEN 'view' THEN 'https://chat.example.com/api/chat/completions'
-                    WHEN 'purchase' THEN 'https://chat.example.com/api/chat/completed'
-                    ELSE 'https://chat.example.com/api/v1/chats/' || chat || '?page=' || CAST(k AS STRING) END AS url,
+               CASE event_type WHEN 'signup' THEN 'https://chat.wall.test/api/v1/chats/new'
+                    WHEN 'click' THEN 'https://chat.wall.test/api/v1/chats/' || chat
+                    WHEN 'view' THEN 'https://chat.wall.test/api/chat/completions'
+                    WHEN 'purchase' THEN 'https://chat.wall.test/api/chat/completed'
+                    ELSE 'https://chat.wall.test/api/v1/chats/' || chat || '?page=' || CAST(k AS STRING) END AS url,
                '{"chat_id":"' || chat || '","k":' || CAST(k AS STRING) || '}' AS body
         FROM (SELECT *, substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4)
                         || '-' || substr(m, 21, 12) AS chat
@@ -76,15 +76,15 @@ INPUTS = {
     "probes": """
         SELECT session, event_id, 1 + k % 6 AS n, CASE WHEN event_type = 'click' AND k % 3 = 0 THEN 'good' ELSE 'bad' END AS verdict,
                'x-ratelimit-' || event_type AS h1, CAST(k AS STRING) AS v1, 'content-type' AS h2, event_type AS v2
-        FROM $ev WHERE k < 12""",
+        FROM $ev""",
     "task_rows": """
         SELECT CAST(conv_id % 2 AS STRING) AS project, 'T-' || CAST(conv_id AS STRING) AS id,
-               substr(first_text, 1, 40) AS title, 'goal ' || CAST(conv_id % 17 AS STRING) AS goal,
+               first_text AS title, 'goal ' || CAST(conv_id % 17 AS STRING) AS goal,
                CASE WHEN conv_id < 10 THEN NULL ELSE 'T-' || CAST(conv_id % 10 AS STRING) END AS parent_id,
                1717180000000 + conv_id * 60000 AS started,
                CASE WHEN conv_id % 11 = 0 THEN NULL ELSE 1717180000000 + conv_id * 60000 + n * 1000 + (conv_id % 13) * 90000 END AS ended,
                CASE WHEN conv_id % 8 < 5 THEN 1 WHEN conv_id % 8 < 7 THEN 2 ELSE 3 + CAST(conv_id % 2 AS INT) END AS tier,
-               CASE WHEN conv_id % 3 = 0 THEN NULL ELSE substr(first_text, 1, 200) END AS summary,
+               CASE WHEN conv_id % 3 = 0 THEN NULL ELSE first_text END AS summary,
                conv_id AS position, conv_id % 29 = 0 AS is_current
         FROM (SELECT conv_id, count(*) AS n, min_by(text, turn) AS first_text FROM $conversations GROUP BY conv_id) c""",
     "task_messages": """

@@ -19,14 +19,10 @@ TEXT_SUFFIXES = (
     ".sh", ".ps1", ".bat", ".cmd", ".py", ".go", ".rs", ".java", ".xml", ".html",
     ".css", ".scss", ".sql", ".toml", ".ini", ".env", ".gitignore", "",
 )
-MAX_DEPTH = 12
 SAMPLE_BYTES = 8192
-MAX_BYTES = 2 * 1024 * 1024
-TAIL_CHARS = 80_000
 MAX_SAFE_INTEGER = 2**53 - 1
 STORE_DEPTH = 8
 EVENT_SCHEMA = "session STRING, seq BIGINT, t BIGINT, type STRING, payload VARIANT"
-BODY_KINDS = r"(?i)(json|text|html|javascript|xml|csv)"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -141,9 +137,16 @@ def read_debug_log(spark: SparkSession, path: str) -> DataFrame:
     return debug_records(spark.read.text(path))
 
 
-def project_records(texts: DataFrame, tail_chars: int | None = TAIL_CHARS) -> DataFrame:
-    """(log, line, ts, message) from whole ``<ISO time>  <message>`` logs (log, value), of the last characters only."""
-    value = F.col("value") if tail_chars is None else F.expr(f"right(value, {int(tail_chars)})")
+def project_records(texts: DataFrame, tail_chars: int | None = None) -> DataFrame:
+    """(log, line, ts, message) from whole ``<ISO time>  <message>`` logs (log, value).
+
+    With ``tail_chars`` only whole lines among the last characters, counted from the first of these.
+    """
+    value = F.col("value")
+    if tail_chars is not None:
+        tail = F.expr(f"right(value, {int(tail_chars)})")
+        starts_line = F.expr(f"substring(value, length(value) - {int(tail_chars)}, 1)") == "\n"
+        value = F.when((F.length("value") <= tail_chars) | starts_line, tail).otherwise(F.regexp_replace(tail, r"^[^\n]*(\n|$)", ""))
     rows = texts.select("log", F.posexplode(F.split(value, "\n", -1)).alias("line", "row"))
     pattern = r"^(\S+)  (.*)$"
     hits = rows.where(F.col("row").rlike(pattern))
@@ -153,7 +156,7 @@ def project_records(texts: DataFrame, tail_chars: int | None = TAIL_CHARS) -> Da
     )
 
 
-def read_project_log(spark: SparkSession, path: str, tail_chars: int | None = TAIL_CHARS) -> DataFrame:
+def read_project_log(spark: SparkSession, path: str, tail_chars: int | None = None) -> DataFrame:
     return project_records(spark.read.text(path, wholetext=True).select(file_path().alias("log"), "value"), tail_chars)
 
 
@@ -303,22 +306,29 @@ def read_bundle(spark: SparkSession, path: str, form: str = "header", delimiter:
 # ── corpus and network artefacts ──────────────────────────────────────────────
 
 
-def read_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """(path, bytes, text, is_binary) of the text files below ``root``; no text for binary and very large files."""
+def read_corpus(spark: SparkSession, root: str, max_bytes: int | None = None, max_depth: int | None = None) -> DataFrame:
+    """(path, bytes, text, is_binary, skipped) of the text files below ``root``.
+
+    No text for binary files. With limits, the text of larger files and files in deeper folders is not read, and ``skipped`` says
+    ``size`` or ``depth``; every file keeps its row. Content is scanned apart, behind a pushed limit on the length.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = re.sub(r"^file:/*", "", root.rstrip("/"))
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", ""), "^/?" + re.escape(base.lstrip("/")) + "/", "")
     folders = F.slice(F.split(rel, "/"), F.lit(1), F.size(F.split(rel, "/")) - 1)
     name = F.element_at(F.split(rel, "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"^.+(\.[^.]*)$", 1))
-    small = F.col("length") <= MAX_BYTES
-    # A binary file has a zero byte near its start. Content is read only for files of moderate size.
-    head = F.substring(F.when(small, F.col("content")), 1, SAMPLE_BYTES)
-    binary = F.coalesce(F.hex(head).rlike("^(?:..)*?00"), F.lit(False))
-    rows = files.where((F.size(folders) <= MAX_DEPTH) & ~F.arrays_overlap(folders, F.array(*[F.lit(f) for f in IGNORED_FOLDERS])) & suffix.isin(*TEXT_SUFFIXES))
-    rows = rows.select(rel.alias("path"), F.col("length").alias("bytes"), binary.alias("is_binary"), "content")
-    text = F.when(~F.col("is_binary") & (F.col("bytes") <= MAX_BYTES), F.expr("decode(content, 'UTF-8')"))
-    return rows.select("path", "bytes", text.alias("text"), "is_binary")
+    wanted = files.where(~F.arrays_overlap(folders, F.array(*[F.lit(f) for f in IGNORED_FOLDERS])) & suffix.isin(*TEXT_SUFFIXES))
+    large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    deep = F.lit(False) if max_depth is None else F.size(folders) > max_depth
+    skipped = F.when(large, "size").when(deep, "depth")
+    rows = lambda df, content, binary: df.select(rel.alias("path"), F.col("length").alias("bytes"), content.alias("text"), binary.alias("is_binary"), skipped.alias("skipped"))
+    # A binary file has a zero byte near its start.
+    binary = F.position(F.lit(bytearray(b"\0")), F.substring("content", 1, SAMPLE_BYTES)) > 0
+    read = rows(wanted.where(~large & ~deep), F.when(~binary, F.expr("decode(content, 'UTF-8')")), binary)
+    if max_bytes is None and max_depth is None:
+        return read
+    return read.unionByName(rows(wanted.where(large | deep), F.lit(None).cast("string"), F.lit(None).cast("boolean")))
 
 
 def safe_id(request_id: Column) -> Column:
