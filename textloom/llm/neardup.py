@@ -7,44 +7,58 @@ DISTANCE // CHUNKS = 1 error; the allowed errors are enumerated as the four ways
 (chunk, slot left out, three values) bring together every pair within DISTANCE.
 
 Documents with equal sets are one class and never expanded. Each key's bucket first gives a star: its smallest
-class against each other one. Confirmed links make components. Buckets that still hold several components give, within
-the distance, the pairs across components, and these are confirmed too. Links inside a component add nothing to it.
+class against each other one. Confirmed links make components. Buckets that still hold several components are then compared inside
+their task: of the pairs across components those within the distance are named, each in its first common bucket only, if
+their wide signatures (WIDE_SLOTS values of 4 bits, of the classes in such buckets alone) are within WIDE_DISTANCE too, which a
+link again exceeds with a probability below 1e-6. These pairs are confirmed as well. Links inside a component add nothing to it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import attach, id_and_text, key_filter, partitions, small_batches, stash, test_filter
+from textloom.llm.common import attach, id_and_text, key_filter, partitions, release, small_batches, stash, test_filter
 from textloom.llm.shingles import mix, shingle_set
 
 SLOTS, CHUNKS, DISTANCE = 60, 15, 29
 WIDTH = SLOTS // CHUNKS
+WIDE_SLOTS, WIDE_DISTANCE = 512, 140
 FILTER_BITS = 1 << 26
 #: Hashes of a set that are minimised at a time.
 BLOCK = 2048
 _rng = np.random.default_rng(7)
-FACTORS = _rng.integers(1, 2**63, (SLOTS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = _rng.integers(0, 2**64, (SLOTS, 1), np.uint64)
+FACTORS = _rng.integers(1, 2**63, (SLOTS + WIDE_SLOTS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+SHIFTS = _rng.integers(0, 2**64, (SLOTS + WIDE_SLOTS, 1), np.uint64)
 LEFT_OUT = [(c, [c * WIDTH + j for j in range(WIDTH) if j != k], k) for c in range(CHUNKS) for k in range(WIDTH)]
 SIGNED = "doc_id long, n_shingles long, digest binary, sig binary"
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """SLOTS 16-bit values: the low bits of the smallest of each of SLOTS hash functions."""
-    least = np.full(SLOTS, np.uint64(0xFFFFFFFFFFFFFFFF))
+def least_hashes(hashes: np.ndarray, first: int, count: int) -> np.ndarray:
+    """The smallest value of each of ``count`` hash functions over a set, mixed."""
+    least = np.full(count, np.uint64(0xFFFFFFFFFFFFFFFF))
     for at in range(0, len(hashes), BLOCK):
-        x = hashes[at : at + BLOCK] * FACTORS
-        x += SHIFTS
+        x = hashes[at : at + BLOCK] * FACTORS[first : first + count]
+        x += SHIFTS[first : first + count]
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xD6E8FEB86659FD93)
         np.minimum(least, x.min(1), out=least)
-    return (mix(least) & np.uint64(0xFFFF)).astype("<u2")
+    return mix(least)
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """SLOTS values of 16 bits."""
+    return (least_hashes(hashes, 0, SLOTS) & np.uint64(0xFFFF)).astype("<u2")
+
+
+def wide_signature(hashes: np.ndarray) -> bytes:
+    """WIDE_SLOTS values of 4 bits, two in a byte."""
+    x = (least_hashes(hashes, SLOTS, WIDE_SLOTS) & np.uint64(15)).astype(np.uint8)
+    return (x[::2] << 4 | x[1::2]).tobytes()
 
 
 def set_digest(hashes: np.ndarray) -> bytes:
@@ -71,7 +85,7 @@ def sign(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "t
 
 
 def keys_of(classes: DataFrame) -> DataFrame:
-    """(key, cls): one row per class and way to leave a slot of a chunk out."""
+    """(way, key, cls): one row per class and way to leave a slot of a chunk out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -84,26 +98,26 @@ def keys_of(classes: DataFrame) -> DataFrame:
                 keys[:, n] = mix(packed | np.uint64(chunk * WIDTH + k + 1) << np.uint64(48))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, len(LEFT_OUT)), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))], ["cls", "keys"])
 
-    return classes.select("cls", "sig").mapInArrow(work, "cls long, keys array<long>").select(F.explode("keys").alias("key"), "cls")
+    return classes.select("cls", "sig").mapInArrow(work, "cls long, keys array<long>").select(F.posexplode("keys").alias("way", "key"), "cls")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(cls, comp): the smallest class that each class of ``edges`` (a, b) reaches; alternating large and small stars."""
-    edges = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    state = None
+    """(cls, comp): the smallest class that each class of ``edges`` (a, b) reaches; alternating large and small stars.
+
+    A large star takes every larger neighbour of a node to the smallest one; a small star does so with the smaller ones. It is done
+    when every class has one smaller neighbour and no large star moved anything. Skewed joins are split while they run.
+    """
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = attach(both, least, "u", "n", both.count()).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") < F.col("u")).alias("moved"))
         large = stash(large, "stars")
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        met = attach(large, least, "u", "n", large.count())
-        edges = stash(met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == state:
-            break
-        state = now
-    return edges.select(F.col("u").alias("cls"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("cls"), F.col("v").alias("comp")).distinct())
+        small = stash(large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"), F.max("moved").alias("moved")), "stars")
+        if small.filter("m <> most OR moved").isEmpty():
+            return small.select(F.col("u").alias("cls"), F.col("m").alias("comp")).unionByName(small.select(F.col("m").alias("cls"), F.col("m").alias("comp")).distinct())
+        parents = small.select("u", "m")
+        edges = large.join(parents, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(parents.withColumnRenamed("m", "v"))
 
 
 class Linker:
@@ -124,9 +138,9 @@ class Linker:
         members = keys_of(self.classes)
         live = stash(members.groupBy("key").agg(F.min("cls").alias("lead"), F.count("*").alias("n")).filter("n > 1"), "buckets")
         words = stash(key_filter(live.select(F.col("key").alias("h")), FILTER_BITS), "live")
-        hit = test_filter(members.withColumn("h", F.col("key")), words, FILTER_BITS).filter("hit").select("key", "cls")
-        hit = stash(hit, "members")
-        self.members = stash(attach(hit, live, "key", "n", hit.count()).filter("lead IS NOT NULL").select("key", "cls", "lead"), "placed")
+        hit = test_filter(members.withColumn("h", F.col("key")), words, FILTER_BITS).filter("hit").select("way", "key", "cls")
+        self.members = stash(hit.join(live, "key").select("way", "key", "cls", "lead"), "members")
+        release(self.spark)
         return self.allowed(self.members.filter("lead <> cls").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct())
 
     def with_class(self, pairs: DataFrame, side: str, columns: list[str]) -> DataFrame:
@@ -143,28 +157,27 @@ class Linker:
 
         return met.select("a", "b", "sig_a", "sig_b").mapInArrow(near, "a long, b long")
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """(cls, hashes) of the classes in ``pairs``: only texts that a filter lets through are cut into shingles again."""
-        needed = self.classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi").select("cls", "digest", "first_id")
-        needed = stash(needed, "needed")
-        key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)))
-        words = stash(key_filter(needed.select(F.xxhash64(F.coalesce("first_id", F.lit(-1))).alias("h")), FILTER_BITS), "wanted")
+    def from_texts(self, wanted: DataFrame, make: Callable[[np.ndarray], bytes]) -> DataFrame:
+        """(cls, made): ``make`` of the shingle sets of ``wanted`` (cls); only texts that a filter lets through are cut into shingles again."""
+        needed = stash(self.classes.join(wanted.distinct(), "cls", "left_semi").select("cls", "digest", "first_id"), "needed")
+        key = lambda c: F.xxhash64(F.coalesce(c, F.lit(-1)))
+        words = key_filter(needed.select(key("first_id").alias("h")), FILTER_BITS)
         size = self.words
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 sets = [shingle_set(t, size) for t in b.column(0).to_pylist()]
                 sets = [s for s in sets if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([make(s) for s in sets], pa.binary())], ["digest", "made"])
 
-        texts = test_filter(self.docs.withColumn("h", key), words, FILTER_BITS).filter("hit").select("text")
-        found = texts.mapInArrow(work, "digest binary, hashes binary").join(needed, "digest").select("cls", "hashes")
-        return stash(found.dropDuplicates(["cls"]), "sets")
+        texts = test_filter(self.docs.withColumn("h", key("doc_id")), words, FILTER_BITS).filter("hit").select("text")
+        found = texts.mapInArrow(work, "digest binary, made binary").join(needed, "digest").select("cls", "made")
+        return stash(found.dropDuplicates(["cls"]), "made")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are links on their full sets."""
         pairs = stash(pairs, "pairs")
-        sets, percent = self.sets(pairs), self.percent
+        sets, percent = self.from_texts(pairs.select(F.explode(F.array("a", "b")).alias("cls")), lambda s: s.tobytes()), self.percent
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -177,16 +190,20 @@ class Linker:
                     ok.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        met = pairs.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("y")), "b")
-        return stash(met.select("a", "b", "x", "y").mapInArrow(work, "a long, b long"), "links")
+        met = pairs.join(sets.select(F.col("cls").alias("a"), F.col("made").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("made").alias("y")), "b")
+        links = stash(met.select("a", "b", "x", "y").mapInArrow(work, "a long, b long"), "links")
+        release(self.spark)
+        return links
 
     def across(self, comps: DataFrame) -> DataFrame:
         """Pairs within the distance that share a bucket but not a component."""
-        placed = self.members.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        placed = self.members.join(comps, "cls", "left").select("way", "key", "cls", F.coalesce("comp", "cls").alias("comp"))
         placed = stash(placed, "placed")
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", "n")
-        rows = attach(placed, mixed, "key", "n", placed.count()).filter("n IS NOT NULL").select("key", "cls", "comp")
-        rows = rows.join(self.classes.select("cls", "size", "sig"), "cls").select("key", "cls", "comp", "size", "sig")
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+        rows = stash(placed.join(mixed, "key"), "mixed")
+        wide = self.from_texts(rows.select("cls"), wide_signature)
+        about = self.classes.select("cls", "size", "sig").join(wide, "cls")
+        rows = rows.join(about, "cls").select("way", "key", "cls", "comp", "size", "sig", "made")
         percent = self.percent
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,26 +229,46 @@ class Linker:
         more = self.confirm(self.across(comps))
         if not more.isEmpty():
             links = links.unionByName(more)
-            comps = stash(components(links), "components")
+            # From the stars that are there already.
+            comps = stash(components(comps.select(F.col("cls").alias("a"), F.col("comp").alias("b")).unionByName(more)), "components")
         return links, comps
 
 
+def first_way(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The first way in which the signature ``own`` and each of ``others`` have a key in common; past all ways if none."""
+    same = (others == own).reshape(-1, CHUNKS, WIDTH)
+    equal = same.sum(2)
+    chunk = (equal >= WIDTH - 1).argmax(1)
+    rows = np.arange(len(others))
+    left_out = np.where(equal[rows, chunk] == WIDTH, 0, same[rows, chunk].argmin(1))
+    return np.where(equal[rows, chunk] >= WIDTH - 1, chunk * WIDTH + left_out, len(LEFT_OUT))
+
+
 def crossing(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of each bucket of ``t`` (by key, then size) in different components, of fitting sizes and within the distance."""
-    keys, cls, comp, size = (t.column(c).to_numpy() for c in ("key", "cls", "comp", "size"))
+    """The pairs of each bucket of ``t`` (by key, then size) in different components, of fitting sizes, within both distances, that no earlier bucket has."""
+    way, keys, cls, comp, size = (t.column(c).to_numpy() for c in ("way", "key", "cls", "comp", "size"))
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, SLOTS)
+    wide = np.frombuffer(b"".join(t.column("made").to_pylist()), np.uint64).reshape(len(keys), -1)
+    ones = np.uint64(0x1111111111111111)
     cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
     for s, e in zip(cuts, cuts[1:], strict=False):
         # Rows of the commonest component are only compared with others, so a bucket of one large component costs little.
         names, counts = np.unique(comp[s:e], return_counts=True)
-        others = np.flatnonzero(comp[s:e] != names[counts.argmax()]) + s
-        for i in others.tolist():
+        most = names[counts.argmax()]
+        for i in (np.flatnonzero(comp[s:e] != most) + s).tolist():
             lo = s + int(np.searchsorted(100 * size[s:e], percent * size[i]))
             hi = s + int(np.searchsorted(percent * size[s:e], 100 * size[i], side="right"))
-            near = np.flatnonzero((comp[lo:hi] != comp[i]) & ((sig[lo:hi] != sig[i]).sum(1) <= DISTANCE)) + lo
-            if len(near):
-                own = np.full(len(near), cls[i])
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, cls[near])), pa.array(np.maximum(own, cls[near]))], ["a", "b"])
+            # A pair of two such rows is met twice: the smaller class names it.
+            at = np.flatnonzero((comp[lo:hi] != comp[i]) & ((comp[lo:hi] == most) | (cls[lo:hi] > cls[i]))) + lo
+            x = wide[at] ^ wide[i]
+            x |= x >> np.uint64(1)
+            x |= x >> np.uint64(2)
+            at = at[np.bitwise_count(x & ones).sum(1) <= WIDE_DISTANCE]
+            at = at[(sig[at] != sig[i]).sum(1) <= DISTANCE]
+            at = at[first_way(sig[i], sig[at]) == way[i]] if len(at) else at
+            if len(at):
+                own = np.full(len(at), cls[i])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, cls[at])), pa.array(np.maximum(own, cls[at]))], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
