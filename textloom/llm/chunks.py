@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import attach, id_and_text, small_batches, stash
+from textloom.llm.common import attach, id_and_text, release, small_batches, stash
 from textloom.llm.repeated import SPANS, RepeatFilter, cut_out
 from textloom.llm.shingles import BYTE_VALUES, mix
 
@@ -79,6 +79,7 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(docs.sparkSession)
     texts = id_and_text(docs, id_col, text_col)
     known = RepeatFilter(texts, lambda raw: [chunk_keys(raw, chunk_ends(raw))])
+    release(docs.sparkSession)
     kind = "array<struct<start:bigint,end:bigint,digest:binary>>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +103,8 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = stash(hot.select("doc_id", "uid", F.explode("chunks").alias("c")).select("doc_id", "uid", "c.*"), "places")
     groups = places.groupBy("digest").agg(F.min(F.struct("doc_id", "uid", "start")).alias("top"), F.count("*").alias("n")).filter("n > 1")
     met = attach(places, groups, "digest", "n", places.count()).filter("n IS NOT NULL")
-    runs = met.filter("uid <> top.uid OR start <> top.start").groupBy("uid").agg(F.collect_list(F.struct(F.col("start").alias("lo"), F.col("end").alias("hi"))).alias("runs"))
+    runs = stash(met.filter("uid <> top.uid OR start <> top.start").groupBy("uid").agg(F.collect_list(F.struct(F.col("start").alias("lo"), F.col("end").alias("hi"))).alias("runs")), "runs")
+    release(docs.sparkSession)
     cut = cut_out(hot, runs, run)
     clean = rows.filter("raw IS NULL").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.array().cast(SPANS).alias("spans"))
     return clean.unionByName(cut).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "spans")

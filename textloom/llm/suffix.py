@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import attach, id_and_text, partitions, small_batches, stash
+from textloom.llm.common import attach, id_and_text, partitions, release, small_batches, stash
 from textloom.llm.repeated import SPANS, RepeatFilter, cut_out
 from textloom.llm.shingles import BYTE_VALUES, mix
 
@@ -105,6 +105,7 @@ def suspects(texts: DataFrame, cover: Cover) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.binary(), *[pa.list_(pa.int64())] * 3)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]], ["doc_id", "n_bytes", "digest", "raw", "pos", "name", "ctx"])
 
+    release(texts.sparkSession)
     rows = texts.mapInArrow(work, "doc_id long, n_bytes long, digest string, raw binary, pos array<long>, name array<long>, ctx array<long>")
     return stash(rows.withColumn("uid", F.monotonically_increasing_id()), "suspects")
 
@@ -142,6 +143,20 @@ def settle(groups: pa.Table, cover: Cover) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(groups.column("uid").to_numpy()[row]), pa.array(begin[row] + start), pa.array(begin[row] + end - 1 + cover.length)], ["uid", "lo", "hi"])
 
 
+def joined_stretches(batches: Iterator[pa.RecordBatch], cover: Cover) -> Iterator[pa.RecordBatch]:
+    """(uid, lo, hi) of the stretches around the positions of each row (uid, pos, n_bytes)."""
+    for b in batches:
+        uids, los, his = [], [], []
+        for uid, pos, n in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            p = np.sort(np.array(pos, np.int64))
+            lo, hi = np.maximum(p - cover.reach, 0), np.minimum(p + cover.width + cover.reach, n)
+            first = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1])))
+            uids += [uid] * len(first)
+            los.append(lo[first])
+            his.append(hi[np.append(first[1:], len(p)) - 1])
+        yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), *(pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (los, his))], ["uid", "lo", "hi"])
+
+
 def contexts(docs: DataFrame, places: DataFrame, cover: Cover) -> DataFrame:
     """``places`` (uid, pos, name, n, ...) with the bytes around each: l, r, raw."""
 
@@ -169,9 +184,10 @@ def repeats(docs: DataFrame, cover: Cover, limit: int) -> DataFrame:
     full = distinct.filter("n > 1").select(ctx_key.alias("k"), "n")
     n_bytes = docs.select("uid", "n_bytes")
     settled = attach(samples.withColumn("k", ctx_key).select("k", "uid", "pos"), full, "k", "n", total).filter("n IS NOT NULL")
-    settled = settled.groupBy("uid").agg(F.array_sort(F.collect_list("pos")).alias("pos")).join(n_bytes, "uid")
-    around = F.transform("pos", lambda p: F.struct(F.greatest(p - cover.reach, F.lit(0)).alias("lo"), F.least(p + cover.width + cover.reach, F.col("n_bytes")).alias("hi")))
-    settled = settled.select("uid", F.explode(around).alias("x")).select("uid", "x.lo", "x.hi")
+    # Each text's settled stretches, joined where they touch: a long copy is one stretch, however many places it has.
+    settled = settled.groupBy("uid").agg(F.collect_list("pos").alias("pos")).join(n_bytes, "uid")
+    settled = stash(settled.mapInArrow(lambda batches: joined_stretches(batches, cover), "uid long, lo long, hi long"), "settled")
+    release(docs.sparkSession)
     # Names with several contexts, some of which occur once: their windows are compared.
     names = distinct.groupBy("name").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 AND least = 1").select("name", "m")
     open_ = stash(attach(distinct.select("name", "n", "at.*"), names, "name", "m", distinct.count()).filter("m IS NOT NULL").withColumn("n", F.least("n", F.lit(2)).cast("long")), "open")
@@ -195,6 +211,8 @@ def repeats(docs: DataFrame, cover: Cover, limit: int) -> DataFrame:
 
     kind = "uid long, lo long, hi long"
     edges = contexts(docs, small, cover).repartition(partitions(docs), "name").sortWithinPartitions("name").mapInArrow(work, kind)
+    edges = stash(edges, "edges")
+    release(docs.sparkSession)
     if large.isEmpty():
         return settled.unionByName(edges)
 
