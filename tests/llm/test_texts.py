@@ -95,7 +95,6 @@ def test_structures_are_confirmed():
     assert kinds(base64.b64encode(wrapped).decode()) == ["key"]
     assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{text64[:64]}\n{text64[64:]}\n-----END RSA PRIVATE KEY-----")[0] == "pem"
     assert kinds(f"bearer {token}") == ["token"]
-    assert kinds(text64[:-8] + "AAAAAAAA") == ["key"] or True
     broken = bytearray(key)
     broken[3] ^= 1
     assert kinds(base64.b64encode(bytes(broken)).decode()) == [] and kinds(base64.b64encode(key[:-1]).decode()) == []
@@ -122,7 +121,7 @@ def test_ids_are_those_of_the_library(found):
     mine = bpe.tokenizer(PATH)
     for raw, want in zip(mine.encode_batch(found), LIBRARY.encode_batch(found, add_special_tokens=False), strict=True):
         assert list(memoryview(raw).cast("I")) == want.ids
-        assert mine.decode(raw) == LIBRARY.decode(want.ids, skip_special_tokens=False)
+        assert bpe.joined(raw, bpe.token_names(PATH)) == LIBRARY.decode(want.ids, skip_special_tokens=False)
 
 
 def test_added_tokens_and_long_words():
@@ -265,17 +264,22 @@ def test_chunk_ends(raw):
     assert [e for e in ends if e in cut or e == len(raw)] == ends and set(cut) <= set(ends)
 
 
+def spans_cut(x):
+    ends = chunks.chunk_ends(x).tolist()
+    return list(zip([0, *ends], ends, strict=False))
+
+
 def test_chunks_resist_insertions():
     rng = np.random.default_rng(1)
     raw = rng.integers(97, 123, 20_000).astype(np.uint8)
     other = np.concatenate((raw[:5000], np.array([33], np.uint8), raw[5000:]))
-    cut = lambda x: {x[s:e].tobytes() for s, e in zip([0, *(n := chunks.chunk_ends(x).tolist())], n, strict=False)}
+    cut = lambda x: {x[s:e].tobytes() for s, e in spans_cut(x)}
     assert len(cut(raw) ^ cut(other)) <= 6
 
 
 def test_chunk_dedup(docs, texts, odd_docs, no_docs):
     raws = {i: (t or "").encode() for i, t in texts.items()}
-    cut = {i: [(s, e) for s, e in zip([0, *(n := chunks.chunk_ends(np.frombuffer(b, np.uint8)).tolist())], n, strict=False)] for i, b in raws.items()}
+    cut = {i: spans_cut(np.frombuffer(b, np.uint8)) for i, b in raws.items()}
     seen = set()
     got = by_id(chunks.dedup_chunks(docs))
     assert set(got) == set(texts)

@@ -30,7 +30,7 @@ from tokenizers import Tokenizer
 from textloom.llm.common import id_and_text, small_batches
 
 #: Entries of the worker's cache of chunks, their longest length, and the characters of a text handled at a time.
-CACHE_ENTRIES, CACHE_LENGTH, STRETCH = 700_000, 48, 1 << 20
+CACHE_ENTRIES, CACHE_LENGTH, STRETCH = 550_000, 48, 1 << 20
 #: Lists of more positions than this are applied by numpy.
 LONG_LIST = 40
 #: The word pattern and the white space of the tokenizer file.
@@ -59,7 +59,6 @@ class WordBpe:
             raise ValueError(f"{path} is not a BPE file with word ends and lower case")
         vocab: dict[str, int] = model["vocab"]
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in [*vocab.items(), *self.added.items()]}
         self.ranks: dict[int, int] = {}
         self.merges: list[tuple[int, int, int]] = []
         for rank, pair in enumerate(model["merges"]):
@@ -238,10 +237,18 @@ class WordBpe:
         known.update({c: i for c, i in learned.items() if len(c) <= CACHE_LENGTH})
         return [b"".join([p if isinstance(p, bytes) else b"".join([learned[c] if f is None else f for c, f in zip(*p, strict=True)]) for p in parts]) for parts in cut]
 
-    def decode(self, ids: bytes) -> str:
-        """Token strings parted by blanks; ids that stand for no token are left out, as the file has no decoder."""
-        names = self.tokens
-        return " ".join([names[i] for i in memoryview(ids).cast("I").tolist() if i in names])
+
+def joined(ids: bytes, names: dict[int, str]) -> str:
+    """Token strings parted by blanks, as the file has no decoder; ids that stand for no token are left out."""
+    return " ".join([names[i] for i in memoryview(ids).cast("I").tolist() if i in names])
+
+
+@functools.lru_cache(maxsize=2)
+def token_names(path: str) -> dict[int, str]:
+    """The token of each id: all that decoding needs of a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return {i: t for t, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
 
 
 @functools.lru_cache(maxsize=2)
@@ -270,8 +277,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     small_batches(encoded.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
+        names = token_names(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t.decode(x or b"") for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([joined(x or b"", names) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, ids binary, decoded string")

@@ -87,9 +87,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
         context = TaskContext.get()
         base = context.partitionId() << 33
-        table = pa.Table.from_batches(batches)
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         lengths = table.column("length").to_numpy()
         place, fills = best_fit(lengths.tolist(), capacity)
         place = np.array(place)
