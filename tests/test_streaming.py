@@ -68,6 +68,20 @@ def test_settle_stream(spark, rows, tmp_path):
     assert set(shape(got)) <= set(shape(want)) and len(want) - len(got) <= 3
 
 
+def test_open_requests_end_at_the_cap(spark, tmp_path):
+    """A request without an end: the stretch is closed by the cap, is told apart, and leaves no state."""
+    root = tmp_path / "in"
+    for n, (s, ms, kind) in enumerate([("a", 1000, "request"), ("b", 1000, "dom"), ("z", SENTINEL, "dom"), ("z", SENTINEL + 1, "dom")]):
+        df = spark.createDataFrame([(s, ms, n, kind)], "session STRING, ms BIGINT, event_id BIGINT, kind STRING").withColumn("ts", F.timestamp_millis("ms"))
+        df.coalesce(1).write.parquet(str(root / f"part={n}"))
+    schema = spark.read.parquet(str(root)).drop("part").schema
+    df = jobs.settle_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(root)), late="1 second")
+    q = df.writeStream.format("memory").queryName("capped").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(300)
+    assert sorted((r["session"], r["ended_by"]) for r in spark.table("capped").collect() if r["session"] != "z") == [("a", "cap"), ("b", "quiet")]
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1
+
+
 def test_stall_alerts(spark, rows, tmp_path):
     got = drain(jobs.stall_alerts(stream(spark, rows), late="1 second"), "stalls", tmp_path)
     want = {(r["session"], r["t"] - r["gap_ms"]) for r in events.stall_gaps(rows[1], ["session"]).collect()}
@@ -104,6 +118,16 @@ def test_ring_buffer_stream(spark, rows, tmp_path):
     assert got == {(r["session"], r["event_id"]) for r in events.ring_buffer(rows[1], 7).collect()}
 
 
+def test_buffers_are_compacted(spark, rows, tmp_path):
+    """A batch reads the last whole generation and what came since, never more than ``compact_every`` of them."""
+    out = str(tmp_path / "out")
+    assert jobs.ring_buffer_stream(stream(spark, rows), out, str(tmp_path / "c"), n=7, compact_every=2).awaitTermination(300)
+    got = {(r["session"], r["event_id"]) for r in jobs.ring_buffer_table(spark, out).where("session <> 'z'").collect()}
+    assert got == {(r["session"], r["event_id"]) for r in events.ring_buffer(rows[1], 7).collect()}
+    assert jobs._batches(spark, f"{out}/all") == [1, 3]
+    assert {r["batch"] for r in jobs._generations(spark, out, 5).select("batch").collect()} == {3, 4}
+
+
 def test_mask_stream_and_decisions(spark, tmp_path):
     root = tmp_path / "docs"
     for n, (i, text) in enumerate([(1, "zip 12345"), (2, "mail a@x.org"), (3, "Okonkwo was here")]):

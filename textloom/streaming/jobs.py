@@ -17,8 +17,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textloom.operators.events import BUFFER_ROWS, QUIET_MS, SETTLE_CAP_MS, STALL_MS
 from textloom.operators.shapes import mask_by_policy, split_quarantine
-from textloom.plans.masking import mask_known
+from textloom.plans.masking import mask_documents
 from textloom.session import cut_lineage
+from textloom.sources.readers import path_exists
+
+#: Silence after which a session's calls are forgotten, and batches between two whole generations of buffers.
+FORGET_MS, COMPACT_EVERY = 86_400_000, 10
 
 
 def watch_regex(events: DataFrame, pattern: str, text: str = "text") -> DataFrame:
@@ -71,20 +75,24 @@ def settle_stream(
 ) -> DataFrame:
     """Settled stretches per session, with open requests taken into account: the state is five numbers per session.
 
-    ``kind`` is ``dom``, ``request``, ``response`` or ``failed``. Events of a session must come in order across batches.
+    ``kind`` is ``dom``, ``request``, ``response`` or ``failed``. Events of a session must come in order across batches. A stretch whose
+    requests stay open ends anyway ``cap_ms`` after it began, once the session is quiet: ``ended_by`` is then ``cap`` and not ``quiet``.
+    Either way the session's state goes.
     """
 
-    def row(key: tuple, s: list) -> dict:
+    def row(key: tuple, s: list, ended_by: str = "quiet") -> dict:
         end = s[1] + quiet_ms
-        return {"session": key[0], "started": s[0], "last": s[1], "events": s[2], "mutations": s[3], "settled": end, "timed_out": end - s[0] > cap_ms}
+        return {"session": key[0], "started": s[0], "last": s[1], "events": s[2], "mutations": s[3], "settled": end, "timed_out": end - s[0] > cap_ms, "ended_by": ended_by}
+
+    def due(s: list) -> int:
+        return int(s[1]) + quiet_ms if s[4] <= 0 else max(int(s[1]) + quiet_ms, int(s[0]) + cap_ms)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         s = list(state.get) if state.exists else None
         out = []
         if state.hasTimedOut:
-            if s and s[4] <= 0:
-                yield pd.DataFrame([row(key, s)])
-                state.remove()
+            state.remove()
+            yield pd.DataFrame([row(key, s, "quiet" if s[4] <= 0 else "cap")])
             return
         batch = _ordered(batches, order)
         for t, kind in zip(batch["_ms"], batch["kind"]) if batch is not None else ():
@@ -95,62 +103,76 @@ def settle_stream(
             s = [s[0], t, s[2] + 1, s[3] + (kind == "dom"), s[4] + (kind == "request") - (kind in ("response", "failed"))]
         if s:
             state.update(tuple(int(v) for v in s))
-            state.setTimeoutTimestamp(max(int(s[1]) + quiet_ms, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(due(s), state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out)
 
-    output = "session STRING, started BIGINT, last BIGINT, events BIGINT, mutations BIGINT, settled BIGINT, timed_out BOOLEAN"
+    output = "session STRING, started BIGINT, last BIGINT, events BIGINT, mutations BIGINT, settled BIGINT, timed_out BOOLEAN, ended_by STRING"
     return _by_session(events, late, output, "s BIGINT, l BIGINT, n BIGINT, m BIGINT, o BIGINT", step)
 
 
 def stall_alerts(events: DataFrame, order: str = "event_id", limit_ms: int = STALL_MS, late: str = "10 seconds") -> DataFrame:
-    """A row as soon as a session has been silent for ``limit_ms``; the state is the time of its last event."""
+    """A row as soon as a session has been silent for ``limit_ms``; the state is the time of its last event, and goes with the alert."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            yield pd.DataFrame([{"session": key[0], "silent_since": state.get[0]}])
-            state.update((state.get[0], True))
+            silent = state.get[0]
+            state.remove()
+            yield pd.DataFrame([{"session": key[0], "silent_since": silent}])
             return
-        last, told = state.get if state.exists else (None, False)
+        last = state.get[0] if state.exists else None
         gaps = []
         batch = _ordered(batches, order)
         for t in batch["_ms"] if batch is not None else ():
-            if last is not None and t - last > limit_ms and not told:
+            if last is not None and t - last > limit_ms:
                 gaps.append({"session": key[0], "silent_since": last})
-            last, told = max(int(t), last or 0), False
-        state.update((last, told))
-        if not told:
+            last = max(int(t), last or 0)
+        if last is not None:
+            state.update((last,))
             state.setTimeoutTimestamp(max(last + limit_ms + 1, state.getCurrentWatermarkMs() + 1))
         if gaps:
             yield pd.DataFrame(gaps)
 
-    return _by_session(events, late, "session STRING, silent_since BIGINT", "last BIGINT, told BOOLEAN", step)
+    return _by_session(events, late, "session STRING, silent_since BIGINT", "last BIGINT", step)
 
 
-def loop_alerts(events: DataFrame, order: str = "event_id", limit: int = 3, late: str = "10 seconds") -> DataFrame:
-    """The ``limit``-th and later of equal calls in a row; the state is the last call and its count."""
+def loop_alerts(events: DataFrame, order: str = "event_id", limit: int = 3, late: str = "10 seconds", forget_ms: int = FORGET_MS) -> DataFrame:
+    """The ``limit``-th and later of equal calls in a row; the state is the last call and its count.
+
+    A session without an event for ``forget_ms`` is forgotten: its next call counts as the first.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, count = state.get if state.exists else ("", 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, count, seen = state.get if state.exists else ("", 0, 0)
         out = []
         batch = _ordered(batches, order)
-        for verb, args, at in zip(batch["verb"], batch["args"], batch[order]) if batch is not None else ():
+        for verb, args, at, t in zip(batch["verb"], batch["args"], batch[order], batch["_ms"]) if batch is not None else ():
             call = f"{verb}|{args}"
+            if seen and t - seen > forget_ms:
+                last, count = "", 0
             last, count = call, count + 1 if call == last else 1
+            seen = max(seen, int(t))
             if count >= limit:
                 out.append({"session": key[0], "at": int(at), "call": call, "repeat": count})
-        state.update((last, count))
+        state.update((last, count, seen))
+        state.setTimeoutTimestamp(max(seen + forget_ms, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out)
 
-    return _by_session(events, late, "session STRING, at BIGINT, call STRING, repeat BIGINT", "last STRING, count BIGINT", step)
+    return _by_session(events, late, "session STRING, at BIGINT, call STRING, repeat BIGINT", "last STRING, count BIGINT, seen BIGINT", step)
 
 
-def ring_buffer_stream(events: DataFrame, out: str, checkpoint: str, n: int = BUFFER_ROWS, order: str = "event_id") -> StreamingQuery:
+def ring_buffer_stream(
+    events: DataFrame, out: str, checkpoint: str, n: int = BUFFER_ROWS, order: str = "event_id", compact_every: int = COMPACT_EVERY
+) -> StreamingQuery:
     """Keep the last ``n`` events of every session as a table of generations; read it with ``ring_buffer_table``.
 
     Every batch writes the buffers of the sessions it touched. The batch is cut to ``n`` rows per session before it meets
-    the buffers, so no task holds more than that of one session.
+    the buffers, so no task holds more than that of one session. Every ``compact_every`` batches all buffers are written together,
+    and later batches read only that and what came after it. A batch that is repeated writes the same again.
     """
     from textloom.operators.ordered import last_rows
 
@@ -162,18 +184,37 @@ def ring_buffer_stream(events: DataFrame, out: str, checkpoint: str, n: int = BU
             touched = fresh.select("session").distinct()
             older = _newest(before).join(touched, "session", "left_semi").select(*fresh.columns)
             fresh = last_rows(older.unionByName(fresh), ["session"], ["ts", order], n)
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        fresh.write.mode("overwrite").parquet(f"{out}/some/batch={number}")
+        if number % compact_every == compact_every - 1:
+            whole = _newest(_generations(spark, out, number + 1))
+            whole.write.mode("overwrite").parquet(f"{out}/all/batch={number}")
 
     return events.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _generations(spark, out: str, below: int | None = None) -> DataFrame | None:
-    from textloom.sources.readers import path_exists
+def _batches(spark, folder: str) -> list[int]:
+    """Numbers of the batches whose output in ``folder`` is complete."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(hadoop):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(hadoop)]
+    done = [x for x in names if x.startswith("batch=") and path_exists(spark, f"{folder}/{x}/_SUCCESS")]
+    return sorted(int(x.removeprefix("batch=")) for x in done)
 
-    if not path_exists(spark, out):
+
+def _generations(spark, out: str, below: int) -> DataFrame | None:
+    """The last whole generation before ``below`` and the partial ones since."""
+    whole = [k for k in _batches(spark, f"{out}/all") if k < below]
+    since = [k for k in _batches(spark, f"{out}/some") if (whole[-1] if whole else -1) < k < below]
+    paths = [f"{out}/all/batch={k}" for k in whole[-1:]] + [f"{out}/some/batch={k}" for k in since]
+    if not paths:
         return None
-    rows = spark.read.parquet(out)
-    return rows if below is None else rows.where(F.col("batch") < below)
+    read = lambda p: spark.read.parquet(p).withColumn("batch", F.lit(int(p.rpartition("=")[2])))
+    rows = read(paths[0])
+    for p in paths[1:]:
+        rows = rows.unionByName(read(p))
+    return rows
 
 
 def _newest(rows: DataFrame) -> DataFrame:
@@ -182,7 +223,7 @@ def _newest(rows: DataFrame) -> DataFrame:
 
 
 def ring_buffer_table(spark, out: str) -> DataFrame:
-    return _newest(spark.read.parquet(out))
+    return _newest(_generations(spark, out, 1 << 62))
 
 
 def mask_stream(
@@ -195,9 +236,8 @@ def mask_stream(
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        raw = batch.withColumn("_raw", F.col("text"))
-        known = raw if values is None else mask_known(raw, values(), secret, key)
-        done = cut_lineage(mask_by_policy(known, decisions(), secret, key, raw="_raw").drop("_raw"))
+        masked = mask_by_policy(batch, decisions(), secret, key) if values is None else mask_documents(batch, values(), decisions(), secret, key)
+        done = cut_lineage(masked)
         good, bad = split_quarantine(done)
         good.write.mode("overwrite").parquet(f"{released}/batch={number}")
         bad.write.mode("overwrite").parquet(f"{withheld}/batch={number}")
@@ -210,8 +250,9 @@ def decision_memory(decisions: DataFrame, out: str, checkpoint: str) -> Streamin
 
     def remember(batch: DataFrame, number: int) -> None:
         order = F.struct("ts", "decision")
+        spark = batch.sparkSession
         first = batch.groupBy("source", "norm_value").agg(F.min_by("decision", order).alias("decision"))
-        known = _generations(batch.sparkSession, out, number)
+        known = spark.read.parquet(out).where(F.col("batch") < number) if path_exists(spark, out) else None
         fresh = first if known is None else first.join(known, ["source", "norm_value"], "left_anti")
         fresh.write.mode("overwrite").parquet(str(PurePosixPath(out) / f"batch={number}"))
 
