@@ -104,32 +104,31 @@ def leftmost_longest(spans: Column, spans_type: str, rank: str | None = None) ->
 
 
 def match_context(text: Column, start: Column, end: Column, lines: int = 2) -> Column:
-    """Line number, the hit line cut to a window around the match, and ``lines`` clamped lines on both sides."""
-    width = CONTEXT_WIDTH
-
-    def clamp(x: Column) -> Column:
-        return F.when(F.length(x) <= 2 * width, x).otherwise(F.concat(F.substring(x, 1, 2 * width), F.lit(" …")))
-
-    def window(raw: Column, col: Column) -> Column:
-        lo = F.greatest(F.lit(0), col - width)
-        hi = F.least(F.length(raw), col + (end - start) + width)
-        left = F.when(lo > 0, F.lit("… ")).otherwise(F.lit(""))
-        right = F.when(hi < F.length(raw), F.lit(" …")).otherwise(F.lit(""))
-        return F.concat(left, F.substr(raw, lo + 1, hi - lo), right)
-
-    def context(all_lines: Column, before: Column) -> Column:
-        line = F.size(before)
-        first = F.greatest(F.lit(1), line - lines)
+    """Line number, the hit line cut to a window around the match, and ``lines`` clamped lines on both sides.
+
+    Worked out from the places where the match's line begins and ends; only the lines nearby are taken apart.
+    """
+    near = CONTEXT_WIDTH
+    if_cut = lambda cut, mark: F.when(cut, F.lit(mark)).otherwise(F.lit(""))
+    short = lambda rows: F.transform(rows, lambda x: F.concat(F.substring(x, 1, 2 * near), if_cut(F.length(x) > 2 * near, " …")))
+    none = F.array().cast("array<string>")
+
+    def around(ahead: Column, rest: Column) -> Column:
+        begins = F.length(ahead) - F.length(F.substring_index(ahead, "\n", -1))
+        ends = F.length(ahead) + F.length(F.substring_index(rest, "\n", 1))
+        above = F.split(F.substr(ahead, F.lit(1), begins - 1), "\n", -1)
+        last = F.slice(above, F.greatest(F.lit(1), F.size(above) - lines + 1), F.lit(lines))
+        below = F.split(F.substr(text, ends + 2, F.length(text)), "\n", lines + 1)
+        lo, hi = F.greatest(begins, start - near), F.least(ends, end + near)
         return F.struct(
-            line.alias("line"),
-            F.transform(F.slice(all_lines, first, line - first), clamp).alias("before"),
-            let(F.element_at(all_lines, line), lambda raw: window(raw, F.length(F.element_at(before, -1)))).alias("hit"),
-            F.transform(F.slice(all_lines, line + 1, F.lit(lines)), clamp).alias("after"),
+            (F.length(ahead) - F.length(F.replace(ahead, F.lit("\n"), F.lit(""))) + 1).alias("line"),
+            short(F.when(begins > 0, last).otherwise(none)).alias("before"),
+            F.concat(if_cut(lo > begins, "… "), F.substr(text, lo + 1, hi - lo), if_cut(hi < ends, " …")).alias("hit"),
+            short(F.when(ends < F.length(text), F.slice(below, 1, lines)).otherwise(none)).alias("after"),
         )
 
-    # The last of the lines before the match ends where the match starts, so its length is the column.
-    head = F.split(F.substr(text, F.lit(1), start), "\n", -1)
-    return let(F.split(text, "\n", -1), lambda all_lines: let(head, lambda before: context(all_lines, before)))
+    head, tail = F.substr(text, F.lit(1), start), F.substr(text, start + 1, F.length(text))
+    return let(head, lambda ahead: let(tail, lambda rest: around(ahead, rest)))
 
 
 def clip(text: Column, n: int = CLIP_CHARS) -> Column:

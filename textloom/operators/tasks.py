@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import pandas as pd
@@ -208,28 +209,46 @@ CALLS = T.ArrayType(
 )
 
 
+_VERBS = "|".join(sorted([*VERB_TOOLS, *TASK_VERBS], key=len, reverse=True))
+_GAP = f"[{WHITE}{INVISIBLE[-1]}]"
+_TAG = re.compile(rf"(?i)<(?P<verb>{_VERBS})(?![A-Za-z0-9_])(?P<attributes>[^>]*?)(?P<alone>/?)>")
+_ENDS = re.compile(f"</({_VERBS})>")
+_ATTRIBUTE = re.compile(rf'([a-zA-Z_][a-zA-Z0-9_-]*){_GAP}*={_GAP}*"([^"]*)"')
+_PARTS = {part: re.compile(rf"(?is)<{part}{_GAP}*>(.*?)</{part}>") for part in ("find", "replace")}
+
+
+def call_args(verb: str, attributes: str, body: str | None) -> dict[str, str]:
+    """The attributes of a call, whole numbers in plain form, and what its body adds."""
+    args = {name: value.strip(WHITE + INVISIBLE[-1]) for name, value in _ATTRIBUTE.findall(attributes)}
+    whole = [n for n in INTEGERS.get(verb, ()) if re.fullmatch("[+-]?[0-9]+", args.get(n, ""))]
+    args |= {n: str(int(args[n])) for n in whole}
+    if body is None:
+        return args
+    held = {"write": lambda: {"content": body}, "edit": lambda: {n: m[1] for n, p in _PARTS.items() if (m := p.search(body))}}
+    return args | held.get(verb, dict)()
+
+
 def parse_calls(text: str | None) -> list[dict]:
-    """The calls in one reply, in order."""
-    verbs = sorted([*VERB_TOOLS, *TASK_VERBS], key=len, reverse=True)
-    gap = f"[{WHITE}{INVISIBLE[-1]}]"
-    opening = re.compile(rf"<({'|'.join(verbs)})(?![A-Za-z0-9_])([^>]*?)(/?)>", re.I)
+    """The calls in one reply, in order.
+
+    All tags and all ends are listed first. A tag's body reaches to the next end of its verb, and tags inside a body are part of it.
+    """
     scan = re.split(CUT, text or "", maxsplit=1)[0]
-    calls, pos = [], 0
-    while m := opening.search(scan, pos):
-        verb, pos = m[1].lower(), m.end()
-        args = {k: v.strip(WHITE + INVISIBLE[-1]) for k, v in re.findall(rf'([a-zA-Z_][a-zA-Z0-9_-]*){gap}*={gap}*"([^"]*)"', m[2])}
-        for name in INTEGERS.get(verb, ()):
-            number = re.fullmatch(r"[+-]?[0-9]+", args.get(name, ""))
-            args |= {name: str(int(number[0]))} if number else {}
-        end = -1 if m[3] else scan.find(f"</{verb}>", pos)
-        if end >= 0:
-            body, pos = scan[pos:end], end + len(verb) + 3
-            if verb == "write":
-                args["content"] = body
-            for part in ("find", "replace") if verb == "edit" else ():
-                inner = re.search(rf"<{part}{gap}*>(.*?)</{part}>", body, re.I | re.S)
-                args |= {part: inner[1]} if inner else {}
-        calls.append({"verb": verb, "kind": "tool" if verb in VERB_TOOLS else "task-op", "tool": VERB_TOOLS.get(verb), "args": args})
+    ends: dict[str, list[int]] = {}
+    for m in _ENDS.finditer(scan):
+        ends.setdefault(m[1], []).append(m.start())
+    calls, free = [], 0
+    for tag in _TAG.finditer(scan):
+        if tag.start() < free:
+            continue
+        verb, free = tag["verb"].lower(), tag.end()
+        own = ends.get(verb, ())
+        at = bisect_left(own, free)
+        body = None
+        if not tag["alone"] and at < len(own):
+            body, free = scan[free : own[at]], own[at] + len(f"</{verb}>")
+        tool = VERB_TOOLS.get(verb)
+        calls.append({"verb": verb, "kind": "tool" if tool else "task-op", "tool": tool, "args": call_args(verb, tag["attributes"], body)})
     return calls
 
 
