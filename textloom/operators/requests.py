@@ -50,12 +50,12 @@ def chat_time_ms(t: Column) -> Column:
     return F.when(t < 100_000_000_000, t * 1000).otherwise(t)
 
 
-def thread_tree(nodes: DataFrame) -> DataFrame:
+def thread_tree(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Root and depth of every node (tree, node, parent_id), by following parent pointers. An orphan is its own root.
 
     Pointers are doubled: each round an unfinished node takes over the pointer of the node it points to, so a thread of
     length n needs log2(n) joins. Whatever is unfinished after as many rounds as the number of nodes allows lies on a cycle or
-    hangs from one, and gets NULL as its root.
+    hangs from one, and gets NULL as its root; so does what ``max_depth``, if it is given, does not reach.
     """
     ids = nodes.select("tree", F.col("node").alias("parent_id"), F.col("node").alias("_up")).distinct()
     up = F.col("_up")
@@ -64,7 +64,7 @@ def thread_tree(nodes: DataFrame) -> DataFrame:
         linked.select("tree", "node", F.coalesce(up, "node").alias("root"), up.isNotNull().cast("bigint").alias("depth"), up.isNull().alias("done"))
     )
     reach, size = 1, state.count()
-    while reach < 2 * size and not state.where(~F.col("done")).isEmpty():
+    while reach < (2 * size if max_depth is None else max_depth) and not state.where(~F.col("done")).isEmpty():
         above = state.select("tree", F.col("node").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
         moved = state.where(~F.col("done")).join(above, ["tree", "root"])
         moved = moved.select("tree", "node", F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"))

@@ -12,7 +12,7 @@ from textloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
-PARTS = ("text", "events", "tasks", "identifiers", "corpus", "logs")
+PARTS = ("text", "events", "tasks", "identifiers", "corpus", "logs", "files")
 
 
 def query(check: str | None = None, name: str | None = None):
