@@ -233,3 +233,59 @@ def test_raw_text_decides(spark):
 def test_secret_is_not_in_the_plan(spark, store):
     plan = spark.range(1).select(identifiers.pii_id(F.lit("a"), SECRET))._jdf.queryExecution().toString()
     assert bytes(b ^ 0x36 for b in hashlib.sha256(SECRET.encode()).digest()).hex().upper() not in plan.upper()
+
+
+def test_candidates_are_filtered_before_they_leave_the_scan(spark, store):
+    """The filter and the texts hash alike: every key passes, hardly anything else does."""
+    import xxhash
+
+    keys = [f"tkey {i} é漢" for i in range(300)] + ["n12345", "t"]
+    bits = masking.key_filter(spark.createDataFrame([(k,) for k in keys], "match_key STRING"))
+    at = lambda k: xxhash.xxh64_intdigest(k.encode(), 42) & (masking.FILTER_BITS - 1)
+    hit = lambda k: bits[at(k) >> 3] >> (at(k) & 7) & 1
+    assert all(map(hit, keys)) and sum(hit(f"tother {i}") for i in range(20000)) < 5
+
+
+ODD = [(None, "a", "zip 12345 here"), (None, "a", "zip 54321 there"), (7, "a", "aa 54321"), (7, "a", "bb 12345 cc 12345"), (8, "a", "tel 99999"), (9, "a", None), (9, "b", "plain"), (None, None, "id 11111")]
+
+
+@pytest.mark.parametrize("small", [100, 0])
+def test_policy_with_shared_and_missing_keys(spark, small):
+    """A text is withheld or masked by what it holds, whatever its key; a word that is no decision releases nothing."""
+    df = spark.createDataFrame(ODD, "doc_id BIGINT, source STRING, text STRING")
+    told = [("*", "12345", "mask"), ("*", "54321", "allow"), ("a", "99999", "Mask"), ("*", "11111", None), (None, "11111", "allow")]
+    decisions = spark.createDataFrame(told, "source STRING, norm_value STRING, decision STRING")
+    got = {}
+    for r in shapes.mask_by_policy(df, decisions, "key", small_decisions=small).collect():
+        got[r["doc_id"], r["text"] and r["text"][:2], r["source"], r["released"]] = (r["text"], r["masked"], r["allowed"], r["pending"])
+    assert len(got) == 8 - 1  # two rows with NULL ids begin alike
+    assert got[7, "aa", "a", True] == ("aa 54321", 0, 1, 0)
+    assert got[7, "bb", "a", True][1:] == (2, 0, 0) and "12345" not in got[7, "bb", "a", True][0]
+    assert got[8, "te", "a", False] == ("tel 99999", 0, 0, 1)
+    assert got[9, None, "a", True] == (None, 0, 0, 0) and got[None, "id", None, False][3] == 1
+    rows = shapes.mask_all(df, decisions, "key").collect()
+    assert all(r["released"] for r in rows) and not any(v in (r["text"] or "") for r in rows for v in ("12345", "99999", "11111"))
+
+
+@pytest.mark.parametrize("small", [100, 0])
+def test_known_values_with_shared_and_missing_keys(spark, small):
+    store = spark.createDataFrame([("f", "m", "name", "Adebayo"), ("f", "m", "city", "Lagos")], "family STRING, member STRING, path STRING, value STRING")
+    texts = ["see Adebayo now", "Adebayo", "in Lagos", None, "nothing", "see Adebayo now"]
+    df = spark.createDataFrame([(None if i % 2 else 1, t) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING")
+    got = [r["text"] for r in masking.mask_known(df, store, "key", small_store=small).collect()]
+    name, city = "@@@(f.m.name)", "@@@(f.m.city)"
+    assert sorted(map(str, got)) == sorted([f"see {name} now", name, f"in {city}", "None", "nothing", f"see {name} now"])
+    notes = spark.createDataFrame([(None, f"to {name}"), (None, "bad @@@(f.m.shoe)"), (None, "plain"), (1, f"to {name}"), (1, "###{city across 3 families #0123456789abcdef}")], "doc_id BIGINT, text STRING")
+    good, bad = masking.unmask_known(notes, store)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in good.collect()) == [("1", "to Adebayo"), ("None", "plain"), ("None", "to Adebayo")]
+    assert sorted((str(r["doc_id"]), r["problem"]) for r in bad.collect()) == [("1", "read-only descriptor"), ("None", "unresolved")]
+
+
+def test_digits_of_a_token_are_no_shape(spark):
+    """Five digits inside the id of a shared value must neither hold the text back nor be masked."""
+    people = [(f"f{i}", "m", "city", f"Town{n}x") for n in range(60) for i in range(2)]
+    store = spark.createDataFrame(people, "family STRING, member STRING, path STRING, value STRING")
+    df = spark.createDataFrame([(n, "s", f"from Town{n}x") for n in range(60)], "doc_id BIGINT, source STRING, text STRING")
+    none = spark.createDataFrame([], "source STRING, norm_value STRING, decision STRING")
+    rows = masking.mask_documents(df, store, none, "key").collect()
+    assert len(rows) == 60 and all(r["released"] and r["text"].startswith("from ###{city across 2 families") for r in rows)
