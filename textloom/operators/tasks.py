@@ -11,13 +11,14 @@ from bisect import bisect_left
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions.folding import INVISIBLE, WHITE
 from textloom.functions.text import clip, estimate_tokens
 from textloom.operators.ordered import ROWS_PER_SLICE, ordered_scan, slices
+from textloom.session import cut_lineage
 
 # Token budgets of tiers 1 and 2, and how far above them demotion starts.
 TIER_1_BUDGET = 12000
@@ -40,16 +41,18 @@ def search_tasks(tasks: DataFrame, query: str = "") -> DataFrame:
 
 
 def message_tokens(messages: DataFrame) -> DataFrame:
-    """Tokens per task: of all messages, and of tool results alone."""
-    tokens = estimate_tokens(F.col("content"))
+    """Tokens per task: of all messages, of tool results alone, and of the notes that would stand for these."""
+    of_results = lambda text: F.sum(F.when(F.col("kind") == "tool-result", estimate_tokens(text)).otherwise(0))
     return messages.groupBy("project", "task_id").agg(
-        F.sum(tokens).alias("tokens"), F.sum(F.when(F.col("kind") == "tool-result", tokens).otherwise(0)).alias("result_tokens")
+        F.sum(estimate_tokens(F.col("content"))).alias("tokens"),
+        of_results(F.col("content")).alias("result_tokens"),
+        of_results(result_note()).alias("note_tokens"),
     )
 
 
 def _with_tokens(tasks: DataFrame, messages: DataFrame) -> DataFrame:
     sums = message_tokens(messages).withColumnRenamed("task_id", "id")
-    zero = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("tokens", "result_tokens")}
+    zero = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("tokens", "result_tokens", "note_tokens")}
     return tasks.join(sums, ["project", "id"], "left").withColumns(zero)
 
 
@@ -59,12 +62,16 @@ def tokens_by_tier(tasks: DataFrame, messages: DataFrame) -> DataFrame:
     return _with_tokens(tasks, messages).groupBy("project", "tier").agg(F.sum(used).alias("tokens"))
 
 
-def mask_tool_results(messages: DataFrame) -> DataFrame:
-    """Tool results replaced by a one-line note on their size."""
+def result_note() -> Column:
+    """A one-line note on the size of a tool result."""
     lines = F.size(F.split(F.coalesce("content", F.lit("")), "\n", -1))
     name = F.when(F.coalesce("tool_name", F.lit("")) == "", F.lit("tool")).otherwise(F.col("tool_name"))
-    note = F.format_string("[%s %s -> %d lines, masked]", "task_id", name, lines)
-    return messages.withColumn("content", F.when(F.col("kind") == "tool-result", note).otherwise(F.col("content")))
+    return F.format_string("[%s %s -> %d lines, masked]", "task_id", name, lines)
+
+
+def mask_tool_results(messages: DataFrame) -> DataFrame:
+    """Tool results replaced by a one-line note on their size."""
+    return messages.withColumn("content", F.when(F.col("kind") == "tool-result", result_note()).otherwise(F.col("content")))
 
 
 def _demoted(candidates: DataFrame, total: DataFrame, removed: str, budget: int, low_mark: bool, rows_per_slice: int) -> DataFrame:
@@ -89,30 +96,38 @@ def demote_tiers(
     Tier 1 tasks get their tool results masked and become tier 2; then tier 2 tasks lose their messages and become tier 3.
     The oldest finished task goes first; the current one and unfinished ones stay.
     """
-    sized = _with_tokens(tasks, messages)
+    # One pass over the messages gives every sum that either round needs; both rounds then work on tasks alone.
+    sized = cut_lineage(_with_tokens(tasks, messages))
     free = F.col("ended").isNotNull() & ~F.col("is_current")
     one = sized.where(F.col("tier") == 1)
     total_1 = one.where(~F.col("is_current")).groupBy("project").agg(F.sum("tokens").alias("_total"))
     down_1 = _demoted(one.where(free), total_1, "result_tokens", TIER_1_BUDGET, low_mark, rows_per_slice)
     flag_1 = down_1.select("project", "id", F.lit(True).alias("_masked"))
+    masked = F.coalesce("_masked", F.lit(False))
+    stage = cut_lineage(
+        sized.join(flag_1, ["project", "id"], "left").withColumns(
+            {
+                "tier": F.when(masked, 2).otherwise(F.col("tier")),
+                "tokens": F.when(masked, F.col("tokens") - F.col("result_tokens") + F.col("note_tokens")).otherwise(F.col("tokens")),
+                "_masked": masked,
+            }
+        )
+    )
 
-    masked = messages.join(flag_1.withColumnRenamed("id", "task_id"), ["project", "task_id"], "left")
-    shrunk = mask_tool_results(masked.where("_masked")).unionByName(masked.where("_masked is null")).select(*messages.columns)
-    stage = tasks.join(flag_1, ["project", "id"], "left").withColumn("tier", F.when(F.col("_masked"), 2).otherwise(F.col("tier"))).drop("_masked")
-
-    sized_2 = _with_tokens(stage, shrunk)
-    two = sized_2.where(F.col("tier") == 2)
+    two = stage.where(F.col("tier") == 2)
     total_2 = two.groupBy("project").agg(F.sum("tokens").alias("_total"))
     down_2 = _demoted(two.where(free), total_2, "tokens", TIER_2_BUDGET, low_mark, rows_per_slice)
     flag_2 = down_2.select("project", "id", F.lit(True).alias("_dropped"))
 
     dropped = F.col("_dropped")
     summary = F.when(dropped & (F.coalesce("summary", F.lit("")) == ""), F.lit("(no summary)")).otherwise(F.col("summary"))
-    final = stage.join(flag_2, ["project", "id"], "left").withColumns(
-        {"summary": summary, "tier": F.when(dropped, 3).otherwise(F.col("tier"))}
+    final = cut_lineage(
+        stage.join(flag_2, ["project", "id"], "left").withColumns({"summary": summary, "tier": F.when(dropped, 3).otherwise(F.col("tier"))})
     )
-    kept = shrunk.join(flag_2.withColumnRenamed("id", "task_id"), ["project", "task_id"], "left_anti")
-    return final.drop("_dropped"), kept
+    marks = final.where("_masked OR _dropped").select("project", F.col("id").alias("task_id"), "_masked", F.coalesce("_dropped", F.lit(False)).alias("_dropped"))
+    marked = messages.join(marks, ["project", "task_id"], "left").where("NOT coalesce(_dropped, false)")
+    text = F.when(F.col("_masked") & (F.col("kind") == "tool-result"), result_note()).otherwise(F.col("content"))
+    return final.select(*tasks.columns), marked.withColumn("content", text).select(*messages.columns)
 
 
 def rebuild_context(tasks: DataFrame, messages: DataFrame) -> DataFrame:
