@@ -10,7 +10,9 @@ Documents with equal sets are one class and never expanded. Each key's bucket fi
 class against each other one. Confirmed links make components. Buckets that still hold several components are then compared inside
 their task: of the pairs across components those within the distance are named, each in its first common bucket only, if
 their wide signatures (WIDE_SLOTS values of 4 bits, of the classes in such buckets alone) are within WIDE_DISTANCE too, which a
-link again exceeds with a probability below 1e-6. These pairs are confirmed as well. Links inside a component add nothing to it.
+link again exceeds with a probability below 1e-6. That is done twice: first each row names its nearest such row alone, which merges
+most components that belong together, then all pairs that are left are named. All named pairs are confirmed. Links inside a
+component add nothing to it.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from textloom.llm.shingles import mix, shingle_set
 
 SLOTS, CHUNKS, DISTANCE = 60, 15, 29
 WIDTH = SLOTS // CHUNKS
-WIDE_SLOTS, WIDE_DISTANCE = 512, 140
+WIDE_SLOTS, WIDE_DISTANCE, WIDE_NEAR = 1024, 253, 215
 FILTER_BITS = 1 << 26
 #: Hashes of a set that are minimised at a time.
 BLOCK = 2048
@@ -195,13 +197,15 @@ class Linker:
         release(self.spark)
         return links
 
-    def across(self, comps: DataFrame) -> DataFrame:
-        """Pairs within the distance that share a bucket but not a component."""
+    def mixed(self, comps: DataFrame) -> DataFrame:
+        """(way, key, cls, comp) of the buckets that hold several components."""
         placed = self.members.join(comps, "cls", "left").select("way", "key", "cls", F.coalesce("comp", "cls").alias("comp"))
         placed = stash(placed, "placed")
         mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        rows = stash(placed.join(mixed, "key"), "mixed")
-        wide = self.from_texts(rows.select("cls"), wide_signature)
+        return stash(placed.join(mixed, "key"), "mixed")
+
+    def across(self, rows: DataFrame, wide: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs within both distances that share a bucket but not a component; ``nearest``: at most one for each row."""
         about = self.classes.select("cls", "size", "sig").join(wide, "cls")
         rows = rows.join(about, "cls").select("way", "key", "cls", "comp", "size", "sig", "made")
         percent = self.percent
@@ -216,21 +220,24 @@ class Linker:
                 last = int(cuts[-1]) if len(cuts) else 0
                 rest = t.slice(last)
                 if last:
-                    yield from crossing(t.slice(0, last), percent)
+                    yield from crossing(t.slice(0, last), percent, nearest)
             if rest is not None and rest.num_rows:
-                yield from crossing(rest, percent)
+                yield from crossing(rest, percent, nearest)
 
         return rows.repartition(partitions(rows), "key").sortWithinPartitions("key", "size").mapInArrow(work, "a long, b long").distinct()
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Confirmed links (a, b) that span every component, and (cls, comp) of the classes that have any."""
         links = self.confirm(self.stars())
-        comps = stash(components(links), "components")
-        more = self.confirm(self.across(comps))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            # From the stars that are there already.
-            comps = stash(components(comps.select(F.col("cls").alias("a"), F.col("comp").alias("b")).unionByName(more)), "components")
+        comps, wide = stash(components(links), "components"), None
+        for nearest in (True, False):
+            rows = self.mixed(comps)
+            wide = self.from_texts(rows.select("cls"), wide_signature) if wide is None else wide
+            more = self.confirm(self.across(rows, wide, nearest))
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                # From the stars that are there already.
+                comps = stash(components(comps.select(F.col("cls").alias("a"), F.col("comp").alias("b")).unionByName(more)), "components")
         return links, comps
 
 
@@ -244,7 +251,7 @@ def first_way(own: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.where(equal[rows, chunk] >= WIDTH - 1, chunk * WIDTH + left_out, len(LEFT_OUT))
 
 
-def crossing(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+def crossing(t: pa.Table, percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
     """The pairs of each bucket of ``t`` (by key, then size) in different components, of fitting sizes, within both distances, that no earlier bucket has."""
     way, keys, cls, comp, size = (t.column(c).to_numpy() for c in ("way", "key", "cls", "comp", "size"))
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, SLOTS)
@@ -263,9 +270,14 @@ def crossing(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
             x = wide[at] ^ wide[i]
             x |= x >> np.uint64(1)
             x |= x >> np.uint64(2)
-            at = at[np.bitwise_count(x & ones).sum(1) <= WIDE_DISTANCE]
-            at = at[(sig[at] != sig[i]).sum(1) <= DISTANCE]
-            at = at[first_way(sig[i], sig[at]) == way[i]] if len(at) else at
+            far = np.bitwise_count(x & ones).sum(1)
+            ok = far <= (WIDE_NEAR if nearest else WIDE_DISTANCE)
+            at, far = at[ok], far[ok]
+            ok = (sig[at] != sig[i]).sum(1) <= DISTANCE
+            at, far = at[ok], far[ok]
+            ok = first_way(sig[i], sig[at]) == way[i] if len(at) else ok[ok]
+            at, far = at[ok], far[ok]
+            at = at[far.argmin() :][:1] if nearest and len(at) else at
             if len(at):
                 own = np.full(len(at), cls[i])
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, cls[at])), pa.array(np.maximum(own, cls[at]))], ["a", "b"])
