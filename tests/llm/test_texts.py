@@ -377,6 +377,28 @@ def test_every_pair_within_the_distance_shares_a_key(spark):
     assert all(keys[0] & keys[i] for i in range(1, 301))
 
 
+def test_large_buckets_are_dealt_into_bounded_units(spark, monkeypatch):
+    """One key with a large component, a stray row and some small components: bounded units, the same pairs."""
+    monkeypatch.setattr(neardup, "UNIT", 16)
+    rng = np.random.default_rng(3)
+    texts = [(i, " ".join(f"w{x}" for x in rng.integers(0, 50, 30))) for i in range(150)]
+    run = neardup.Linker(spark.createDataFrame(texts, "doc_id long, text string"), 2, 80, "doc_id", "text")
+    sig, made = bytearray(2 * neardup.SLOTS), bytearray(neardup.WIDE_SLOTS // 2)
+    run.classes = spark.createDataFrame([(i, 100, sig) for i in range(150)], "cls long, size long, sig binary")
+    wide = spark.createDataFrame([(i, made) for i in range(150)], "cls long, made binary")
+    comp = {i: 0 if i < 100 else 100 if i < 101 else i - i % 2 for i in range(150)}
+    rows = spark.createDataFrame([(0, 9, i, c) for i, c in comp.items()], "way int, key long, cls long, comp long")
+    got = run.across(rows, wide, False).collect()
+    assert len(got) == len({(r["a"], r["b"]) for r in got})
+    assert {(r["a"], r["b"]) for r in got} == {(i, j) for i in range(150) for j in range(i + 1, 150) if comp[i] != comp[j]}
+    near = run.across(rows, wide, True).collect()
+    assert {(r["a"], r["b"]) for r in near} == {(0, i) for i in range(100, 150)}
+    units = run.dealt(rows).groupBy("key", "block", "part", "role").count().collect()
+    assert max(r["count"] for r in units) <= 2 * 16 and {r["role"] for r in units} == {1, 2}
+    stray = run.dealt(rows.filter("cls <= 100")).groupBy("role").count().collect()
+    assert {r["role"]: r["count"] for r in stray} == {1: 7, 2: 101}
+
+
 # Quality
 
 

@@ -7,8 +7,9 @@ DISTANCE // CHUNKS = 1 error; the allowed errors are enumerated as the four ways
 (chunk, slot left out, three values) bring together every pair within DISTANCE.
 
 Documents with equal sets are one class and never expanded. Each key's bucket first gives a star: its smallest
-class against each other one. Confirmed links make components. Buckets that still hold several components are then compared inside
-their task: of the pairs across components those within the distance are named, each in its first common bucket only, if
+class against each other one. Confirmed links make components. Buckets that still hold several components are then compared: those of
+more than UNIT rows are dealt into units, each a block of the bucket against a block of its rows outside the commonest component, so
+a task holds a bounded number of rows. Of the pairs across components those within the distance are named, each in its first common bucket only, if
 their wide signatures (WIDE_SLOTS values of 4 bits, of the classes in such buckets alone) are within WIDE_DISTANCE too, which a
 link again exceeds with a probability below 1e-6. That is done twice: first each row names its nearest such row alone, which merges
 most components that belong together, then all pairs that are left are named. All named pairs are confirmed. Links inside a
@@ -33,6 +34,8 @@ WIDE_SLOTS, WIDE_DISTANCE, WIDE_NEAR = 1024, 253, 215
 FILTER_BITS = 1 << 26
 #: Hashes of a set that are minimised at a time.
 BLOCK = 2048
+#: Rows of a bucket, about, that one unit of work holds on either side.
+UNIT = 4096
 _rng = np.random.default_rng(7)
 FACTORS = _rng.integers(1, 2**63, (SLOTS + WIDE_SLOTS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _rng.integers(0, 2**64, (SLOTS + WIDE_SLOTS, 1), np.uint64)
@@ -204,10 +207,29 @@ class Linker:
         mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
         return stash(placed.join(mixed, "key"), "mixed")
 
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (key, cls, comp and more) by units (key, block, part): ``role``, and ``most``, the commonest component of the bucket.
+
+        A bucket of up to UNIT rows is one unit of rows with role 0, and ``most`` is left open (-1). In a larger one each row is a target (2) in its
+        block, once for each part of the rows outside the commonest component, and each of those rows is also a probe (1) in its part,
+        once for each block. So every such row meets all rows of the bucket.
+        """
+        sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key")
+        sizes = sizes.agg(F.sum("n").alias("n"), F.max("n").alias("n_most"), F.max_by("comp", F.struct("n", "comp")).alias("most")).filter(F.col("n") > UNIT)
+        count = lambda n: F.ceil(n / F.lit(UNIT)).cast("int")
+        large = stash(sizes.select("key", "most", count(F.col("n")).alias("blocks"), count(F.col("n") - F.col("n_most")).alias("parts")), "large")
+        place = lambda n: F.pmod(F.xxhash64("cls"), n.cast("long")).cast("int")
+        unit = lambda block, part, role: F.struct(block.alias("block"), part.alias("part"), F.lit(role).alias("role"))
+        targets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: unit(place(F.col("blocks")), q, 2))
+        probes = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: unit(b, place(F.col("parts")), 1))
+        units = F.when(F.col("most").isNull(), F.array(unit(F.lit(0), F.lit(0), 0))).when(F.col("comp") == F.col("most"), targets).otherwise(F.concat(targets, probes))
+        met = rows.join(large, "key", "left").select(*rows.columns, F.coalesce("most", F.lit(-1)).alias("most"), F.explode(units).alias("unit"))
+        return met.select(*rows.columns, "most", "unit.*")
+
     def across(self, rows: DataFrame, wide: DataFrame, nearest: bool) -> DataFrame:
-        """Pairs within both distances that share a bucket but not a component; ``nearest``: at most one for each row."""
+        """Pairs within both distances that share a bucket but not a component; ``nearest``: at most one for each row and bucket."""
         about = self.classes.select("cls", "size", "sig").join(wide, "cls")
-        rows = rows.join(about, "cls").select("way", "key", "cls", "comp", "size", "sig", "made")
+        rows = self.dealt(rows.join(about, "cls").select("way", "key", "cls", "comp", "size", "sig", "made"))
         percent = self.percent
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +238,7 @@ class Linker:
                 t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
                 if not t.num_rows:
                     continue
-                cuts = np.flatnonzero(np.diff(t.column("key").to_numpy())) + 1
+                cuts = unit_cuts(t)
                 last = int(cuts[-1]) if len(cuts) else 0
                 rest = t.slice(last)
                 if last:
@@ -224,7 +246,11 @@ class Linker:
             if rest is not None and rest.num_rows:
                 yield from crossing(rest, percent, nearest)
 
-        return rows.repartition(partitions(rows), "key").sortWithinPartitions("key", "size").mapInArrow(work, "a long, b long").distinct()
+        unit = ["key", "block", "part"]
+        found = rows.repartition(partitions(rows), *unit).sortWithinPartitions(*unit, "role", "size").mapInArrow(work, "key long, own long, a long, b long, far long")
+        if nearest:
+            found = found.groupBy("key", "own").agg(F.min_by(F.struct("a", "b"), F.struct("far", "a", "b")).alias("pair")).select("pair.*")
+        return found.select("a", "b").distinct()
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Confirmed links (a, b) that span every component, and (cls, comp) of the classes that have any."""
@@ -251,20 +277,29 @@ def first_way(own: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.where(equal[rows, chunk] >= WIDTH - 1, chunk * WIDTH + left_out, len(LEFT_OUT))
 
 
+def unit_cuts(t: pa.Table) -> np.ndarray:
+    """Where a new unit begins, but for the first one."""
+    return np.flatnonzero(np.any([np.diff(t.column(c).to_numpy()) != 0 for c in ("key", "block", "part")], 0)) + 1
+
+
 def crossing(t: pa.Table, percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
-    """The pairs of each bucket of ``t`` (by key, then size) in different components, of fitting sizes, within both distances, that no earlier bucket has."""
-    way, keys, cls, comp, size = (t.column(c).to_numpy() for c in ("way", "key", "cls", "comp", "size"))
+    """The pairs of each unit of ``t`` (by unit, role, then size) in different components, of fitting sizes, within both distances, that no earlier bucket has."""
+    way, keys, cls, comp, size, commonest, role = (t.column(c).to_numpy() for c in ("way", "key", "cls", "comp", "size", "most", "role"))
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, SLOTS)
     wide = np.frombuffer(b"".join(t.column("made").to_pylist()), np.uint64).reshape(len(keys), -1)
     ones = np.uint64(0x1111111111111111)
-    cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+    cuts = [0, *unit_cuts(t).tolist(), len(keys)]
     for s, e in zip(cuts, cuts[1:], strict=False):
         # Rows of the commonest component are only compared with others, so a bucket of one large component costs little.
-        names, counts = np.unique(comp[s:e], return_counts=True)
-        most = names[counts.argmax()]
-        for i in (np.flatnonzero(comp[s:e] != most) + s).tolist():
-            lo = s + int(np.searchsorted(100 * size[s:e], percent * size[i]))
-            hi = s + int(np.searchsorted(percent * size[s:e], 100 * size[i], side="right"))
+        most, first = commonest[s], s + int(np.searchsorted(role[s:e], 2))
+        probes = np.arange(s, first)
+        if most < 0:
+            names, counts = np.unique(comp[s:e], return_counts=True)
+            most, first = names[counts.argmax()], s
+            probes = np.flatnonzero(comp[s:e] != most) + s
+        for i in probes.tolist():
+            lo = first + int(np.searchsorted(100 * size[first:e], percent * size[i]))
+            hi = first + int(np.searchsorted(percent * size[first:e], 100 * size[i], side="right"))
             # A pair of two such rows is met twice: the smaller class names it.
             at = np.flatnonzero((comp[lo:hi] != comp[i]) & ((comp[lo:hi] == most) | (cls[lo:hi] > cls[i]))) + lo
             x = wide[at] ^ wide[i]
@@ -277,10 +312,13 @@ def crossing(t: pa.Table, percent: int, nearest: bool) -> Iterator[pa.RecordBatc
             at, far = at[ok], far[ok]
             ok = first_way(sig[i], sig[at]) == way[i] if len(at) else ok[ok]
             at, far = at[ok], far[ok]
-            at = at[far.argmin() :][:1] if nearest and len(at) else at
+            if nearest and len(at):
+                best = int(np.lexsort((cls[at], far))[0])
+                at, far = at[best : best + 1], far[best : best + 1]
             if len(at):
                 own = np.full(len(at), cls[i])
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, cls[at])), pa.array(np.maximum(own, cls[at]))], ["a", "b"])
+                columns = [np.full(len(at), keys[i]), own, np.minimum(own, cls[at]), np.maximum(own, cls[at]), far.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "own", "a", "b", "far"])
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
