@@ -99,6 +99,18 @@ def test_captured_requests(spark, tmp_path):
     assert {(r["node"], r["root"], r["depth"]) for r in tree.collect()} == {("a", "a", 0), ("b", "a", 1), ("c", "c", 0)}
 
 
+def test_captured_files_are_bounded(spark, tmp_path, monkeypatch):
+    """The number of conversations in a file does not grow with the table."""
+    from textloom.plans import files_queries
+
+    spark.range(2500).selectExpr("id AS conv_id", "0 AS turn", "'user' AS role", "'t' AS text").write.parquet(str(tmp_path / "conversations.parquet"))
+    paths, read = [], readers.read_captured_requests
+    monkeypatch.setattr(readers, "read_captured_requests", lambda s, path: paths.append(path) or read(s, path))
+    assert files_queries.captured_request_files(spark, str(tmp_path)).count() == 2500
+    counts = [r["value"].count('"url"') for r in spark.read.text(paths[0], wholetext=True).collect()]
+    assert sum(counts) == 2500 and max(counts) <= 100
+
+
 def test_long_thread_and_cycle(spark):
     rows = [("t", i, i - 1 if i else None) for i in range(150)] + [("u", 1, 2), ("u", 2, 1)]
     df = spark.createDataFrame(rows, "tree STRING, node BIGINT, parent_id BIGINT")

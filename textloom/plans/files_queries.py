@@ -49,7 +49,7 @@ def conversation_files(spark, folder):
 @query("""SELECT '/c/' || conv_id AS url, conv_id || '-' || turn AS node, lag(conv_id || '-' || turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent_id,
           role, text AS content, 1700000000000 + turn * 1000 AS t FROM $conversations""")
 def captured_request_files(spark, folder):
-    """Each conversation as the body of one captured request, many requests to a file."""
+    """Each conversation as the body of one captured request, those of a hundred ids to a file."""
     turns = load(spark, folder, """SELECT conv_id, turn, CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS node, role, text,
         lag(CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING)) OVER (PARTITION BY conv_id ORDER BY turn) AS parent FROM $conversations""")
     node = F.struct(F.col("node").alias("id"), F.col("parent").alias("parentId"), "role", F.col("text").alias("content"), (1_700_000_000 + F.col("turn")).alias("timestamp"))
@@ -59,7 +59,7 @@ def captured_request_files(spark, folder):
         F.struct(F.lit("POST").alias("method"), F.struct(F.struct(F.struct("messages").alias("history")).alias("chat")).alias("body")).alias("options"),
     )
     path = job_folder(spark, "captured")
-    files = chats.groupBy((F.col("conv_id") % 16).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(request)), ","), F.lit("]")).alias("value"))
+    files = chats.groupBy(F.expr("conv_id DIV 100").alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(request)), ","), F.lit("]")).alias("value"))
     files.write.partitionBy("file").text(path)
     nodes = requests.chat_nodes(readers.read_captured_requests(spark, path))
     return nodes.select("url", "node", "parent_id", "role", "content", "t")
