@@ -93,6 +93,20 @@ def test_outline():
     assert corpus.outline("<b>" * 5000 + "<p>deep</p>") == ['"deep"']
 
 
+def test_outlines_are_whole_unless_a_limit_is_given(spark, tmp_path):
+    from textloom.plans import corpus_queries
+
+    html = '<p>x</p>' * 900 + '<a href="y">late</a>' + '<a href="z">last</a>'
+    pages = spark.createDataFrame([(1, html), (2, "<p>x</p>"), (3, None)], "page_id long, html string")
+    sizes = lambda c: [r[0] for r in pages.orderBy("page_id").select(F.size(c)).collect()]
+    assert sizes(corpus.page_outline("html")) == [902, 1, 0] and sizes(corpus.page_outline("html", 900)) == [901, 1, 0]
+    assert pages.where("page_id = 1").select(corpus.page_outline("html", 10)[10]).first()[0] == corpus.MORE_LINES == corpus.outline(html)[800]
+    assert corpus.outline("<p>x</p>" * 10, 10) == ['"x"'] * 10
+    assert [r["n"] for r in corpus.find_in_outline(pages, ["page_id"], "link").orderBy("n").collect()] == [900, 901]
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    assert [tuple(r) for r in corpus_queries.outline_links(spark, str(tmp_path)).collect()] == [(1, 2)]
+
+
 def test_globs(spark):
     cases = {
         "src/**/*.mjs": (["src/a.mjs", "src/x/y/b.mjs"], ["lib/a.mjs", "src/a.js"]),

@@ -17,6 +17,7 @@ from textloom.functions.text import glob_predicate
 # Limits.
 SIZE_LIMIT = 2 * 1024 * 1024
 OUTLINE_LINES = 800
+MORE_LINES = "… [more lines]"
 
 
 def capped(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
@@ -237,15 +238,18 @@ def _squeeze(text: str, n: int) -> str:
     return re.sub(r"\s+", " ", text.strip())[:n]
 
 
-def outline(html: str | None) -> list[str]:
-    """Usable elements with role, name and state, and the text of leaf elements, indented by nesting."""
+def outline(html: str | None, limit: int | None = OUTLINE_LINES) -> list[str]:
+    """Usable elements with role, name and state, and the text of leaf elements, indented by nesting.
+
+    With ``limit`` the first lines, and MORE_LINES after them if there were more.
+    """
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
     lines: list[str] = []
     refs = 0
     todo = [(k, 0, False) for k in reversed(tree.root["kids"]) if not isinstance(k, str)]
-    while todo and len(lines) <= OUTLINE_LINES:
+    while todo and (limit is None or len(lines) <= limit):
         node, depth, hidden = todo.pop()
         tag, attrs = node["tag"], node["attrs"]
         hidden = hidden or "hidden" in attrs or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""))
@@ -267,16 +271,30 @@ def outline(html: str | None) -> list[str]:
                 lines.append(pad + (f"{tag.upper()} " if tag[0] == "h" else "") + f'"{text}"')
                 shown = True
         todo += [(k, depth + shown, hidden) for k in reversed(node["kids"]) if not isinstance(k, str)]
+    if limit is not None and len(lines) > limit:
+        lines[limit:] = [MORE_LINES]
     return lines
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def page_outline(html: pd.Series) -> pd.Series:
-    return html.map(outline)
+def outline_lines(html: pd.Series) -> pd.Series:
+    return html.map(lambda h: outline(h, None))
+
+
+def page_outline(html: str | Column, limit: int | None = None) -> Column:
+    """All lines of the outline of each page; with ``limit`` the first ones, and MORE_LINES where there were more."""
+    if limit is None:
+        return outline_lines(html)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def first_lines(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda h: outline(h, limit))
+
+    return first_lines(html)
 
 
 def find_in_outline(pages: DataFrame, keys: Sequence[str], query: str, html: str = "html") -> DataFrame:
-    """Outline lines matching ``query`` in any case. A query that is no regular expression is taken literally."""
+    """Outline lines matching ``query`` in any case, of all lines of a page. A query that is no regular expression is taken literally."""
     try:
         pages.sparkSession.range(1).select(F.lit("").rlike("(?i)" + query)).collect()
         pattern = query

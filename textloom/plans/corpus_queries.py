@@ -98,8 +98,9 @@ def page_outline(spark, folder):
 
 @query("""SELECT page_id, len(regexp_extract_all(html, '<a ')) AS links FROM $pages WHERE regexp_matches(html, '<a ')""")
 def outline_links(spark, folder):
-    found = corpus.find_in_outline(spread(load(spark, folder, "SELECT page_id, html FROM $pages")), ["page_id"], r"^\s*\[e[0-9]+\] link ")
-    return found.groupBy("page_id").agg(F.count("*").alias("links"))
+    """Every link of the markup, also those that an outline does not show."""
+    links = F.size(F.regexp_extract_all("html", F.lit("<a "), F.lit(0))).cast("bigint")
+    return load(spark, folder, "SELECT page_id, html FROM $pages").select("page_id", links.alias("links")).where("links > 0")
 
 
 @query()
