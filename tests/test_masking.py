@@ -289,3 +289,20 @@ def test_digits_of_a_token_are_no_shape(spark):
     none = spark.createDataFrame([], "source STRING, norm_value STRING, decision STRING")
     rows = masking.mask_documents(df, store, none, "key").collect()
     assert len(rows) == 60 and all(r["released"] and r["text"].startswith("from ###{city across 2 families") for r in rows)
+
+
+def test_queries_over_whole_texts(spark, tmp_path):
+    """Every match, tag and word, and the whole prose, beside the queries that look at the first ones only."""
+    from textloom.plans import identifiers_queries, tasks_queries, text_queries
+
+    long = "say " * 50 + "<b> end"
+    spark.createDataFrame([(1, "ab 1 x\n22 y 333"), (2, "none"), (3, "Gr\u00fc\u00dfe")], "doc_id long, text string").selectExpr("doc_id", "text", "'s' AS source").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, '<html lang="de"><a href="x"><p><a href="y">')], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(1, 0, "assistant", long)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = lambda q: sorted(tuple(r) for r in q(spark, str(tmp_path)).collect())
+    assert rows(text_queries.match_context_all) == [(1, 1, 1, "ab 1 x"), (1, 2, 2, "22 y 333"), (1, 3, 2, "22 y 333")]
+    assert rows(text_queries.extract_attributes_all) == [(1, 1, "", "de"), (1, 2, "x", ""), (1, 3, "", ""), (1, 4, "y", "")]
+    assert {v for v, _ in identifiers_queries.value_problems_all(spark, str(tmp_path)).collect()} >= {"ab", "1", "y", "333", "none"}
+    assert rows(tasks_queries.split_prose_and_commands_whole)[0][2] == "Look: " + long.replace("<", " ")
+    assert [r[3] for r in rows(tasks_queries.extract_tool_calls_whole)] == ["read", "write", "next-task"]
+    assert {r["doc_id"] for r in text_queries.normalize_all_text(spark, str(tmp_path)).collect()} == {1, 2, 3}

@@ -100,3 +100,14 @@ def test_read_since_gives_every_row_once(spark):
     first, cursor = events.read_since(df.where("seq <= 20"), 0)
     second, _ = events.read_since(df, cursor.first()[0])
     assert sorted(r[0] for r in first.union(second).collect()) == list(range(1, 51))
+
+
+def test_links_are_compared_with_the_page_before_over_gaps(spark, tmp_path, monkeypatch):
+    from textloom.plans import text_queries
+
+    pages = [(1, 'href="a"'), (5, 'href="a" href="b"'), (6, 'href="c"'), (90, "none")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = [(1, "a", ""), (5, "b", ""), (6, "c", "a,b"), (90, "", "c")]
+    for n in (10_000, 2):
+        monkeypatch.setattr(text_queries, "PAGES_PER_SLICE", n)
+        assert sorted(tuple(r) for r in text_queries.id_set_changes_of_links(spark, str(tmp_path)).collect()) == want

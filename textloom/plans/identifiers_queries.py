@@ -263,6 +263,19 @@ def value_problems(spark, folder):
     return values.reject_common(tried, common)
 
 
+@query(f"""SELECT value, CASE WHEN trim(value) = '' THEN NULL WHEN regexp_matches(trim(value), '^[0-9]+$') THEN CASE WHEN length(trim(value)) < 5 THEN 'too few digits' END
+           WHEN length(regexp_replace(value, '[^\\p{{L}}\\p{{N}}]', '', 'g')) < 2 THEN 'too few letters' WHEN lower(trim(value)) IN ({_COMMON}) THEN 'common word' END AS problem
+           FROM (SELECT DISTINCT value FROM (SELECT unnest(string_split(text, ' ')) AS value FROM $documents) w WHERE NOT regexp_matches(value, '[^A-Za-z0-9]')) v""")
+def value_problems_all(spark, folder):
+    """Every word of every document."""
+    docs = documents(spark, folder)
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), " ", -1))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    quarter = docs.agg(F.count("*") / 4).scalar()
+    common = words.where(F.col("n") > quarter).select("word")
+    tried = docs.select(F.explode(F.split("text", " ", -1)).alias("value")).where("NOT value rlike '[^A-Za-z0-9]'").distinct()
+    return values.reject_common(tried, common)
+
+
 @query("""SELECT doc_id, len(list_filter(regexp_extract_all(text, '[0-9]+([ .-]{1,6}[0-9]+)*'), lambda x: length(x) > 0)) AS runs FROM (SELECT doc_id, regexp_replace(text, '[^0-9A-Za-z .-]', 'x', 'g') AS text FROM $documents) d""")
 def number_segments(spark, folder):
     docs = documents(spark, folder).withColumn("text", F.regexp_replace("text", "[^0-9A-Za-z .-]", "x"))

@@ -217,6 +217,27 @@ def split_prose_and_commands(spark, folder):
     return tasks.split_prose_and_commands(load(spark, folder, _TAGGED)).select("conv_id", "turn", "prose", F.length("commands").alias("rest"))
 
 
+#: The same with the whole text as prose.
+_TAGGED_WHOLE = _TAGGED.replace("substr(text, 1, 60)", "text")
+
+
+@query(f"""SELECT conv_id, turn, c AS call, CASE c WHEN 1 THEN 'read' WHEN 2 THEN 'write' ELSE 'next-task' END AS verb,
+           CASE c WHEN 3 THEN 'task-op' ELSE 'tool' END AS kind,
+           CASE c WHEN 1 THEN 'f' || conv_id || '.txt/' || turn WHEN 2 THEN 'o/' || text ELSE 'T' || turn END AS args
+           FROM $conversations, (SELECT unnest([1, 2, 3]) AS c) WHERE role = 'assistant'""")
+def extract_tool_calls_whole(spark, folder):
+    found = tasks.extract_tool_calls(load(spark, folder, _TAGGED_WHOLE), ["conv_id", "turn"])
+    a = lambda k: F.col("args")[k]
+    args = F.when(F.col("verb") == "read", F.concat_ws("/", a("path"), a("offset"))).when(F.col("verb") == "write", F.concat_ws("/", a("path"), a("content"))).otherwise(a("title"))
+    return found.select("conv_id", "turn", "call", "verb", "kind", args.alias("args"))
+
+
+@query(f"""SELECT conv_id, turn, regexp_extract(text, '^(?s)(.*?)<remote-workspace', 1) AS prose,
+           length(text) - length(regexp_extract(text, '^(?s)(.*?)<remote-workspace', 1)) AS rest FROM ({_TAGGED_WHOLE}) t""")
+def split_prose_and_commands_whole(spark, folder):
+    return tasks.split_prose_and_commands(load(spark, folder, _TAGGED_WHOLE)).select("conv_id", "turn", "prose", F.length("commands").alias("rest"))
+
+
 @query("""SELECT conv_id, string_agg('<remote-workspace-result op="read" status="' || CASE WHEN turn % 2 = 0 THEN 'ok' ELSE 'error' END || '">' || chr(10) || text
           || chr(10) || '</remote-workspace-result>', chr(10) ORDER BY turn) || chr(10) || chr(10)
           || 'Use these results to continue, or answer the user if you have enough information.' AS text FROM $conversations GROUP BY conv_id""")

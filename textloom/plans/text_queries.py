@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 from textloom.functions import text as tx
 from textloom.functions.folding import normalize_text
 from textloom.operators.corpus import id_set_changes
+from textloom.operators.ordered import ordered_scan, slices
 from textloom.plans.catalog import query
 from textloom.plans.inputs import load
 
 
+#: Pages of which one task compares neighbours.
+PAGES_PER_SLICE = 10_000
+
+
 @query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || chr(10) || '…[+' || (length(text) - 2000) || ' chars]' ELSE text END AS text FROM $documents")
 def clip_text(spark, folder):
     return load(spark, folder, "SELECT doc_id, text FROM $documents").select("doc_id", tx.clip(F.col("text"), 2000).alias("text"))
@@ -44,6 +49,21 @@ def match_context(spark, folder):
     return rows.select("doc_id", "c.line", F.when(cut & inside, whole).otherwise(F.col("c.hit")).alias("hit"))
 
 
+@query("""SELECT doc_id, n, len(string_split(left(text, p), chr(10))) AS line, string_split(text, chr(10))[len(string_split(left(text, p), chr(10)))] AS hit FROM
+          (SELECT doc_id, text, n, CAST(coalesce(list_sum(list_transform(s[1:n], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:n - 1], lambda x: length(x))), 0) AS BIGINT) AS p FROM
+          (SELECT doc_id, text, s, m, unnest(range(1, len(m) + 1)) AS n FROM
+          (SELECT doc_id, text, string_split_regex(text, '[0-9]+') AS s, regexp_extract_all(text, '[0-9]+') AS m FROM $documents) x) y) z""")
+def match_context_all(spark, folder):
+    """Every match of a text, numbered from 1."""
+    rows = load(spark, folder, "SELECT doc_id, text FROM $documents")
+    rows = rows.select("doc_id", "text", F.posexplode(tx.regex_spans(F.col("text"), "[0-9]+")).alias("i", "s"))
+    rows = rows.withColumn("c", tx.match_context(F.col("text"), F.col("s.start"), F.col("s.end")))
+    whole = F.element_at(F.split("text", "\n", -1), F.col("c.line"))
+    cut = F.col("c.hit").startswith("… ") | F.col("c.hit").endswith(" …")
+    inside = F.contains(whole, F.regexp_replace("c.hit", "^… | …$", ""))
+    return rows.select("doc_id", (F.col("i") + 1).alias("n"), "c.line", F.when(cut & inside, whole).otherwise(F.col("c.hit")).alias("hit"))
+
+
 @query("""SELECT page_id, coalesce(regexp_extract(t, 'href="([^"]*)"', 1), '') AS href, coalesce(regexp_extract(t, 'lang="([^"]*)"', 1), '') AS lang
           FROM (SELECT page_id, regexp_extract(html, '<html[^>]*>') || regexp_extract(html, '<a[^>]*>') AS t FROM $pages) x""")
 def extract_attributes(spark, folder):
@@ -53,6 +73,17 @@ def extract_attributes(spark, folder):
     return rows.select("page_id", get("href"), get("lang"))
 
 
+@query("""SELECT page_id, n, coalesce(regexp_extract(t, 'href="([^"]*)"', 1), '') AS href, coalesce(regexp_extract(t, 'lang="([^"]*)"', 1), '') AS lang FROM
+          (SELECT page_id, unnest(range(1, len(m) + 1)) AS n, unnest(m) AS t FROM (SELECT page_id, regexp_extract_all(html, '<[a-zA-Z][^>]*>') AS m FROM $pages) x) y""")
+def extract_attributes_all(spark, folder):
+    """Every tag of a page, numbered from 1."""
+    rows = load(spark, folder, "SELECT page_id, html FROM $pages")
+    rows = rows.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<[a-zA-Z][^>]*>"), F.lit(0))).alias("i", "t"))
+    m = tx.extract_attributes(F.col("t"))
+    get = lambda k: F.coalesce(m[k], F.lit("")).alias(k)
+    return rows.select("page_id", (F.col("i") + 1).alias("n"), get("href"), get("lang"))
+
+
 @query("""SELECT event_id, 'GET /u/' || session || '?k=' || k || '&miss=${token}' AS filled, 'token' AS missing FROM $ev""")
 def fill_template(spark, folder):
     rows = load(spark, folder, "ev")
@@ -141,9 +172,9 @@ def id_set_changes_of_links(spark, folder):
     pages = load(spark, folder, "SELECT page_id, html FROM $pages")
     links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
     own = pages.select("page_id", links.alias("b"))
-    # Page ids are dense, so the page before is found by an equi-join.
-    before = own.select((F.col("page_id") + 1).alias("page_id"), F.col("b").alias("a"))
-    both = own.join(before, "page_id", "left").withColumn("a", F.coalesce("a", F.array().cast("array<string>")))
+    # Page ids may have gaps: the page before is the one with the next smaller id.
+    both = ordered_scan(own, [], ["page_id"], slices(own, "page_id", PAGES_PER_SLICE), previous={"a": F.col("b")})
+    both = both.withColumn("a", F.coalesce("a", F.array().cast("array<string>")))
     d = id_set_changes(F.col("a"), F.col("b"))
     return both.select("page_id", F.array_join(F.array_sort(d["added"]), ",").alias("added"), F.array_join(F.array_sort(d["removed"]), ",").alias("removed"))
 
