@@ -428,3 +428,13 @@ def test_no_labels(docs, no_docs):
     none = no_docs.select("doc_id", F.lit(1).alias("quality"))
     model = quality.fit(docs, quality.training_labels(none))
     assert {r["score"] for r in rows(quality.score(docs, model))} == {0.5} and quality.score(no_docs, model).count() == 0
+
+
+def test_one_row_of_an_id_is_fitted_in_any_order(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit_rows", lambda x, y: seen.append((x.tolist(), y.tolist())))
+    labels = spark.createDataFrame([(1, 1.0), (2, 0.0)], "doc_id long, label double")
+    docs = [(1, "word " * k) for k in range(1, 40)] + [(2, "one text"), (2, None)]
+    for rows in (docs, docs[::-1]):
+        quality.fit(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), labels)
+    assert seen[0] == seen[1] and len(seen[0][0]) == 2

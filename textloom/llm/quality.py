@@ -199,8 +199,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str
     """Fit on at most ``sample`` labelled documents; only these and their statistics come to the driver. ``labels``: doc_id, label."""
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    met = with_statistics(texts.join(F.broadcast(chosen), "doc_id"), "text", "stats").select("doc_id", "label", "stats.*").toPandas()
-    met = met.drop_duplicates("doc_id").sort_values("doc_id")
+    # Of several texts with one id the same one is taken in any order of rows, before anything comes to the driver.
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    met = with_statistics(one, "text", "stats").select("doc_id", "label", "stats.*").toPandas().sort_values("doc_id")
     return fit_rows(met[list(STATISTICS)].to_numpy(), met["label"].to_numpy())
 
 
