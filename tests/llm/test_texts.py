@@ -102,6 +102,26 @@ def test_structures_are_confirmed():
     assert secrets.masked(f"bearer {token} end token=abcdefgh", "[S]") == "bearer [S] end [S]"
 
 
+def test_keys_that_are_escaped_encrypted_or_wrapped():
+    import base64
+
+    der = lambda tag, body: bytes([tag]) + (bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")) + body
+    plain = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([k]) * 40) for k in range(1, 9)))
+    algorithm = der(0x30, der(6, b"\x2a\x86\x48") + der(0x30, der(4, b"saltsalt") + der(2, b"\x08")))
+    digest = der(0x30, der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(4, b"d" * 64))
+    encrypted = der(0x30, algorithm + der(4, b"e" * 96))
+    lines = lambda raw: [base64.b64encode(raw).decode()[k : k + 64] for k in range(0, 4 * len(raw), 64) if base64.b64encode(raw)[k : k + 64]]
+    for raw, label in ((plain, "RSA PRIVATE KEY"), (encrypted, "ENCRYPTED PRIVATE KEY")):
+        for end in ("\n", "\\n", "\\r\\n", "\\\\n"):
+            pem = end.join([f"-----BEGIN {label}-----", *lines(raw), f"-----END {label}-----"])
+            text = f'{{"k": "{pem}"}}'
+            assert ("pem", 7, 7 + len(pem)) in secrets.find_spans(text) and [k for k, _, _ in secrets.find_spans(text)] == ["pem"], (label, end)
+            body = end.join(lines(raw))
+            assert ("key", 6, 6 + len(body)) in secrets.find_spans(f"here:\n{body}\nThe end") or end != "\n"
+            assert ("key", 0, len(body)) in secrets.find_spans(body), (label, end)
+    assert not secrets.find_spans(base64.b64encode(digest).decode()) and not secrets.find_spans("\n".join(lines(digest)))
+
+
 def test_secrets_on_tables(docs, texts, odd_docs, no_docs):
     got = by_id(secrets.scan(docs))
     for i, t in texts.items():

@@ -36,7 +36,11 @@ LONG = 40
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.[A-Za-z0-9_-]*")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}")
-PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----([A-Za-z0-9+/=\s]*)-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----((?:[A-Za-z0-9+/=\s]|\\+[nr])*)-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+#: Line ends, also escaped ones; lines of base64 that follow one another.
+LINE_END = r"[ \t]*(?:\r?\n|(?:\\+r)?\\+n)[ \t]*"
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{40,}}(?:{LINE_END}[A-Za-z0-9+/_-]+)+={{0,2}}")
+BREAK = re.compile(r"\s|\\+[nr]")
 MAGIC = b"openssh-key-v1\0"
 
 
@@ -72,7 +76,7 @@ def elements(raw: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_key(raw: bytes) -> bool:
-    """Whether ``raw`` is a private key: a sequence that begins with a version number (plain, wrapped or elliptic), or the length-prefixed form."""
+    """Whether ``raw`` is a private key: a sequence that begins with a version number (plain, wrapped or elliptic), an encrypted one, or the length-prefixed form."""
     if raw.startswith(MAGIC):
         at, fields = len(MAGIC), 0
         while at + 4 <= len(raw) and fields < 3:
@@ -85,6 +89,9 @@ def is_key(raw: bytes) -> bool:
     if not top or len(top) != 1:
         return False
     inner = elements(top[0][1])
+    if inner and [t for t, _ in inner] == [0x30, 4] and inner[1][1]:
+        # The algorithm with its parameters, which a bare digest does not have, then what it made of the key.
+        return [t for t, _ in elements(inner[0][1]) or []] == [6, 0x30]
     if not inner or len(inner) < 3 or inner[0][0] != 2 or len(inner[0][1]) != 1:
         return False
     tags = [t for t, _ in inner]
@@ -103,6 +110,51 @@ def is_token(header: str, payload: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
+def sequence_chars(head: str) -> int:
+    """Characters of base64, without padding, of the DER sequence that begins with ``head``; 0 if it is none."""
+    raw = decode64(head[:12]) or b""
+    if len(raw) < 9 or raw[0] != 0x30 or raw[1] & 0x7F > 4 and raw[1] & 0x80:
+        return 0
+    n = raw[1] & 0x7F if raw[1] & 0x80 else 0
+    size = int.from_bytes(raw[2 : 2 + n], "big") if n else raw[1]
+    return -(-4 * (2 + n + size) // 3)
+
+
+def wrapped_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Keys in base64 over several lines, found from any of the lines; the length inside, or a shorter line, tells where a key ends."""
+    for m in WRAPPED.finditer(text):
+        lines = [(m.start() + s, m.start() + e) for s, e in runs(m[0])]
+        done = -1
+        for n, (start, stop) in enumerate(lines):
+            if start < done:
+                continue
+            ends = []
+            if text.startswith("b3BlbnNzaC1rZXktdjE", start):
+                short = next((e for s, e in lines[n:] if e - s < stop - start), m.end())
+                ends = [short] if short == m.end() else [short, m.end()]
+            elif text[start] == "M" and (left := sequence_chars(text[start:stop])):
+                for s, e in lines[n:]:
+                    left -= len(text[s:e].rstrip("="))
+                    if left <= 0:
+                        ends = [e] if left == 0 and s > start else []
+                        break
+            for end in ends:
+                raw = decode64(BREAK.sub("", text[start:end]))
+                if raw and is_key(raw):
+                    yield start, end
+                    done = end
+                    break
+
+
+def runs(text: str) -> list[tuple[int, int]]:
+    """Where the lines of ``text`` begin and end."""
+    out, at = [], 0
+    for m in re.finditer(LINE_END, text):
+        out.append((at, m.start()))
+        at = m.end()
+    return [*out, (at, len(text))]
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, by start and then kind."""
     spans = []
@@ -114,7 +166,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            raw = decode64("".join(m[1].split()))
+            raw = decode64(BREAK.sub("", m[1]))
             if raw and is_key(raw):
                 spans.append(("pem", *m.span()))
     if max(map(len, text.split()), default=0) >= LONG:
@@ -123,6 +175,8 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             raw = decode64(m[0])
             if raw and is_key(raw):
                 spans.append(("key", *m.span()))
+        pems = [s for s in spans if s[0] == "pem"]
+        spans += [("key", s, e) for s, e in wrapped_keys(text) if not any(a <= s and e <= b for _, a, b in pems)]
         for m in HEX_KEY.finditer(text):
             if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0])):
                 spans.append(("key", *m.span()))
