@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, bpe, chunks, exact, neardup, packing, quality, secrets, suffix, warc
+from textloom.llm import ann, bpe, chunks, exact, merkle, neardup, packing, quality, secrets, suffix, warc, whiten
 from textloom.llm.common import new_folder
 from textloom.session import prepare, table
 
@@ -96,3 +97,63 @@ def op9_suffix(spark, folder):
 @query()
 def op10_minhash(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents"), words=4)
+
+
+def merkle_sql(fan: int = 16, levels: int = 5) -> str:
+    """The manifest in SQL, level by level, for groups of at most fan ** levels rows and as many groups."""
+    part = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    leaf = lambda text: "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    # The checksum of the decimal id, bit by bit: each byte enters before the first of its eight steps.
+    steps = "flatten(list_transform(range(length(CAST(doc_id AS VARCHAR))), lambda i: [ascii(substr(CAST(doc_id AS VARCHAR), i + 1, 1)), 0, 0, 0, 0, 0, 0, 0]))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {steps}), lambda s, b: xor(xor(s, b) >> 1, 3988292384 * (xor(s, b) & 1))), 4294967295)"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def tree(name: str, nodes: str) -> list[str]:
+        """name0 .. name<levels>: nodes (g, i, n, h) of each level; name_r<k>: their runs as lists."""
+        out = [f"{name}0 AS ({nodes})"]
+        for k in range(levels):
+            out.append(f"{name}_r{k} AS (SELECT g, i // {fan} AS i, n, list(h ORDER BY i) AS hs FROM {name}{k} GROUP BY ALL)")
+            out.append(f"{name}{k + 1} AS (SELECT g, i, (n + {fan - 1}) // {fan} AS n, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM {name}_r{k})")
+        return out
+
+    def joins(name: str, g: str, i: str) -> str:
+        return " ".join(f"JOIN {name}_r{k} {name}{k}x ON {name}{k}x.g = {g} AND {name}{k}x.i = {i} // {fan ** (k + 1)}" for k in range(levels))
+
+    def sides(name: str, i: str, k: int) -> tuple[str, str, str]:
+        at = f"({i} // {fan**k}) % {fan}"
+        return f"{name}{k}x.n > 1", f"array_to_string({name}{k}x.hs[1:{at}], '')", f"array_to_string({name}{k}x.hs[{at} + 2:], '')"
+
+    way = [sides("s", "l.i", k) for k in range(levels)] + [sides("t", "t.i", k) for k in range(levels)]
+    # The fold one level at a time, so that no digest is written out twice.
+    folds, last = [], "way"
+    for k in range(len(way)):
+        folds.append(f"f{k} AS (SELECT * REPLACE (CASE WHEN c{k} THEN sha256(a{k} || x || b{k}) ELSE x END AS x) FROM {last})")
+        last = f"f{k}"
+    sides_of = ", ".join(f"{c} AS c{k}, {a} AS a{k}, {b} AS b{k}" for k, (c, a, b) in enumerate(way))
+    proof = " || ".join(f"CASE WHEN c{k} THEN a{k} || b{k} ELSE '' END" for k in range(len(way)))
+    return ", ".join([
+        f"""WITH leaves AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS g, {leaf('text')} AS h,
+            CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS x FROM documents)""",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM leaves)",
+        *tree("s", "SELECT g, i, n, h FROM placed"),
+        *tree("t", f"SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, h FROM s{levels}"),
+        f"tops AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS i, h FROM s{levels})",
+        f"way AS (SELECT l.doc_id, l.h AS leaf, t.h AS subroot, r.h AS root, l.x, {sides_of} FROM placed l JOIN tops t USING (g) CROSS JOIN t{levels} r {joins('s', 'l.g', 'l.i')} {joins('t', chr(39) * 2, 't.i')})",
+        *folds,
+    ]) + f" SELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, x AS folded_root, x = root AS verified FROM {last}"
+
+
+@query(merkle_sql())
+def op11_merkle(spark, folder):
+    docs = table(spark, folder, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    text = F.when(tampered, F.translate("text", string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.col("text"))
+    proofs = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], claimed={"text": text})
+    folded = merkle.fold(F.col("claimed_leaf"), F.col("levels")).alias("folded_root")
+    proofs = proofs.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("levels")).alias("proof_sha256"), folded)
+    return proofs.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query()
+def op12_whiten(spark, folder):
+    return whiten.whiten(table(spark, folder, "embeddings"))
