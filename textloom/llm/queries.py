@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, bpe, chunks, exact, merkle, neardup, packing, quality, secrets, suffix, warc, whiten
+from textloom.llm import ann, bpe, chunks, exact, merkle, neardup, packing, pii, quality, secrets, suffix, warc, whiten
 from textloom.llm.common import new_folder
 from textloom.session import prepare, table
 
@@ -157,3 +157,14 @@ def op11_merkle(spark, folder):
 @query()
 def op12_whiten(spark, folder):
     return whiten.whiten(table(spark, folder, "embeddings"))
+
+
+@query()
+def op13_pii(spark, folder):
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    return pii.find(table(spark, folder, "documents")).select(
+        "doc_id",
+        *[secrets.count_kind(k).alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )

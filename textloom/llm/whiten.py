@@ -106,7 +106,10 @@ class Whitening:
         widest = max(abs(int(x.min())), abs(int(x.max())), 1) * self.n + max(map(abs, self.sums))
         kind = np.int64 if widest * widest * x.shape[1] < 1 << 63 else object
         d = x.astype(kind) * self.n - np.array(self.sums, kind)
-        return (d * d).sum(axis=1).tolist()
+        out = (d * d).sum(axis=1).tolist()
+        if max(out) >= 1 << 63:
+            raise OverflowError("a deviation does not fit in 64 bits")
+        return out
 
 
 def centred(x: np.ndarray, n: int, sums: list[int]) -> np.ndarray:
