@@ -64,10 +64,10 @@ PROPOSALS = {
     "ssn": (r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "-[0-9]{2}-[0-9]{4}"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}"),
     "born": (r"(?<![0-9.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./](?:19|20)[0-9]{2})(?![0-9.-])", "[0-9][./-](?:[0-9]{2}|[12][0-9]{3})"),
-    "name": (rf"(?<![\p{{L}}0-9])(?:(?:{TITLES})\.? |(?:{GIVEN}) )\p{{Lu}}[\p{{L}}'-]{{1,30}}+(?: \p{{Lu}}[\p{{L}}'-]{{1,30}}+)?", f"(?:{TITLES}|{GIVEN})[. ]"),
+    "name": (rf"(?=[A-Z])(?<![\p{{L}}0-9])(?:(?:{TITLES})\.? |(?:{GIVEN}) )\p{{Lu}}[\p{{L}}'-]{{1,30}}+(?: \p{{Lu}}[\p{{L}}'-]{{1,30}}+)?", r"[A-Z]\p{L}++\.? \p{Lu}"),
     "street": (
-        rf"(?<![\p{{L}}0-9])(?:[0-9]{{1,5}} \p{{Lu}}\p{{L}}{{1,30}}+ (?:{STREETS})(?!\p{{L}})|\p{{Lu}}\p{{L}}{{1,30}}(?:straße|strasse|weg|gasse|platz) [0-9]{{1,4}}(?![0-9])|[0-9]{{1,5}},? rue (?:de |du |des )?\p{{L}}{{2,30}}+|[Cc]alle \p{{Lu}}\p{{L}}{{1,30}}+,? [0-9]{{1,4}}(?![0-9]))",
-        rf" (?:{STREETS})|straße |strasse |weg |gasse |platz |rue |alle ",
+        rf"(?=[0-9\p{{Lu}}c])(?<![\p{{L}}0-9])(?:[0-9]{{1,5}} \p{{Lu}}\p{{L}}{{1,30}}+ (?:{STREETS})(?!\p{{L}})|\p{{Lu}}\p{{L}}{{1,30}}(?:straße|strasse|weg|gasse|platz) [0-9]{{1,4}}(?![0-9])|[0-9]{{1,5}},? rue (?:de |du |des )?\p{{L}}{{2,30}}+|[Cc]alle \p{{Lu}}\p{{L}}{{1,30}}+,? [0-9]{{1,4}}(?![0-9]))",
+        r"[0-9] \p{Lu}|[egz] [0-9]|[0-9],? rue |alle \p{Lu}",
     ),
     "mail": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[] ?at ?[)\]] ?[A-Za-z0-9-]{1,63}+(?: ?[(\[] ?dot ?[)\]] ?|\.)[A-Za-z]{2,24}", r"(?i)[(\[] ?at ?[)\]]"),
 }
@@ -310,7 +310,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     columns are ignored; an empty table, or one without candidates, gives no added spans.
     """
     # The mark of ``matches`` is no character of a text.
-    text = F.translate(F.coalesce(docs[text_col].cast("string"), F.lit("")), _MARK, _OTHER)
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    text = F.when(F.contains(text, F.lit(_MARK)), F.translate(text, _MARK, _OTHER)).otherwise(text)
     found = stash(docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text")).select("doc_id", candidates().alias("found")), "spans")
     columns = ("kind", *LABELERS, *SHAPE)
     each = found.where(F.size("found") > 0).select(F.explode("found").alias("c")).select("c.*")
