@@ -61,6 +61,21 @@ def test_vector_edges(spark):
     assert ann.nearest(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_ties_between_unlike_vectors(spark, monkeypatch):
+    """400 vectors with one and the same score for the query, in several shards: of those the beams find, the smallest ids come first."""
+    monkeypatch.setattr(ann, "SHARD", 100)
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(np.arange(1, 1000))[:400]
+    vectors = [(0, [4.0, 0.0, 0.0])] + [(int(i), [0.5, float(rng.integers(-64, 64)) / 64, float(n)]) for n, i in enumerate(ids)]
+    vectors = [(i, [v[0], v[1], v[2] / 512]) for i, v in vectors]
+    got = ann.nearest(spark.createDataFrame([(*v, None, None) for v in vectors], VECTORS), every=1000).orderBy("rank").collect()
+    assert [r["score"] for r in got] == [2.0] * 20
+    found = [r["vec_id"] for r in got]
+    assert found == sorted(found)
+    # Every shard holds fewer points than its beam finds, so nothing smaller was left out.
+    assert found == sorted(int(i) for i in ids)[:20]
+
+
 def test_pruning_keeps_diverse_edges():
     points = np.array([[0, 0], [1, 0], [1.1, 0], [0, 2]], float)
     kept = ann.robust_prune(points, np.array([0]), np.array([[1, 2, 3, 0, -1]]), 3, 1.2)
@@ -132,3 +147,33 @@ def test_normaliser_takes_any_mixture_of_members():
 
 def test_no_pages(spark, tmp_path):
     assert warc.archive_pages(spark.createDataFrame([], PAGES), f"file://{tmp_path}").count() == 0
+
+
+def gzip_cut(tmp_path, keep):
+    """An archive of two records with the stream flushed between them, cut to ``keep`` of its bytes after the first record."""
+    import zlib
+
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    records = [warc.record(i, f"http://a.test/{i}", b"payload %d" % i * 50, "0" * 64, "response", None) for i in (1, 2)]
+    first = packer.compress(records[0]) + packer.flush(zlib.Z_FULL_FLUSH)
+    rest = packer.compress(records[1]) + packer.flush()
+    path = tmp_path / "one.warc.gz"
+    path.write_bytes(first + rest[: int(len(rest) * keep)] if keep < 1 else first + rest)
+    return f"file://{path}"
+
+
+@pytest.mark.parametrize(("keep", "records", "said"), [(0.0, 2, "ends early"), (0.0, 1, "ends early"), (0.97, 2, "ends"), (1, 3, "3 were written"), (1, 1, "1 were written")])
+def test_unfinished_archives_are_errors(spark, tmp_path, keep, records, said):
+    archives = spark.createDataFrame([(gzip_cut(tmp_path, keep), records)], "archive string, records long")
+    with pytest.raises(Exception, match=said):
+        warc.normalise(archives)
+
+
+def test_whole_and_missing_archives(spark, tmp_path):
+    path = gzip_cut(tmp_path, 1)
+    members = warc.normalise(spark.createDataFrame([(path, 2)], "archive string, records long"))
+    assert members.first()["records"] == 2
+    with pytest.raises(Exception, match="were written"):
+        warc.read_records(members.withColumn("records", members["records"] + 1), False).collect()
+    with pytest.raises(Exception, match="(?i)not found|no such file|cannot open|failed to open"):
+        warc.normalise(spark.createDataFrame([(path + "-gone", 2)], "archive string, records long"))

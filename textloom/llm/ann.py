@@ -10,16 +10,14 @@ Inner products are turned into distances by one more coordinate, the square root
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import partitions, stash
 
-SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA, BATCH, QUERY_BLOCK = 8192, 32, 56, 120, 1.2, 512, 512
+SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA, BATCH, QUERY_BLOCK = 8192, 32, 56, 120, 1.2, 512, 8192
 
 
 def lifted(x: np.ndarray) -> np.ndarray:
@@ -127,50 +125,61 @@ def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def index(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """(points: point, v, ids - its ``k`` + 1 smallest), (graphs: dim, shard, points, vectors, edges, start)."""
+    """(points: point, v, ids - its ``k`` + 1 smallest), (graphs: dim, shard, points, firsts - the smallest id of each, vectors, edges, start)."""
     smallest = Window.partitionBy("v").orderBy("vec_id")
     same = valid(vectors, id_col, vector_col).withColumn("r", F.row_number().over(smallest)).filter(F.col("r") <= k + 1)
     points = stash(same.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("point", F.monotonically_increasing_id()), "points")
     shards = max(1, -(-points.count() // SHARD))
-    dealt = points.select("point", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"))
+    dealt = points.select("point", F.col("ids")[0].alias("first"), "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"))
 
     def work(pdf):
         pdf = pdf.sort_values("point")
         x = np.stack(pdf["v"].to_numpy())
         edges, start = build_graph(lifted(x))
-        return type(pdf)({"dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "points": [pdf["point"].to_numpy().astype("<i8").tobytes()], "vectors": [x.astype("<f8").tobytes()], "edges": [edges.astype("<i4").tobytes()], "start": [start]})
+        return type(pdf)({"dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "points": [pdf["point"].to_numpy().astype("<i8").tobytes()], "firsts": [pdf["first"].to_numpy().astype("<i8").tobytes()], "vectors": [x.astype("<f8").tobytes()], "edges": [edges.astype("<i4").tobytes()], "start": [start]})
 
-    graphs = dealt.repartition(max(shards, partitions(points)), "dim", "shard").groupBy("dim", "shard").applyInPandas(work, "dim int, shard int, points binary, vectors binary, edges binary, start int")
+    graphs = dealt.repartition(max(shards, partitions(points)), "dim", "shard").groupBy("dim", "shard").applyInPandas(work, "dim int, shard int, points binary, firsts binary, vectors binary, edges binary, start int")
     return points, stash(graphs, "graphs")
 
 
 def search(points: DataFrame, graphs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best of each query (vec_id, v): query_id, rank, vec_id, score. Points of another length than the query are no candidates."""
-    blocks = queries.select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim")).withColumn("block", F.pmod(F.xxhash64("query_id", "v"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))))
-    packed = blocks.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "v")).alias("queries"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                ids = np.frombuffer(row["points"], "<i8")
-                x = np.frombuffer(row["vectors"], "<f8").reshape(len(ids), -1)
-                edges = np.frombuffer(row["edges"], "<i4").reshape(len(ids), -1).astype(np.int64)
-                q = np.array([r["v"] for r in row["queries"]])
-                found, _ = beam_search(lifted(x), edges, row["start"], np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32), max(BEAM, k + 1))
+    """The ``k`` best of each query (vec_id, v): query_id, rank, vec_id, score. Points of another length than the query are no candidates.
+
+    Every block of queries meets every graph of its dimension under a key of its own, (dim, shard, block): a task holds one graph and one block.
+    """
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    shards = (graphs.agg(F.max("shard")).first()[0] or 0) + 1
+    key = ["dim", "shard", "block"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), F.col("vec_id").alias("query_id"), "v", F.monotonically_increasing_id().alias("q"))
+    asked = asked.select("*", every(shards).alias("shard"))
+    held = graphs.select("*", every(blocks).alias("block"))
+
+    def work(questions, graph):
+        frames = []
+        for row in graph.to_dict("records"):
+            ids, firsts = np.frombuffer(row["points"], "<i8"), np.frombuffer(row["firsts"], "<i8")
+            x = np.frombuffer(row["vectors"], "<f8").reshape(len(ids), -1)
+            edges = np.frombuffer(row["edges"], "<i4").reshape(len(ids), -1).astype(np.int64)
+            lift = lifted(x)
+            for at in range(0, len(questions), BATCH):
+                some = questions.iloc[at : at + BATCH]
+                q = np.stack(some["v"].to_numpy())
+                found, _ = beam_search(lift, edges, row["start"], np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32), max(BEAM, k + 1))
                 exact = np.einsum("mbd,md->mb", x[found], q)
                 exact[found < 0] = -np.inf
-                best = np.argsort(-exact, 1, kind="stable")[:, : k + 1]
-                score = np.take_along_axis(exact, best, 1)
-                at = np.take_along_axis(found, best, 1)
-                ok = at.ravel() >= 0
+                # Equal scores go by the smallest id of each point.
+                best = np.lexsort((firsts[found], -exact))[:, : k + 1]
+                top, score = np.take_along_axis(found, best, 1).ravel(), np.take_along_axis(exact, best, 1).ravel()
+                ok = np.isfinite(score)
                 n = np.repeat(np.arange(len(q)), best.shape[1])[ok]
-                names = np.array([r["query_id"] for r in row["queries"]])
-                yield pa.RecordBatch.from_arrays([pa.array(names[n]), pa.array(np.array([row["block"]] * len(n), np.int64) << 20 | n), pa.array(ids[at.ravel()[ok]]), pa.array(score.ravel()[ok])], ["query_id", "q", "point", "score"])
+                frames.append(type(questions)({"query_id": some["query_id"].to_numpy()[n], "q": some["q"].to_numpy()[n], "point": ids[top[ok]], "first": firsts[top[ok]], "score": score[ok]}))
+        return pd.concat(frames) if frames else pd.DataFrame({c: pd.Series([], dtype="float64" if c == "score" else "int64") for c in ("query_id", "q", "point", "first", "score")})
 
-    met = packed.join(graphs, "dim").repartition(partitions(graphs), "shard", "block")
-    found = met.select("block", "queries", "points", "vectors", "edges", "start").mapInArrow(work, "query_id long, q long, point long, score double")
+    found = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(work, "query_id long, q long, point long, first long, score double")
     own = Window.partitionBy("query_id", "q")
-    top = found.withColumn("r", F.row_number().over(own.orderBy(F.desc("score"), "point"))).filter(F.col("r") <= k + 1)
+    # Each point stands for all its ids; of the k + 1 first ones by score and smallest id one at most is the query alone.
+    top = found.withColumn("r", F.row_number().over(own.orderBy(F.desc("score"), "first", "point"))).filter(F.col("r") <= k + 1)
     named = top.join(points.select("point", "ids"), "point").select("query_id", "q", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
     ranked = named.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

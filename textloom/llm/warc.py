@@ -125,7 +125,7 @@ class Inflated:
         raw = self.source.read(READ_BYTES)
         if not raw:
             self.ended = True
-            if not self.inflate.eof and self.inflate.unconsumed_tail:
+            if not self.inflate.eof:
                 raise ValueError("the gzip stream ends early")
             return False
         while raw:
@@ -161,7 +161,10 @@ def headers(head: bytes) -> dict[str, str]:
 
 
 def normalise(archives: DataFrame) -> DataFrame:
-    """Rewrite each ``archive`` with a gzip member per record and an index beside it: (archive, index, records)."""
+    """Rewrite each ``archive`` with a gzip member per record and an index beside it: (archive, index, records).
+
+    A stream that ends before its trailer, and one with another number of records than were written, is an error.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -169,7 +172,7 @@ def normalise(archives: DataFrame) -> DataFrame:
         attempt = TaskContext.get().taskAttemptId()
         for b in batches:
             done = []
-            for path in b.column(0).to_pylist():
+            for path, written in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 files, place = open_path(path)
                 stem = f"{path.removesuffix('.warc.gz')}-{attempt}"
                 to, index = f"{stem}.members.warc.gz", f"{stem}.index.jsonl"
@@ -190,12 +193,14 @@ def normalise(archives: DataFrame) -> DataFrame:
                         end = out.tell()
                         listed.write((json.dumps({"offset": offset, "length": end - offset, "type": fields["warc-type"], "id": fields["warc-record-id"]}) + "\n").encode())
                         offset, count = end, count + 1
+                if count != written:
+                    raise ValueError(f"{path} has {count} records, {written} were written")
                 done.append((to, index, count))
             columns = list(zip(*done, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["archive", "index", "records"])
 
     n = max(1, archives.count())
-    return stash(archives.select("archive").repartition(n).mapInArrow(work, "archive string, index string, records long"), "members")
+    return stash(archives.select("archive", "records").repartition(n).mapInArrow(work, "archive string, index string, records long"), "members")
 
 
 def read_records(members: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -206,10 +211,12 @@ def read_records(members: DataFrame, with_payload: bool = True) -> DataFrame:
         kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64())
         names = [x.split(" ")[0] for x in RECORDS.split(", ")]
         for b in batches:
-            for path, index in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for path, index, written in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 files, place = open_path(path)
                 with files.open_input_stream(open_path(index)[1], compression=None) as listed:
                     entries = [json.loads(x) for x in listed.read().splitlines()]
+                if len(entries) != written:
+                    raise ValueError(f"{index} lists {len(entries)} records, {written} were written")
                 with files.open_input_file(place) as source:
                     rows, held = [], 0
                     for e in entries:
@@ -231,7 +238,7 @@ def read_records(members: DataFrame, with_payload: bool = True) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     n = max(1, members.count())
-    return members.select("archive", "index").repartition(n).mapInArrow(work, RECORDS)
+    return members.select("archive", "index", "records").repartition(n).mapInArrow(work, RECORDS)
 
 
 def archive_pages(pages: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
