@@ -103,7 +103,7 @@ def value_tier(values: DataFrame) -> DataFrame:
     return per_key.withColumn("tier", tier)
 
 
-def dictionary(values: DataFrame, secret: str) -> DataFrame:
+def dictionary(values: DataFrame, secret: str, tiers: DataFrame | None = None) -> DataFrame:
     """What matching needs: match_key, norm_key, tier, and the token (up to the anchors for a tier 3 value)."""
     head = F.format_string("###{%s across %d families", F.array_join("fields", "/"), F.col("n_families"))
     token = (
@@ -115,7 +115,7 @@ def dictionary(values: DataFrame, secret: str) -> DataFrame:
         .otherwise(head)
     )
     tail = F.when(F.col("tier") == 3, F.concat(F.lit(" #"), pii_id(F.col("norm_key"), secret), F.lit("}")))
-    tokens = tiered_index(values).select(
+    tokens = (tiered_index(values) if tiers is None else tiers).select(
         "norm_key", "tier", "n_families", F.when(F.col("tier") < 3, F.col("family")).alias("family"),
         token.alias("token"), tail.alias("tail"), F.array_join("fields", "/").alias("fields"),
     )
