@@ -83,30 +83,64 @@ def test_tool_calls():
     assert tasks.parse_calls("<workspace-result><list/>") == [] == tasks.parse_calls(None)
 
 
-def test_outline():
+def outline(spark, html, **kw):
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    return [r["line"] for r in corpus.page_outline(pages, ["page_id"], **kw).orderBy("n").collect()]
+
+
+def test_outline(spark):
     html = (
-        '<head><title>t</title></head><body><h1>Head  line</h1><div hidden><a href="x">no</a></div>'
+        '<head><title>t</title></head><body><h1>Head  line</h1><div hidden><a href="x">no</a><p>no</p></div>'
         '<ul><li><a href="y">Go <b>on</b></a></li></ul><input type="checkbox" name="n" checked disabled><p>text</p><script>var a="</p>";</script></body>'
     )
-    assert corpus.outline(html) == ['H1 "Head line"', '[e1] link "Go on"', '[e2] checkbox "n" (disabled,checked)', '"text"']
-    assert len(corpus.outline("<p>x</p>" * 900)) == 801
-    assert corpus.outline("<b>" * 5000 + "<p>deep</p>") == ['"deep"']
+    assert outline(spark, html) == ['H1 "Head line"', '[e1] link "Go on"', '[e2] checkbox "n" (disabled,checked)', '"text"']
+    assert outline(spark, "<b>" * 5000 + "<p>deep</p>") == ['"deep"']
+    assert outline(spark, "") == outline(spark, None) == outline(spark, "no markup, 1 < 2") == []
+
+
+def test_outline_nesting_and_names(spark):
+    html = (
+        "<!-- <a>no</a> --><div role=button title='a > b'>A &amp; <span>B</span><a href=x>in&#110;er&#x21;</a><p>leaf<p>next</div>"
+        '<div><div role="tab" aria-expanded="true" style="color:red"></div></div><label>L<input type=text placeholder="P"><br/></label></div>'
+        '<p style="display: none">no</p><select name=s><option>one<option>two</select><span>a<b>c</b></span><h2>  </h2><A HREF=z>Up</A><button>open'
+    )
+    assert outline(spark, html) == [
+        '[e1] button "A & Binner!leafnext"', '  "B"', '  [e2] link "inner!"', '  "leaf"', '  "next"', '[e3] tab "" (expanded=true)', '[e4] label "L"',
+        '  [e5] text "P"', '[e6] combobox "s"', '  [e7] option "one"', '  [e8] option "two"', '[e9] link "Up"', '[e10] button "open"',
+    ]
 
 
 def test_outlines_are_whole_unless_a_limit_is_given(spark, tmp_path):
     from textloom.plans import corpus_queries
 
     html = '<p>x</p>' * 900 + '<a href="y">late</a>' + '<a href="z">last</a>'
-    pages = spark.createDataFrame([(1, html), (2, "<p>x</p>"), (3, None)], "page_id long, html string")
-    sizes = lambda c: [r[0] for r in pages.orderBy("page_id").select(F.size(c)).collect()]
-    assert sizes(corpus.page_outline("html")) == [902, 1, 0] and sizes(corpus.page_outline("html", 900)) == [901, 1, 0]
-    assert pages.where("page_id = 1").select(corpus.page_outline("html", 10)[10]).first()[0] == corpus.MORE_LINES == corpus.outline(html)[800]
-    assert corpus.outline("<p>x</p>" * 10, 10) == ['"x"'] * 10
+    pages = spark.createDataFrame([(1, html), (2, "<p>x</p>"), (3, None), (None, "<p>y</p>"), (None, "<p>z</p>")], "page_id long, html string")
+    size = lambda limit: {r["page_id"]: r["count"] for r in corpus.page_outline(pages, ["page_id"], limit=limit).groupBy("page_id").count().collect()}
+    assert size(None) == {1: 902, 2: 1, None: 2} and size(900) == {1: 901, 2: 1, None: 2}
+    assert outline(spark, html, limit=10) == ['"x"'] * 10 + [corpus.MORE_LINES]
+    assert outline(spark, "<p>x</p>" * 10, limit=10) == ['"x"'] * 10
     assert [r["n"] for r in corpus.find_in_outline(pages, ["page_id"], "link").orderBy("n").collect()] == [900, 901]
     pages.write.parquet(str(tmp_path / "pages.parquet"))
     assert [tuple(r) for r in corpus_queries.outline_links(spark, str(tmp_path)).collect()] == [(1, 2)]
 
 
+def test_long_differences_in_little_memory():
+    """20,000 lines a side, all changed but some; memory stays far below a bit for every pair of lines."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(5)
+    old = [f"line {i}" for i in range(20_000)]
+    new = [s if rng.random() < 0.5 else s + "!" for s in old if rng.random() < 0.9]
+    tracemalloc.start()
+    ops = corpus.line_ops("\n".join(old), "\n".join(new))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [s for op, s in ops if op != "add"] == old and [s for op, s in ops if op != "del"] == new
+    assert sum(op == "same" for op, _ in ops) == len(set(old) & set(new))
+    assert peak < 25_000_000
+
+
 def test_globs(spark):
     cases = {
         "src/**/*.mjs": (["src/a.mjs", "src/x/y/b.mjs"], ["lib/a.mjs", "src/a.js"]),

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from textloom.functions import folding
-from textloom.operators.corpus import line_changes, outline_lines, unified_text
+from textloom.operators.corpus import line_changes, unified_text
 from textloom.operators.tasks import parse_calls, tool_calls_in
 
 SCALARS = {
@@ -18,7 +18,6 @@ SCALARS = {
     "tool_calls": tool_calls_in,
     "line_changes": line_changes,
     "unified_text": unified_text,
-    "page_outline": outline_lines,
 }
 
 

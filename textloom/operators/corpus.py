@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 from collections.abc import Sequence
-from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -79,42 +80,106 @@ def file_info(df: DataFrame) -> DataFrame:
 OPS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("line", T.StringType())]))
 
 
+#: Match masks that are kept at a time, in bytes.
+MASKS = 32 << 20
+
+
+class _Grid:
+    """Lengths of longest common subsequences of the first i symbols of x and the first j of y, one bit for each j and row.
+
+    A row is a whole number whose bit j is 0 where the length grows from j to j + 1; the next row takes four operations on such numbers. Only
+    every so many rows are kept, and a stretch between two of them is worked out again when it is asked for: of n rows of m bits,
+    2 * sqrt(n) are held.
+    """
+
+    def __init__(self, x: Sequence[int], y: Sequence[int]):
+        self.x, self.width = x, len(y)
+        self.full = (1 << len(y)) - 1
+        self.places: dict[int, list[int]] = {}
+        for j, symbol in enumerate(y):
+            self.places.setdefault(symbol, []).append(j)
+        self.masks: dict[int, int] = {}
+        self.stride = max(1, math.isqrt(len(x)))
+        self.kept = [self.full]
+        row = self.full
+        for i, symbol in enumerate(x, 1):
+            row = self.after(row, symbol)
+            if i % self.stride == 0:
+                self.kept.append(row)
+        self.last = row
+        self.stretch: tuple[int, list[int]] = (-1, [])
+
+    def mask(self, symbol: int) -> int:
+        known = self.masks.get(symbol)
+        if known is None:
+            known = 0
+            places = self.places[symbol]
+            if len(places) < 8:
+                for j in places:
+                    known |= 1 << j
+                return known
+            bits = np.zeros(self.width, np.uint8)
+            bits[places] = 1
+            known = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            if (len(self.masks) + 1) * (self.width >> 3) > MASKS:
+                self.masks.clear()
+            self.masks[symbol] = known
+        return known
+
+    def after(self, row: int, symbol: int) -> int:
+        if symbol not in self.places:
+            return row
+        hit = row & self.mask(symbol)
+        return (row + hit | row - hit) & self.full
+
+    def row(self, i: int) -> int:
+        block = i // self.stride
+        if self.stretch[0] != block:
+            rows = [self.kept[block]]
+            for symbol in self.x[block * self.stride : (block + 1) * self.stride - 1]:
+                rows.append(self.after(rows[-1], symbol))
+            self.stretch = block, rows
+        return self.stretch[1][i - block * self.stride]
+
+    def length(self, i: int, j: int) -> int:
+        return j - (self.row(i) & ((1 << j) - 1)).bit_count()
+
+
 def line_ops(old: str | None, new: str | None) -> list[tuple[str, str]]:
     """Longest-common-subsequence difference of two texts, as (op, line). Of equal choices the later deletion wins.
 
-    Shared last lines are set aside. The rest is filled in one table row at a time and a table cell needs one bit, so two
-    texts of 10,000 changed lines each take about 12 MB.
+    Shared last lines are set aside. Every old line is then settled from the last to the first, given how many new lines are left: it is
+    kept if it equals the last of these; else it goes if the rest does without it; else its nearest equal is the partner, and the new
+    lines after that one are additions. Two texts of 200,000 changed lines each need some 50 MB.
     """
     a, b = (old or "").split("\n"), (new or "").split("\n")
-    tail = 0
-    while tail < min(len(a), len(b)) and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    end = [("same", s) for s in a[len(a) - tail:]]
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    shared = 0
+    while shared < min(len(a), len(b)) and a[-1 - shared] == b[-1 - shared]:
+        shared += 1
+    end = a[len(a) - shared :]
+    a, b = a[: len(a) - shared], b[: len(b) - shared]
     codes: dict[str, int] = {}
-    x = np.array([codes.setdefault(s, len(codes)) for s in a])
-    y = np.array([codes.setdefault(s, len(codes)) for s in b])
-    n, m = len(a), len(b)
-    up = np.zeros((n + 1, (m + 8) // 8), dtype=np.uint8)
-    row = np.zeros(m + 1, dtype=np.int32)
-    for i in range(1, n + 1):
-        best = np.maximum(row[1:], np.where(y == x[i - 1], row[:-1] + 1, 0))
-        nxt = np.concatenate(([0], np.maximum.accumulate(best)))
-        up[i] = np.packbits(row >= np.concatenate(([0], nxt[:-1])))[: up.shape[1]]
-        row = nxt
-    out, i, j = [], n, m
-    while i and j:
-        if x[i - 1] == y[j - 1]:
-            i, j = i - 1, j - 1
-            out.append(("same", a[i]))
-        elif up[i, j >> 3] >> (7 - (j & 7)) & 1:
-            i -= 1
-            out.append(("del", a[i]))
-        else:
-            j -= 1
-            out.append(("add", b[j]))
-    out += [("del", s) for s in reversed(a[:i])] + [("add", s) for s in reversed(b[:j])]
-    return out[::-1] + end
+    x = [codes.setdefault(line, len(codes)) for line in a]
+    y = [codes.setdefault(line, len(codes)) for line in b]
+    grid = _Grid(x, y)
+    left = len(y)
+    length = left - grid.last.bit_count()
+    partner: list[int] = [-1] * len(x)  # of a line that is kept
+    until = [0] * len(x)  # new lines that come before the line's place
+    for i in range(len(x) - 1, -1, -1):
+        places = grid.places.get(x[i], [])
+        at = bisect.bisect_left(places, left) - 1
+        if at >= 0 and (places[at] == left - 1 or grid.length(i, left) < length):
+            partner[i] = left = places[at]
+            length -= 1
+        until[i] = left
+    out, done = [], 0
+    for i, line in enumerate(a):
+        out += [("add", s) for s in b[done : until[i]]]
+        kept = partner[i] >= 0
+        out.append(("same" if kept else "del", line))
+        done = until[i] + kept
+    return out + [("add", s) for s in b[done:]] + [("same", s) for s in end]
 
 
 @F.pandas_udf(OPS)
@@ -176,7 +241,7 @@ def id_set_changes(before: Column, after: Column) -> Column:
 
 # ── page outlines ─────────────────────────────────────────────────────────────
 
-# Elements that can be used, roles, elements that are skipped, elements that have no content.
+# Elements that can be used, roles, elements whose own text is shown, elements that have no content or need no end.
 USABLE = {"a", "button", "input", "select", "textarea", "option", "label", "summary"}
 ROLES = {
     "a": "link",
@@ -192,105 +257,134 @@ ROLES = {
     "h3": "heading",
     "h4": "heading",
 }
-SKIPPED = {"script", "style", "noscript", "template", "meta", "link", "head"}
 TEXTUAL = {"h1", "h2", "h3", "p", "li", "span", "div"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CLOSED_BY = {"p": {"p", "div", "ul", "ol", "h1", "h2", "h3", "h4", "table", "article", "section", "form"}, "li": {"li"}, "option": {"option"}}
 
 
-class _Tree(HTMLParser):
-    """The elements of a page, nested, with their text."""
+#: What holds no page content, pieces of markup, and attributes of a tag.
+_DROPPED = r"(?is)<!--.*?-->|<(script|style|noscript|template|head)\b[^>]*+>.*?</\1\s*+>|</?(?:meta|link)\b[^>]*+>|<[!?][^>]*+>"
+_PIECE = r"""</?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[A-Za-z][^>]*+>|[^<]++|<"""
+_ATTRIBUTE = r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?"""
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", chr(0xA0)), ("&amp;", "&"))
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root: dict = {"tag": "", "attrs": {}, "kids": []}
-        self.open = [self.root]
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in CLOSED_BY.get(self.open[-1]["tag"], ()):
-            self.open.pop()
-        node = {"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "kids": []}
-        self.open[-1]["kids"].append(node)
-        if tag not in VOID:
-            self.open.append(node)
+def unescape(text: Column) -> Column:
+    """Numeric references, and the names that markup cannot do without, as characters."""
 
-    def handle_endtag(self, tag: str) -> None:
-        depth = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i]["tag"] == tag), 0)
-        if depth:
-            del self.open[depth:]
+    def numbered(part: Column, i: Column) -> Column:
+        mark = F.regexp_extract(part, "^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+        code = F.when(mark.rlike("^[xX]"), F.conv(F.substring(mark, 2, 6), 16, 10)).otherwise(mark).try_cast("bigint")
+        sound = (mark != "") & (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        rest = F.substr(part, F.length(mark) + 2, F.length(part))
+        return F.when(i == 0, part).when(sound, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), part))
 
-    def handle_data(self, data: str) -> None:
-        self.open[-1]["kids"].append(data)
+    out = F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(F.split(text, "&#", -1), numbered), "")).otherwise(text)
+    for name, char in _ENTITIES:
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
 
-def _text(node: dict) -> str:
-    parts, todo = [], [node]
-    while todo:
-        part = todo.pop()
-        if isinstance(part, str):
-            parts.append(part)
-        elif part["tag"] not in SKIPPED:
-            todo += reversed(part["kids"])
-    return "".join(parts)
+def _attributes(piece: Column) -> Column:
+    """Attributes of an opening tag by lower-case name; one without a value is empty. The last of two equal names counts."""
+    body = F.regexp_replace(piece, r"^<[^\s/>]+", "")
+    found = [F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(n)) for n in range(1, 5)]
+    both = lambda a, b: F.concat(a, b)
+    values = F.zip_with(F.zip_with(found[1], found[2], both), found[3], both)
+    return F.map_from_entries(F.transform(F.arrays_zip(found[0].alias("k"), values.alias("v")), lambda x: F.struct(F.lower(x["k"]).alias("k"), unescape(x["v"]).alias("v"))))
 
 
-def _squeeze(text: str, n: int) -> str:
-    return re.sub(r"\s+", " ", text.strip())[:n]
+def _squeezed(text: Column, n: int) -> Column:
+    return F.substring(F.trim(F.regexp_replace(text, r"[\s\x{A0}]+", " ")), 1, n)
 
 
-def outline(html: str | None, limit: int | None = OUTLINE_LINES) -> list[str]:
-    """Usable elements with role, name and state, and the text of leaf elements, indented by nesting.
+def markup_elements(pages: DataFrame, keys: Sequence[str], html: str = "html") -> DataFrame:
+    """Pieces of markup in their order, opening tags with their attributes and the place of their closing tag.
 
-    With ``limit`` the first lines, and MORE_LINES after them if there were more.
+    A closing tag belongs to the last open one of its name: both have the same level in the running count of that name. An option holds
+    text alone and ends with it. All windows share one exchange by page.
+    """
+    pieces = F.regexp_extract_all(F.regexp_replace(F.coalesce(html, F.lit("")), _DROPPED, ""), F.lit(_PIECE), F.lit(0))
+    rows = pages.select(*keys, F.monotonically_increasing_id().alias("_page"), pieces.alias("_pieces"))
+    rows = rows.select(*keys, "_page", F.posexplode("_pieces").alias("pos", "piece")).repartition("_page")
+    tag = F.lower(F.regexp_extract("piece", "^</?([A-Za-z][A-Za-z0-9:-]*)", 1))
+    rows = rows.withColumn("tag", tag).withColumn("closes", (F.col("tag") != "") & F.startswith("piece", F.lit("</")))
+    rows = rows.withColumn("opens", (F.col("tag") != "") & ~F.col("closes"))
+    rows = rows.withColumn("holds", F.col("opens") & ~F.col("tag").isin(*VOID, "option") & ~F.endswith("piece", F.lit("/>")))
+    rows = rows.withColumn("attrs", F.when(F.col("opens"), _attributes(F.col("piece")))).withColumn("text", F.when(F.col("tag") == "", unescape(F.col("piece"))).otherwise(""))
+    by_tag = Window.partitionBy("_page", "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.when(F.col("holds"), 1).when(F.col("closes"), -1).otherwise(0)
+    rows = rows.withColumn("level", F.sum(step).over(by_tag) + F.col("closes").cast("int"))
+    so_far = Window.partitionBy("_page").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("chars", F.sum(F.length("text")).over(so_far))
+    # Tags without content stand beside the levels, not on them.
+    partner = Window.partitionBy("_page", "tag", "level", F.col("holds") | F.col("closes")).orderBy("pos")
+    return rows.withColumn("end_chars", F.when(F.col("holds"), F.lead("chars").over(partner)))
+
+
+def page_outline(pages: DataFrame, keys: Sequence[str], html: str = "html", limit: int | None = None) -> DataFrame:
+    """(keys, n, line): elements that can be used, with role, name and state, and the text of elements that hold nothing else.
+
+    Lines are indented by the usable elements around them and numbered from 0 in each page. What the markup hides is left out with all it
+    holds. With ``limit`` the first lines of each page, and MORE_LINES after them if there were more. Pages are rows: equal or null keys do
+    not mix, and a null page has no lines.
     """
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
-    lines: list[str] = []
-    refs = 0
-    todo = [(k, 0, False) for k in reversed(tree.root["kids"]) if not isinstance(k, str)]
-    while todo and (limit is None or len(lines) <= limit):
-        node, depth, hidden = todo.pop()
-        tag, attrs = node["tag"], node["attrs"]
-        hidden = hidden or "hidden" in attrs or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""))
-        if tag in SKIPPED:
-            continue
-        pad, shown = "  " * min(depth, 8), False
-        if not hidden and (tag in USABLE or attrs.keys() & {"role", "onclick", "tabindex"}):
-            refs += 1
-            role = attrs.get("role") or (attrs.get("type") or "textbox" if tag == "input" else ROLES.get(tag, tag))
-            picks = ("aria-label", "placeholder", "name") + (("value",) if tag == "input" else ())
-            name = next((attrs[p] for p in picks if attrs.get(p)), None) or _squeeze(_text(node), 80)
-            state = [s for s, a in (("disabled", "disabled"), ("checked", "checked")) if a in attrs]
-            state += [f"expanded={attrs['aria-expanded']}"] if attrs.get("aria-expanded") else []
-            lines.append(f'{pad}[e{refs}] {role} "{name.strip()}"' + (f" ({','.join(state)})" if state else ""))
-            shown = True
-        elif not hidden and tag in TEXTUAL and len(node["kids"]) == 1 and isinstance(node["kids"][0], str):
-            text = _squeeze(node["kids"][0], 100)
-            if text:
-                lines.append(pad + (f"{tag.upper()} " if tag[0] == "h" else "") + f'"{text}"')
-                shown = True
-        todo += [(k, depth + shown, hidden) for k in reversed(node["kids"]) if not isinstance(k, str)]
-    if limit is not None and len(lines) > limit:
-        lines[limit:] = [MORE_LINES]
-    return lines
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def outline_lines(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: outline(h, None))
-
-
-def page_outline(html: str | Column, limit: int | None = None) -> Column:
-    """All lines of the outline of each page; with ``limit`` the first ones, and MORE_LINES where there were more."""
-    if limit is None:
-        return outline_lines(html)
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def first_lines(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda h: outline(h, limit))
-
-    return first_lines(html)
+    rows = markup_elements(pages, keys, html)
+    has = lambda *names: F.coalesce(F.arrays_overlap(F.map_keys("attrs"), F.array(*[F.lit(n) for n in names])), F.lit(False))
+    attr = lambda name: F.coalesce(F.try_element_at("attrs", F.lit(name)), F.lit(""))
+    pair = Window.partitionBy("_page", "tag", "level", F.col("holds") | F.col("closes")).orderBy("pos")
+    so_far = Window.partitionBy("_page").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy("_page").orderBy("pos")
+
+    def inside(flag: str) -> Column:
+        """How many elements with ``flag`` are open after a piece."""
+        begun = F.when(F.col("holds") & F.col(flag), 1).otherwise(0)
+        ended = F.when(F.col("closes") & F.coalesce(F.lag(flag).over(pair), F.lit(False)), 1).otherwise(0)
+        return begun - ended
+
+    rows = rows.withColumn("hides", F.col("opens") & (has("hidden") | attr("style").rlike(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")))
+    rows = rows.withColumn("_step", inside("hides")).withColumn("seen", ~F.col("hides") & (F.sum("_step").over(so_far) <= 0))
+    rows = rows.withColumn("usable", F.col("opens") & F.col("seen") & (F.col("tag").isin(*USABLE) | has("role", "onclick", "tabindex")))
+    rows = rows.withColumn("_step", inside("usable")).withColumn("depth", F.greatest(F.lit(0), F.sum("_step").over(so_far) - F.greatest(F.lit(0), F.col("_step"))))
+    rows = rows.withColumn("ref", F.sum(F.col("usable").cast("int")).over(so_far))
+    after = [F.lead(F.struct("tag", "closes", "text"), n).over(ahead).alias(f"_next{n}") for n in (1, 2)]
+    rows = rows.select("*", *after)
+    third = F.col("_next2")
+    shut = third.isNull() | third["closes"]
+    for name, closers in CLOSED_BY.items():
+        shut = shut | (F.col("tag") == name) & third["tag"].isin(*closers)
+    leaf = F.col("holds") & F.col("seen") & ~F.col("usable") & F.col("tag").isin(*TEXTUAL) & (F.col("_next1.tag") == "") & shut
+    plain = F.when(leaf, _squeezed(F.col("_next1.text"), 100))
+    role = F.when(attr("role") != "", attr("role")).when(F.col("tag") == "input", F.when(attr("type") != "", attr("type")).otherwise("textbox"))
+    role = F.coalesce(role, F.try_element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]), F.col("tag")), F.col("tag"))
+    given = [attr(n) for n in ("aria-label", "placeholder", "name")] + [F.when(F.col("tag") == "input", attr("value")).otherwise("")]
+    beside = F.when(F.col("_next1.tag") == "", _squeezed(F.col("_next1.text"), 80))
+    name = F.coalesce(*[F.when(g != "", F.trim(g)) for g in given], F.when(F.col("tag") == "option", beside), F.when(~F.col("holds"), ""))
+    states = [F.when(has(s), F.lit(s)) for s in ("disabled", "checked")]
+    states.append(F.when(attr("aria-expanded") != "", F.concat(F.lit("expanded="), attr("aria-expanded"))))
+    listed = F.concat_ws(",", *states)
+    item = F.struct(
+        "pos",
+        F.repeat(F.lit("  "), F.least(F.col("depth"), F.lit(8)).cast("int")).alias("pad"),
+        F.when(F.col("usable"), F.concat(F.lit("[e"), F.col("ref"), F.lit("] "), role, F.lit(' "'))).otherwise(F.concat(F.when(F.startswith("tag", F.lit("h")), F.concat(F.upper("tag"), F.lit(" "))).otherwise(""), F.lit('"'))).alias("head"),
+        F.when(F.col("usable"), name).otherwise(plain).alias("name"),
+        F.col("chars").alias("from"),
+        F.col("end_chars").alias("to"),
+        F.concat(F.lit('"'), F.when(F.col("usable") & (listed != ""), F.concat(F.lit(" ("), listed, F.lit(")"))).otherwise("")).alias("tail"),
+    )
+    shown = F.col("usable") | (F.length(plain) > 0)
+    texts = F.when(F.col("text") != "", F.struct("pos", "text"))
+    whole = rows.groupBy("_page", *keys).agg(F.array_sort(F.collect_list(F.when(shown, item))).alias("items"), F.array_join(F.transform(F.array_sort(F.collect_list(texts)), lambda t: t["text"]), "").alias("_text"))
+
+    def line(x: Column) -> Column:
+        held = F.substr(F.col("_text"), (x["from"] + 1).cast("int"), F.coalesce(x["to"] - x["from"], F.length("_text")).cast("int"))
+        return F.concat(x["pad"], x["head"], F.coalesce(x["name"], _squeezed(held, 80)), x["tail"])
+
+    lines = F.transform("items", line)
+    if limit is not None:
+        lines = F.when(F.size("items") > limit, F.concat(F.slice(lines, 1, limit), F.array(F.lit(MORE_LINES)))).otherwise(lines)
+    return whole.select(*keys, F.posexplode(lines).alias("n", "line"))
 
 
 def find_in_outline(pages: DataFrame, keys: Sequence[str], query: str, html: str = "html") -> DataFrame:
@@ -300,5 +394,4 @@ def find_in_outline(pages: DataFrame, keys: Sequence[str], query: str, html: str
         pattern = query
     except Exception:
         pattern = re.escape(query)
-    lines = pages.select(*keys, F.posexplode(page_outline(F.col(html))).alias("n", "line"))
-    return lines.where(F.col("line").rlike("(?i)" + pattern))
+    return page_outline(pages, keys, html).where(F.col("line").rlike("(?i)" + pattern))

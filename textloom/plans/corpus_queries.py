@@ -73,6 +73,15 @@ def line_diff_rebuilds(spark, folder):
     return rows.groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: F.concat(F.lit(" "), x["line"])), "\n").alias("both"))
 
 
+@query("""SELECT path, array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda l, i: (i - 1 + doc_id) % 5 <> 4), lambda l, i: '|' || l || CASE WHEN (i - 1) % 7 = 3 THEN ' (edited)' ELSE '' END), chr(10)) AS both FROM $corpus
+            WHERE len(list_filter(string_split(text, chr(10)), lambda l, i: (i - 1 + doc_id) % 5 <> 4)) > 0""")
+def line_diff_rebuilds_new(spark, folder):
+    """The new side of every difference, put together again; an empty one is one empty line and has no row in SQL."""
+    rows = corpus.line_diff(pairs(spark, folder).where("new <> '' OR (doc_id % 5 <> 4)"), ["path"]).where("op <> 'del'")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
+    return rows.groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: F.concat(F.lit("|"), x["line"])), "\n").alias("both"))
+
+
 @query("""SELECT CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS old_lines, count(DISTINCT doc_id) AS pairs FROM $documents""")
 def line_diff_totals(spark, folder):
     rows = corpus.line_diff(pairs(spark, folder), ["doc_id"])
@@ -92,8 +101,7 @@ def unified_diff(spark, folder):
 
 @query()
 def page_outline(spark, folder):
-    pages = spread(load(spark, folder, "SELECT page_id, html FROM $pages"))
-    return pages.select("page_id", F.posexplode(corpus.page_outline("html")).alias("n", "line"))
+    return corpus.page_outline(spread(load(spark, folder, "SELECT page_id, html FROM $pages")), ["page_id"])
 
 
 @query("""SELECT page_id, len(regexp_extract_all(html, '<a ')) AS links FROM $pages WHERE regexp_matches(html, '<a ')""")
