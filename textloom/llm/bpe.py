@@ -33,8 +33,12 @@ from textloom.llm.common import id_and_text, small_batches
 CACHE_ENTRIES, CACHE_LENGTH, STRETCH = 550_000, 48, 1 << 20
 #: Lists of more positions than this are applied by numpy.
 LONG_LIST = 40
-#: The word pattern and the white space of the tokenizer file.
-ASCII_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
+#: Characters of text whose chunks are looked up together.
+GROUP = 6 << 20
+#: The word pattern and the white space of the tokenizer file. Below LATIN_END no letter or number was ever added.
+LATIN_END = "\u0250"
+_LETTERS, _NUMBERS = ("".join(re.escape(chr(i)) for i in range(ord(LATIN_END)) if unicodedata.category(chr(i))[0] == k) for k in "LN")
+WORDS = f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+"
 SPACE = "[\t-\r \x85\xa0  -     　]+"
 #: Python's split() parts at these, the tokenizer does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
@@ -78,16 +82,16 @@ class WordBpe:
             lowest.setdefault(a, rank)
             lowest.setdefault(b, rank)
         self.rewinds = [lowest.get(c, rank + 1) <= rank for rank, (_, _, c) in enumerate(self.merges)]
-        self.words = re.compile(ASCII_WORDS)
+        self.words = re.compile(WORDS)
         self.split_space = re.compile(SPACE)
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.cache: dict[str, bytes] = {}
 
-    def cut(self, chunk: str) -> list[bytes]:
-        """The words of a chunk without white space."""
-        if chunk.isascii():
-            return [chunk.encode()] if chunk.isalpha() else [w.encode() for w in self.words.findall(chunk)]
-        return [bytes([self.byte_of[c] for c in w]) for w, _ in self.cutter.pre_tokenize_str(chunk)]
+    def cut(self, chunk: str) -> list[str]:
+        """The words of a chunk without white space. Letters and numbers of the Latin blocks are known here, others to the library."""
+        if chunk.isascii() or max(chunk) < LATIN_END:
+            return [chunk] if chunk.isalpha() else self.words.findall(chunk)
+        return [bytes([self.byte_of[c] for c in w]).decode() for w, _ in self.cutter.pre_tokenize_str(chunk)]
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, merged together through one pair occurrence index."""
@@ -133,7 +137,9 @@ class WordBpe:
             a, b, c = merges[rank]
             places = where.pop(rank)
             if len(places) > LONG_LIST and a != b and not rewinds[rank]:
-                i = np.unique(np.array(places, np.int64))
+                i = np.array(places, np.int64)
+                i.sort()
+                i = i[np.flatnonzero(np.diff(i, prepend=-1))]
                 j = after[i]
                 ok = (symbols[i] == a) & (j >= 0) & (symbols[j] == b)
                 i, j = i[ok], j[ok]
@@ -205,37 +211,62 @@ class WordBpe:
     def chunks(self, stretch: str) -> list[str]:
         return [c for c in self.split_space.split(stretch) if c] if any(c in stretch for c in NOT_SPACE) else stretch.split()
 
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """The ids of chunks, in bytes."""
-        cut = {c: self.cut(c) for c in chunks}
-        words = list(dict.fromkeys(chain.from_iterable(cut.values())))
-        ids = dict(zip(words, self.encode_words(words), strict=True)) if words else {}
-        return {c: ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for c, ws in cut.items()}
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def look_up(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks, in bytes. New chunks are cut into words, and of these only new ones are merged."""
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
         known = self.cache
-        cut: list[list] = []
-        new: set[str] = set()
-        for t in texts:
-            parts: list = []
-            for s in self.stretches(t):
+        found = list(map(known.get, chunks))
+        new = {k: self.cut(chunks[k]) for k, ids in enumerate(found) if ids is None}
+        words = list(dict.fromkeys(w for ws in new.values() for w in ws if w not in known))
+        learned = dict(zip(words, self.encode_words([w.encode() for w in words]), strict=True)) if words else {}
+        for k, ws in new.items():
+            found[k] = b"".join([learned[w] if w in learned else known[w] for w in ws])
+        known.update({w: ids for w, ids in learned.items() if len(w) <= CACHE_LENGTH})
+        known.update({chunks[k]: found[k] for k, ws in new.items() if len(ws) > 1 and len(chunks[k]) <= CACHE_LENGTH})
+        return found
+
+    def gather(self, stretches: list[list[str]]) -> list[np.ndarray]:
+        """The ids of stretches of text cut into chunks: each distinct chunk is looked up once, the rest is copying by number."""
+        counts = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        coded = pa.array(list(chain.from_iterable(stretches)), pa.string()).dictionary_encode()
+        ids = self.look_up(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        firsts = np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy()
+        long = sizes[codes]
+        stops = np.cumsum(long)
+        at = np.repeat((firsts[codes] - stops + long).astype(np.int32), long)
+        at += np.arange(len(at), dtype=np.int32)
+        out = np.frombuffer(b"".join(ids), "<u4")[at]
+        cuts = np.concatenate(([0], stops))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        return [out[s:e] for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        parts: list[list] = [[] for _ in texts]
+        group: list[tuple[list, int, list[str]]] = []
+        size = 0
+
+        def close() -> None:
+            if group:
+                for (own, k, _), ids in zip(group, self.gather([c for _, _, c in group]), strict=True):
+                    own[k] = ids.tobytes()
+                group.clear()
+
+        for own, text in zip(parts, texts, strict=True):
+            for s in self.stretches(text):
                 if isinstance(s, int):
-                    parts.append(s.to_bytes(4, "little"))
+                    own.append(s.to_bytes(4, "little"))
                     continue
-                chunks = self.chunks(s)
-                found = list(map(known.get, chunks))
-                try:
-                    parts.append(b"".join(found))
-                except TypeError:  # some are not known yet
-                    new.update([c for c, f in zip(chunks, found, strict=True) if f is None])
-                    parts.append((chunks, found))
-            cut.append(parts)
-        learned = self.learn(new) if new else {}
-        known.update({c: i for c, i in learned.items() if len(c) <= CACHE_LENGTH})
-        return [b"".join([p if isinstance(p, bytes) else b"".join([learned[c] if f is None else f for c, f in zip(*p, strict=True)]) for p in parts]) for parts in cut]
+                group.append((own, len(own), self.chunks(s)))
+                own.append(b"")
+                size += len(s)
+                if size >= GROUP:
+                    close()
+                    size = 0
+        close()
+        return [own[0] if len(own) == 1 else b"".join(own) for own in parts]
 
 
 def joined(ids: bytes, names: dict[int, str]) -> str:
