@@ -100,12 +100,12 @@ def test_outline(spark):
 
 def test_outline_nesting_and_names(spark):
     html = (
-        "<!-- <a>no</a> --><div role=button title='a > b'>A &amp; <span>B</span><a href=x>in&#110;er&#x21;</a><p>leaf<p>next</div>"
+        "<!-- <a>no</a> --><div role=button title='a > b'>A &amp; <span>B</span><a href=x>in&#110;er&#x21; &copy;&nosuch; &#xD800; & 1&lt;</a><p>leaf<p>next</div>"
         '<div><div role="tab" aria-expanded="true" style="color:red"></div></div><label>L<input type=text placeholder="P"><br/></label></div>'
         '<p style="display: none">no</p><select name=s><option>one<option>two</select><span>a<b>c</b></span><h2>  </h2><A HREF=z>Up</A><button>open'
     )
     assert outline(spark, html) == [
-        '[e1] button "A & Binner!leafnext"', '  "B"', '  [e2] link "inner!"', '  "leaf"', '  "next"', '[e3] tab "" (expanded=true)', '[e4] label "L"',
+        '[e1] button "A & Binner! ©&nosuch; &#xD800; & 1<leafnext"', '  "B"', '  [e2] link "inner! ©&nosuch; &#xD800; & 1<"', '  "leaf"', '  "next"', '[e3] tab "" (expanded=true)', '[e4] label "L"',
         '  [e5] text "P"', '[e6] combobox "s"', '  [e7] option "one"', '  [e8] option "two"', '[e9] link "Up"', '[e10] button "open"',
     ]
 

@@ -28,7 +28,7 @@ def scan(df, cut):
 
 
 def test_sliced_scan_equals_window(rows):
-    cut = slices(rows, "t", 50)
+    cut = slices(rows, ["session"], ["t", "event_id"], 50)
     assert cut is not None
     sizes = rows.groupBy("session", cut.alias("s")).count().agg(F.max("count"), F.count("*")).first()
     assert sizes[0] <= 120 and sizes[1] > 40
@@ -36,12 +36,33 @@ def test_sliced_scan_equals_window(rows):
 
 
 def test_slices_follow_the_order(rows):
-    placed = rows.select("t", slices(rows, "t", 50).alias("s")).orderBy("t").collect()
+    place = ["session", "t", "event_id"]
+    placed = rows.select(*place, slices(rows, place[:1], place[1:], 50).alias("s")).orderBy(*place).collect()
     assert all(a["s"] <= b["s"] for a, b in zip(placed, placed[1:]))
 
 
+def test_equal_and_null_positions_spread(spark):
+    """One session with all its rows at one time, or at none: the slices are as even as any."""
+    for t in (5, None):
+        df = spark.createDataFrame([("hot", t, i, i % 3) for i in range(3000)] + [(None, t, i, 1) for i in range(300)], "session STRING, t BIGINT, event_id BIGINT, v BIGINT")
+        cut = slices(df, ["session"], ["t", "event_id"], 100)
+        sizes = [r["count"] for r in df.groupBy("session", cut.alias("s")).count().collect()]
+        assert max(sizes) <= 250 and len(sizes) >= 30
+        run = lambda c: sorted(map(str, ordered_scan(df, ["session"], ["t", "event_id"], c, sums={"n": F.col("v")}, previous={"p": F.col("event_id")}).collect()))
+        assert run(cut) == run(None)
+
+
+def test_snapshots_carry_facts_not_pages(spark):
+    df = spark.createDataFrame([("a", i, f'<p id="x{i % 3}">{"<b>" * (i % 4)}') for i in range(300)], "session STRING, page_id BIGINT, html STRING")
+    out = lambda n: events.snapshot_diffs(df, ["page_id"], n).select("page_id", "summary")
+    assert sorted(map(tuple, out(20).collect())) == sorted(map(tuple, out(10**6).collect()))
+    plan = out(10**6)._jdf.queryExecution().executedPlan().toString()
+    window = plan[: plan.index("Exchange")]
+    assert "html" not in window.replace("_facts", "")
+
+
 def test_small_tables_need_no_slices(rows):
-    assert slices(rows, "t") is None
+    assert slices(rows, ["session"], ["t"]) is None
 
 
 def test_last_rows(rows):

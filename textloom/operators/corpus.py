@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import bisect
+import json
 import math
 import re
 from collections.abc import Sequence
+from html.entities import html5
 
 import numpy as np
 import pandas as pd
@@ -266,24 +268,21 @@ CLOSED_BY = {"p": {"p", "div", "ul", "ol", "h1", "h2", "h3", "h4", "table", "art
 _DROPPED = r"(?is)<!--.*?-->|<(script|style|noscript|template|head)\b[^>]*+>.*?</\1\s*+>|</?(?:meta|link)\b[^>]*+>|<[!?][^>]*+>"
 _PIECE = r"""</?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[A-Za-z][^>]*+>|[^<]++|<"""
 _ATTRIBUTE = r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?"""
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", chr(0xA0)), ("&amp;", "&"))
+_NAMED = json.dumps({name[:-1]: text for name, text in html5.items() if name.endswith(";")})
 
 
 def unescape(text: Column) -> Column:
-    """Numeric references, and the names that markup cannot do without, as characters."""
-
-    def numbered(part: Column, i: Column) -> Column:
-        mark = F.regexp_extract(part, "^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
-        code = F.when(mark.rlike("^[xX]"), F.conv(F.substring(mark, 2, 6), 16, 10)).otherwise(mark).try_cast("bigint")
-        sound = (mark != "") & (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        rest = F.substr(part, F.length(mark) + 2, F.length(part))
-        return F.when(i == 0, part).when(sound, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), part))
-
-    out = F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(F.split(text, "&#", -1), numbered), "")).otherwise(text)
-    for name, char in _ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+    """Character references, by number or by name, as the characters they stand for; what is none stays as it is."""
+    names = F.from_json(F.lit(_NAMED), "map<string,string>")
+
+    def part(rest: Column, i: Column) -> Column:
+        mark = F.regexp_extract(rest, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        code = F.when(mark.rlike("^#[xX]"), F.conv(F.substring(mark, 3, 6), 16, 10)).when(mark.startswith("#"), F.substring(mark, 2, 7)).try_cast("bigint")
+        sound = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(sound, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).when(mark != "", F.try_element_at(names, mark))
+        return F.when(i == 0, rest).when(char.isNotNull(), F.concat(char, F.substr(rest, F.length(mark) + 2, F.length(rest)))).otherwise(F.concat(F.lit("&"), rest))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&", -1), part), "")).otherwise(text)
 
 
 def _attributes(piece: Column) -> Column:

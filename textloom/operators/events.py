@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.web import dom_change_summary, html_change_summary
+from textloom.functions.web import dom_change_summary, facts_change_summary, page_facts
 from textloom.operators.ordered import ROWS_PER_SLICE, last_rows, ordered_scan, slices
 
 # Limits.
@@ -26,7 +26,7 @@ ORDER = ("t", "event_id")
 
 def sequence_events(df: DataFrame, order: Sequence[str] = ORDER, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """``seq`` from 1 within every session."""
-    return ordered_scan(df, ["session"], order, slices(df, order[0], rows_per_slice), sums={"seq": F.lit(1).cast("bigint")})
+    return ordered_scan(df, ["session"], order, slices(df, ["session"], order, rows_per_slice), sums={"seq": F.lit(1).cast("bigint")})
 
 
 def ring_buffer(
@@ -140,7 +140,7 @@ def attribute_changes(
     both = actions.select("session", *order, "action", F.lit(0).alias("_change")).unionByName(
         changes.withColumn("action", F.lit(None).cast("string")).withColumn("_change", F.lit(1)), allowMissingColumns=True
     )
-    cut = slices(both, order[0], rows_per_slice)
+    cut = slices(both, ["session"], [*order, "_change"], rows_per_slice)
     scanned = ordered_scan(both, ["session"], [*order, "_change"], cut, lasts={"cause": F.col("action")})
     return scanned.where(F.col("_change") == 1).select(*changes.columns, "cause")
 
@@ -151,14 +151,15 @@ def describe_changes(df: DataFrame) -> DataFrame:
 
 
 def snapshot_diffs(df: DataFrame, order: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Add ``summary``: each snapshot against the one before it in its session."""
-    out = ordered_scan(df, ["session"], order, slices(df, order[0], rows_per_slice), previous={"_before": F.col("html")})
-    return out.withColumn("summary", html_change_summary(F.col("_before"), F.col("html"))).drop("_before")
+    """Add ``summary``: each snapshot against the one before it in its session. What is compared are facts of the pages, taken as they are read."""
+    facts = df.withColumn("_facts", page_facts(F.col("html")))
+    out = ordered_scan(facts, ["session"], order, slices(df, ["session"], order, rows_per_slice), previous={"_before": F.col("_facts")})
+    return out.withColumn("summary", facts_change_summary(F.col("_before"), F.col("_facts"))).drop("_before", "_facts")
 
 
 def stall_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ORDER, limit_ms: int = STALL_MS, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Rows that came more than ``limit_ms`` after the one before, with the gap."""
-    out = ordered_scan(df, keys, order, slices(df, order[0], rows_per_slice), previous={"_before": F.col(order[0])})
+    out = ordered_scan(df, keys, order, slices(df, keys, order, rows_per_slice), previous={"_before": F.col(order[0])})
     return out.withColumn("gap_ms", F.col(order[0]) - F.col("_before")).where(F.col("gap_ms") > limit_ms).drop("_before")
 
 
@@ -169,7 +170,7 @@ def settle_windows(df: DataFrame, quiet_ms: int = QUIET_MS, cap_ms: int = SETTLE
     is marked as timed out.
     """
     step = F.when(F.col("kind") == "request", 1).when(F.col("kind").isin("response", "failed"), -1).otherwise(0)
-    cut = slices(df, order[0], rows_per_slice)
+    cut = slices(df, ["session"], order, rows_per_slice)
     first = ordered_scan(
         df, ["session"], order, cut, sums={"_open": step.cast("bigint")}, previous={"_before": F.col(order[0])}
     )
@@ -189,7 +190,7 @@ def settle_windows(df: DataFrame, quiet_ms: int = QUIET_MS, cap_ms: int = SETTLE
 def detect_loops(df: DataFrame, keys: Sequence[str] = ("session",), order: Sequence[str] = ORDER, limit: int = 3, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Add ``repeat``, how often the same call has come in a row, and ``looped`` from the ``limit``-th on."""
     call = F.concat_ws("|", "verb", "args")
-    cut = slices(df, order[0], rows_per_slice)
+    cut = slices(df, keys, order, rows_per_slice)
     first = ordered_scan(df, keys, order, cut, sums={"_n": F.lit(1).cast("bigint")}, previous={"_before": call})
     change = F.col("_before").isNull() | (F.col("_before") != call)
     marked = first.withColumn("_change", F.when(change, F.col("_n")))

@@ -12,33 +12,45 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS_PER_SLICE = 2_000_000
-HISTOGRAM_BINS = 2048
+#: Sampled rows for each border, and how many reach the driver at most.
+PER_BORDER, MOST_SAMPLED = 40, 400_000
 
 
-def slices(df: DataFrame, position: str, rows_per_slice: int = ROWS_PER_SLICE) -> Column | None:
-    """A slice number that never decreases with ``position`` (a BIGINT column), or None if one slice is enough.
+def slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE) -> Column | None:
+    """A slice number that never decreases with (keys, order), or None if one slice is enough.
 
-    A histogram of the whole table (at most 2048 rows reach the driver) sets the slice borders; a bin that holds more
-    than ``rows_per_slice`` rows is cut into equal parts. No group can have more rows in a slice than the table has there.
+    A sample of at most ``MOST_SAMPLED`` positions sets the borders, in the whole order of keys and rows: a slice holds about
+    ``rows_per_slice`` rows, whichever groups and positions they belong to. Rows with equal or NULL positions are told apart by the later
+    columns of ``order``. The borders are one constant of the plan and a row finds its slice by halving.
     """
-    pos = F.col(position).cast("bigint")
-    low, high, total = df.agg(F.min(pos), F.max(pos), F.count(pos)).first()
-    if total <= rows_per_slice or low == high:
+    total = df.count()
+    if total <= rows_per_slice:
         return None
-    width = (high - low) // HISTOGRAM_BINS + 1
-    bin_no = F.floor((pos - F.lit(low)) / F.lit(width)).cast("int")
-    counts = {r["b"]: r["n"] for r in df.where(pos.isNotNull()).groupBy(bin_no.alias("b")).agg(F.count("*").alias("n")).collect()}
-    parts, offsets, offset = [], [], 0
-    for b in range(HISTOGRAM_BINS):
-        n = min(width, -(-counts.get(b, 0) // rows_per_slice) or 1)
-        parts.append(n)
-        offsets.append(offset)
-        offset += n
-    place = F.get(F.lit(offsets), bin_no)
-    inside = F.floor((pos - F.lit(low) - bin_no * F.lit(width)) * F.get(F.lit(parts), bin_no) / F.lit(width))
-    return F.when(pos.isNull(), F.lit(-1)).otherwise((place + inside).cast("bigint"))
+    parts = min(-(-total // rows_per_slice), MOST_SAMPLED // PER_BORDER)
+    names = [*keys, *order]
+    places = df.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)]).alias("at"))
+    share = min(1.0, parts * PER_BORDER / total)
+    some = places if share == 1.0 else places.sample(share, 7)
+    listed = F.array_sort(F.collect_list("at"))
+    # Every so manieth of the sorted sample, as text that Spark reads back in the same types.
+    ranks = F.sequence(F.lit(1), F.lit(parts - 1).cast("bigint"))
+    picked = F.transform(ranks, lambda i: F.get(F.col("all"), F.floor(i * F.size("all") / F.lit(parts)).cast("int")))
+    sampled = some.limit(2 * MOST_SAMPLED).agg(listed.alias("all"))
+    borders = sampled.select(F.to_json(picked, {"ignoreNullFields": "false"}).alias("j")).first()["j"]
+    if borders is None or parts < 2:
+        return None
+    kind = places.schema["at"].dataType
+    known = F.from_json(F.lit(borders), T.ArrayType(kind))
+    at = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+    halves = [1 << k for k in reversed(range((parts - 1).bit_length()))]
+
+    def halve(low: Column, step: Column) -> Column:
+        return F.when((low + step <= parts - 1) & (F.get(known, low + step - 1) <= at), low + step).otherwise(low)
+
+    return F.aggregate(F.array(*[F.lit(h) for h in halves]), F.lit(0), halve).cast("bigint")
 
 
 def ordered_scan(

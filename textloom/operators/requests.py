@@ -17,7 +17,7 @@ def template_requests(df: DataFrame, rows_per_slice: int = ROWS_PER_SLICE, order
     ``response_id`` is the id a new-chat response returned. Rows of kind ``new`` stay as they are.
     """
     new = F.col("kind") == "new"
-    out = ordered_scan(df, ["session"], order, slices(df, order[0], rows_per_slice), lasts={"chat_id": F.when(new, F.col("response_id"))})
+    out = ordered_scan(df, ["session"], order, slices(df, ["session"], order, rows_per_slice), lasts={"chat_id": F.when(new, F.col("response_id"))})
     fill = lambda c: F.when(new | F.col("chat_id").isNull(), F.col(c)).otherwise(F.replace(F.col(c), F.col("chat_id"), F.lit(CHAT_ID)))
     return out.withColumns({"url": fill("url"), "body": fill("body"), "is_new_chat": new, "is_template": ~new})
 
@@ -27,7 +27,7 @@ def replay_plan(df: DataFrame, new_ids: DataFrame, rows_per_slice: int = ROWS_PE
 
     ``new_ids`` has (session, group, new_id). Nothing is sent.
     """
-    grouped = ordered_scan(df, ["session"], order, slices(df, order[0], rows_per_slice), sums={"group": F.col("is_new_chat").cast("bigint")})
+    grouped = ordered_scan(df, ["session"], order, slices(df, ["session"], order, rows_per_slice), sums={"group": F.col("is_new_chat").cast("bigint")})
     joined = grouped.join(new_ids.select("session", "group", "new_id"), ["session", "group"], "left")
     use = F.col("is_template") & F.col("new_id").isNotNull()
     fill = lambda c: F.when(use, F.replace(F.col(c), F.lit(CHAT_ID), F.col("new_id"))).otherwise(F.col(c))

@@ -79,7 +79,7 @@ def _demoted(candidates: DataFrame, total: DataFrame, removed: str, budget: int,
 
     What was removed before a task is a running sum, so one pass over the ordered candidates decides all of them.
     """
-    cut = slices(candidates, "ended", rows_per_slice)
+    cut = slices(candidates, ["project"], ["ended", "position"], rows_per_slice)
     run = ordered_scan(candidates, ["project"], ["ended", "position"], cut, sums={"_removed": F.col(removed)})
     left = F.col("_total") - (F.col("_removed") - F.col(removed))
     keep = left > HIGH_MARK * budget
@@ -147,7 +147,7 @@ def rebuild_context(tasks: DataFrame, messages: DataFrame) -> DataFrame:
 def task_durations(tasks: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Duration of each finished task and the sibling that followed it."""
     siblings = tasks.withColumn("_order", -F.col("started")).withColumn("_back", -F.col("position"))
-    out = ordered_scan(siblings, ["project", "parent_id"], ["_order", "_back"], slices(siblings, "_order", rows_per_slice), previous={"next_sibling": F.col("id")})
+    out = ordered_scan(siblings, ["project", "parent_id"], ["_order", "_back"], slices(siblings, ["project", "parent_id"], ["_order", "_back"], rows_per_slice), previous={"next_sibling": F.col("id")})
     return out.select("project", "id", "parent_id", (F.col("ended") - F.col("started")).alias("duration_ms"), "next_sibling")
 
 

@@ -73,13 +73,13 @@ def line_diff_rebuilds(spark, folder):
     return rows.groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: F.concat(F.lit(" "), x["line"])), "\n").alias("both"))
 
 
-@query("""SELECT path, array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda l, i: (i - 1 + doc_id) % 5 <> 4), lambda l, i: '|' || l || CASE WHEN (i - 1) % 7 = 3 THEN ' (edited)' ELSE '' END), chr(10)) AS both FROM $corpus
-            WHERE len(list_filter(string_split(text, chr(10)), lambda l, i: (i - 1 + doc_id) % 5 <> 4)) > 0""")
+@query("""SELECT path, array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda l, i: (i - 1 + doc_id) % 5 <> 4), lambda l, i: chr(10) || '|' || l || CASE WHEN (i - 1) % 7 = 3 THEN ' (edited)' ELSE '' END), '') AS both FROM $corpus""")
 def line_diff_rebuilds_new(spark, folder):
-    """The new side of every difference, put together again; an empty one is one empty line and has no row in SQL."""
-    rows = corpus.line_diff(pairs(spark, folder).where("new <> '' OR (doc_id % 5 <> 4)"), ["path"]).where("op <> 'del'")
+    """The new side of every difference, put together again. A text without lines is one empty line to a difference and none to SQL."""
+    rows = corpus.line_diff(pairs(spark, folder), ["path"]).where("op <> 'del'")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
-    return rows.groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: F.concat(F.lit("|"), x["line"])), "\n").alias("both"))
+    whole = F.array_join(F.transform(ordered, lambda x: F.concat(F.lit("\n|"), x["line"])), "")
+    return rows.groupBy("path").agg(F.when(whole == "\n|", "").otherwise(whole).alias("both"))
 
 
 @query("""SELECT CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS old_lines, count(DISTINCT doc_id) AS pairs FROM $documents""")
@@ -99,7 +99,19 @@ def unified_diff(spark, folder):
     return corpus.unified_diff(pairs(spark, folder), ["doc_id"])
 
 
-@query()
+_OUTLINE = """
+    WITH pieces AS (SELECT page_id, unnest(string_split(c, '<')[2:]) AS x, unnest(range(1, len(string_split(c, '<')))) AS pos FROM (
+             SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head\\b[^>]*>.*?</head\\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<![^>]*>', '', 'g') AS c FROM $pages) h),
+         tags AS (SELECT page_id, pos, regexp_extract(x, '^/?[A-Za-z0-9]+') AS tag, substr(trim(regexp_replace(replace(replace(replace(replace(substr(x, strpos(x, '>') + 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')), 1, 100) AS text, substr(x, strpos(x, '>') + 1) = '' AS bare FROM pieces),
+         near AS (SELECT *, lead(tag) OVER (PARTITION BY page_id ORDER BY pos) AS nxt, CASE WHEN tag = 'a' THEN 1 ELSE 0 END AS link FROM tags),
+         shown AS (SELECT *, sum(link) OVER (PARTITION BY page_id ORDER BY pos) AS ref FROM near
+                   WHERE tag = 'a' OR tag IN ('h1', 'h2', 'h3', 'p', 'li', 'span', 'div') AND text <> '' AND (nxt IS NULL OR nxt LIKE '/%' OR tag = 'li' AND nxt = 'li'
+                         OR tag = 'p' AND nxt IN ('p', 'div', 'ul', 'ol', 'h1', 'h2', 'h3', 'h4', 'table', 'article', 'section', 'form')))
+    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INT) AS n, CASE WHEN link = 1 THEN '[e' || CAST(ref AS BIGINT) || '] link "' || substr(text, 1, 80) || '"'
+           WHEN tag LIKE 'h%' THEN upper(tag) || ' "' || text || '"' ELSE '"' || text || '"' END AS line FROM shown"""
+
+
+@query(_OUTLINE)
 def page_outline(spark, folder):
     return corpus.page_outline(spread(load(spark, folder, "SELECT page_id, html FROM $pages")), ["page_id"])
 
@@ -111,6 +123,11 @@ def outline_links(spark, folder):
     return load(spark, folder, "SELECT page_id, html FROM $pages").select("page_id", links.alias("links")).where("links > 0")
 
 
-@query()
+@query(f"SELECT * FROM ({_OUTLINE}) o WHERE contains(line, '***')")
 def find_in_outline(spark, folder):
     return corpus.find_in_outline(spread(load(spark, folder, "SELECT page_id, html FROM $pages")), ["page_id"], "***")
+
+
+@query(f"SELECT * FROM ({_OUTLINE}) o WHERE regexp_matches(line, '(?i)link \".*the')")
+def find_links_in_outline(spark, folder):
+    return corpus.find_in_outline(spread(load(spark, folder, "SELECT page_id, html FROM $pages")), ["page_id"], 'link ".*the')

@@ -173,7 +173,7 @@ def id_set_changes_of_links(spark, folder):
     links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
     own = pages.select("page_id", links.alias("b"))
     # Page ids may have gaps: the page before is the one with the next smaller id.
-    both = ordered_scan(own, [], ["page_id"], slices(own, "page_id", PAGES_PER_SLICE), previous={"a": F.col("b")})
+    both = ordered_scan(own, [], ["page_id"], slices(own, [], ["page_id"], PAGES_PER_SLICE), previous={"a": F.col("b")})
     both = both.withColumn("a", F.coalesce("a", F.array().cast("array<string>")))
     d = id_set_changes(F.col("a"), F.col("b"))
     return both.select("page_id", F.array_join(F.array_sort(d["added"]), ",").alias("added"), F.array_join(F.array_sort(d["removed"]), ",").alias("removed"))
