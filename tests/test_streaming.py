@@ -111,21 +111,43 @@ def test_lifecycle_stream(spark, rows, tmp_path):
 
 
 def test_ring_buffer_stream(spark, rows, tmp_path):
-    out = str(tmp_path / "out")
-    q = jobs.ring_buffer_stream(stream(spark, rows), out, str(tmp_path / "c"), n=7)
+    shaped = stream(spark, rows)
+    q = jobs.ring_buffer_stream(shaped, str(tmp_path / "c"), n=7)
     assert q.awaitTermination(300)
-    got = {(r["session"], r["event_id"]) for r in jobs.ring_buffer_table(spark, out).where("session <> 'z'").collect()}
-    assert got == {(r["session"], r["event_id"]) for r in events.ring_buffer(rows[1], 7).collect()}
-
-
-def test_buffers_are_compacted(spark, rows, tmp_path):
-    """A batch reads the last whole generation and what came since, never more than ``compact_every`` of them."""
-    out = str(tmp_path / "out")
-    assert jobs.ring_buffer_stream(stream(spark, rows), out, str(tmp_path / "c"), n=7, compact_every=2).awaitTermination(300)
-    got = {(r["session"], r["event_id"]) for r in jobs.ring_buffer_table(spark, out).where("session <> 'z'").collect()}
-    assert got == {(r["session"], r["event_id"]) for r in events.ring_buffer(rows[1], 7).collect()}
-    assert jobs._batches(spark, f"{out}/all") == [1, 3]
-    assert {r["batch"] for r in jobs._generations(spark, out, 5).select("batch").collect()} == {3, 4}
+    table = jobs.ring_buffer_table(spark, str(tmp_path / "c"), shaped.schema).where("session <> 'z'")
+    want = events.ring_buffer(rows[1], 7).select(*shaped.columns)
+    assert sorted(map(str, table.collect())) == sorted(map(str, want.collect()))
+
+
+def test_buffers_do_not_grow_with_batches(spark, tmp_path):
+    """Twelve batches over two sessions and one without a name: the state holds the last five rows of each, no more."""
+    root = tmp_path / "in"
+    for n in range(12):
+        df = spark.range(n * 9, n * 9 + 9).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("session"), F.timestamp_millis(F.floor(F.col("id") / 20)).alias("ts"), F.col("id").alias("event_id"))
+        df.coalesce(1).write.parquet(str(root / f"part={n}"))
+    schema = "session STRING, ts TIMESTAMP, event_id BIGINT"
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(root))
+    q = jobs.ring_buffer_stream(read, str(tmp_path / "c"), n=5)
+    assert q.awaitTermination(300)
+    got = jobs.ring_buffer_table(spark, str(tmp_path / "c"), schema).collect()
+    want = {s: [i for i in range(108) if ("a", "b", None)[i % 3] == s][-5:] for s in ("a", "b", None)}
+    assert sorted((str(r["session"]), r["event_id"]) for r in got) == sorted((str(s), i) for s, ids in want.items() for i in ids)
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6  # a list and its length for each session
+
+
+def test_decisions_are_looked_up_by_key(spark, tmp_path):
+    """Ten batches that say the same again write each decision once."""
+    root = tmp_path / "in"
+    for n in range(10):
+        rows = [("s", f"v{k}", "mask" if n == 0 and k == 0 else f"later{n}", n) for k in range(n + 1)] + [(None, None, f"x{n}", n)]
+        spark.createDataFrame(rows, "source STRING, norm_value STRING, decision STRING, n INT").withColumn("ts", F.timestamp_seconds("n")).coalesce(1).write.parquet(str(root / f"part={n}"))
+    read = spark.readStream.schema("source STRING, norm_value STRING, decision STRING, n INT, ts TIMESTAMP").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(root))
+    q = jobs.decision_memory(read, str(tmp_path / "out"), str(tmp_path / "c"))
+    assert q.awaitTermination(300)
+    got = sorted(map(str, (tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("source", "norm_value", "decision").collect())))
+    want = [("s", "v0", "mask"), *[("s", f"v{k}", f"later{k}") for k in range(1, 10)], (None, None, "x0")]
+    assert got == sorted(map(str, want))
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 11
 
 
 def test_mask_stream_and_decisions(spark, tmp_path):

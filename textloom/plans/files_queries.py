@@ -139,6 +139,33 @@ def event_counts_stream(spark, folder):
 @query("""SELECT session, event_id FROM
           (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t DESC, event_id DESC) AS r FROM $ev) x WHERE r <= 20""")
 def ring_buffer_stream(spark, folder):
-    path = job_folder(spark, "buffers")
-    jobs.ring_buffer_stream(stream(spark, folder), path, job_folder(spark, "state"), 20).awaitTermination()
-    return jobs.ring_buffer_table(spark, path).select("session", "event_id")
+    rows, state = stream(spark, folder), job_folder(spark, "state")
+    jobs.ring_buffer_stream(rows, state, 20).awaitTermination()
+    return jobs.ring_buffer_table(spark, state, rows.schema).select("session", "event_id")
+
+
+@query("""SELECT session, gap_start AS silent_since FROM (SELECT session, t AS gap_start, lead(t) OVER (PARTITION BY session ORDER BY t, event_id) AS b FROM $ev) x WHERE b - gap_start > 36000000
+          UNION ALL SELECT session, max(t) FROM $ev GROUP BY session HAVING max(t) + 36000001 <= (SELECT max(t) FROM $ev) - 10000""")
+def stall_alerts_stream(spark, folder):
+    """Silences whose end the stream has seen, and those that last when the watermark, ten seconds behind the last event, has passed the limit."""
+    return collected(spark, jobs.stall_alerts(stream(spark, folder), limit_ms=36_000_000), "stalls").select("session", "silent_since")
+
+
+_CALLS = """SELECT session, event_id, t, event_type AS call FROM $ev"""
+
+
+@query(f"""SELECT session, event_id AS at, n - since + 1 AS repeat FROM (SELECT *, max(CASE WHEN changed THEN n END) OVER (PARTITION BY session ORDER BY n) AS since FROM
+           (SELECT *, row_number() OVER w AS n, coalesce(call <> lag(call) OVER w, true) AS changed FROM ({_CALLS}) c WINDOW w AS (PARTITION BY session ORDER BY t, event_id)) x) y WHERE n - since + 1 >= 3""")
+def loop_alerts_stream(spark, folder):
+    """Calls that came three times in a row or more."""
+    calls = stream(spark, folder).select("session", "event_id", "ts", F.col("type").alias("verb"), F.lit("").alias("args"))
+    return collected(spark, jobs.loop_alerts(calls, forget_ms=1 << 50), "loops").select("session", "at", "repeat")
+
+
+@query("""SELECT props AS norm_value, min_by(event_type, (t, event_type)) AS decision FROM $ev GROUP BY props""")
+def decision_memory_stream(spark, folder):
+    """The first decision about every value."""
+    told = stream(spark, folder).select(F.lit("*").alias("source"), F.col("props").alias("norm_value"), F.col("type").alias("decision"), "ts")
+    out = job_folder(spark, "decisions")
+    jobs.decision_memory(told, out, job_folder(spark, "state")).awaitTermination()
+    return spark.read.schema("source STRING, norm_value STRING, decision STRING").parquet(out).select("norm_value", "decision")

@@ -7,7 +7,6 @@ rows behind the last one are given out only when later events arrive.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,10 +18,10 @@ from textloom.operators.events import BUFFER_ROWS, QUIET_MS, SETTLE_CAP_MS, STAL
 from textloom.operators.shapes import mask_by_policy, split_quarantine
 from textloom.plans.masking import mask_documents
 from textloom.session import cut_lineage
-from textloom.sources.readers import path_exists
+from textloom.streaming.state import FirstDecision, LastRows, Loops, Stalls, cut_ahead, earliest, use_rocksdb, with_state
 
-#: Silence after which a session's calls are forgotten, and batches between two whole generations of buffers.
-FORGET_MS, COMPACT_EVERY = 86_400_000, 10
+#: Silence after which a session's calls are forgotten.
+FORGET_MS = 86_400_000
 
 
 def watch_regex(events: DataFrame, pattern: str, text: str = "text") -> DataFrame:
@@ -113,27 +112,8 @@ def settle_stream(
 
 def stall_alerts(events: DataFrame, order: str = "event_id", limit_ms: int = STALL_MS, late: str = "10 seconds") -> DataFrame:
     """A row as soon as a session has been silent for ``limit_ms``; the state is the time of its last event, and goes with the alert."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            silent = state.get[0]
-            state.remove()
-            yield pd.DataFrame([{"session": key[0], "silent_since": silent}])
-            return
-        last = state.get[0] if state.exists else None
-        gaps = []
-        batch = _ordered(batches, order)
-        for t in batch["_ms"] if batch is not None else ():
-            if last is not None and t - last > limit_ms:
-                gaps.append({"session": key[0], "silent_since": last})
-            last = max(int(t), last or 0)
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(max(last + limit_ms + 1, state.getCurrentWatermarkMs() + 1))
-        if gaps:
-            yield pd.DataFrame(gaps)
-
-    return _by_session(events, late, "session STRING, silent_since BIGINT", "last BIGINT", step)
+    marked = events.withColumn("event_ms", F.unix_millis("ts")).withWatermark("ts", late)
+    return with_state(marked, ["session"], Stalls(order, limit_ms), "session STRING, silent_since BIGINT", time="EventTime")
 
 
 def loop_alerts(events: DataFrame, order: str = "event_id", limit: int = 3, late: str = "10 seconds", forget_ms: int = FORGET_MS) -> DataFrame:
@@ -141,89 +121,32 @@ def loop_alerts(events: DataFrame, order: str = "event_id", limit: int = 3, late
 
     A session without an event for ``forget_ms`` is forgotten: its next call counts as the first.
     """
+    marked = events.withColumn("event_ms", F.unix_millis("ts")).withWatermark("ts", late)
+    return with_state(marked, ["session"], Loops(order, limit, forget_ms), "session STRING, at BIGINT, call STRING, repeat BIGINT", time="EventTime")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, count, seen = state.get if state.exists else ("", 0, 0)
-        out = []
-        batch = _ordered(batches, order)
-        for verb, args, at, t in zip(batch["verb"], batch["args"], batch[order], batch["_ms"]) if batch is not None else ():
-            call = f"{verb}|{args}"
-            if seen and t - seen > forget_ms:
-                last, count = "", 0
-            last, count = call, count + 1 if call == last else 1
-            seen = max(seen, int(t))
-            if count >= limit:
-                out.append({"session": key[0], "at": int(at), "call": call, "repeat": count})
-        state.update((last, count, seen))
-        state.setTimeoutTimestamp(max(seen + forget_ms, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out)
 
-    return _by_session(events, late, "session STRING, at BIGINT, call STRING, repeat BIGINT", "last STRING, count BIGINT, seen BIGINT", step)
+def ring_buffer_stream(events: DataFrame, checkpoint: str, n: int = BUFFER_ROWS, order: str = "event_id") -> StreamingQuery:
+    """Keep the last ``n`` events of every session as state of the stream; read them with ``ring_buffer_table``.
 
+    The list of a session is the only thing that is kept of it, so the state is as large after a thousand batches as its sessions' buffers.
+    Every Arrow batch is cut to ``n`` rows per session before the shuffle. ``order`` is a BIGINT column. A batch that is repeated
+    leaves the same state.
+    """
 
-def ring_buffer_stream(
-    events: DataFrame, out: str, checkpoint: str, n: int = BUFFER_ROWS, order: str = "event_id", compact_every: int = COMPACT_EVERY
-) -> StreamingQuery:
-    """Keep the last ``n`` events of every session as a table of generations; read it with ``ring_buffer_table``.
+    def last(rows):
+        return rows.sort_values(["at", "place"], kind="stable").groupby("session", dropna=False).tail(n)
 
-    Every batch writes the buffers of the sessions it touched. The batch is cut to ``n`` rows per session before it meets
-    the buffers, so no task holds more than that of one session. Every ``compact_every`` batches all buffers are written together,
-    and later batches read only that and what came after it. A batch that is repeated writes the same again.
-    """
-    from textloom.operators.ordered import last_rows
-
-    def keep(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = cut_lineage(last_rows(batch, ["session"], ["ts", order], n))
-        before = _generations(spark, out, number)
-        if before is not None:
-            touched = fresh.select("session").distinct()
-            older = _newest(before).join(touched, "session", "left_semi").select(*fresh.columns)
-            fresh = last_rows(older.unionByName(fresh), ["session"], ["ts", order], n)
-        fresh.write.mode("overwrite").parquet(f"{out}/some/batch={number}")
-        if number % compact_every == compact_every - 1:
-            whole = _newest(_generations(spark, out, number + 1))
-            whole.write.mode("overwrite").parquet(f"{out}/all/batch={number}")
-
-    return events.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _batches(spark, folder: str) -> list[int]:
-    """Numbers of the batches whose output in ``folder`` is complete."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(hadoop):
-        return []
-    names = [s.getPath().getName() for s in files.listStatus(hadoop)]
-    done = [x for x in names if x.startswith("batch=") and path_exists(spark, f"{folder}/{x}/_SUCCESS")]
-    return sorted(int(x.removeprefix("batch=")) for x in done)
-
-
-def _generations(spark, out: str, below: int) -> DataFrame | None:
-    """The last whole generation before ``below`` and the partial ones since."""
-    whole = [k for k in _batches(spark, f"{out}/all") if k < below]
-    since = [k for k in _batches(spark, f"{out}/some") if (whole[-1] if whole else -1) < k < below]
-    paths = [f"{out}/all/batch={k}" for k in whole[-1:]] + [f"{out}/some/batch={k}" for k in since]
-    if not paths:
-        return None
-    read = lambda p: spark.read.parquet(p).withColumn("batch", F.lit(int(p.rpartition("=")[2])))
-    rows = read(paths[0])
-    for p in paths[1:]:
-        rows = rows.unionByName(read(p))
-    return rows
-
-
-def _newest(rows: DataFrame) -> DataFrame:
-    latest = rows.groupBy("session").agg(F.max("batch").alias("batch"))
-    return rows.join(latest, ["session", "batch"], "left_semi").drop("batch")
-
-
-def ring_buffer_table(spark, out: str) -> DataFrame:
-    return _newest(_generations(spark, out, 1 << 62))
+    whole = F.to_json(F.struct(*events.columns), {"ignoreNullFields": "false"})
+    packed = events.select("session", F.unix_micros("ts").alias("at"), F.col(order).cast("bigint").alias("place"), whole.alias("row"))
+    held = with_state(cut_ahead(packed, last), ["session"], LastRows(n), "session STRING, held BIGINT", "Update")
+    return held.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ring_buffer_table(spark, checkpoint: str, schema) -> DataFrame:
+    """The buffers of ``ring_buffer_stream`` after its last whole batch, read from its state. ``schema`` is that of its events."""
+    use_rocksdb(spark)
+    state = spark.read.format("statestore").option("stateVarName", "rows").option("flattenCollectionTypes", "true").load(checkpoint)
+    return state.select(F.from_json("list_element.row", schema).alias("e")).select("e.*")
 
 
 def mask_stream(
@@ -246,14 +169,12 @@ def mask_stream(
 
 
 def decision_memory(decisions: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Remember the first decision about every (source, norm_value); later ones change nothing."""
+    """Remember the first decision about every (source, norm_value); later ones change nothing.
 
-    def remember(batch: DataFrame, number: int) -> None:
-        order = F.struct("ts", "decision")
-        spark = batch.sparkSession
-        first = batch.groupBy("source", "norm_value").agg(F.min_by("decision", order).alias("decision"))
-        known = spark.read.parquet(out).where(F.col("batch") < number) if path_exists(spark, out) else None
-        fresh = first if known is None else first.join(known, ["source", "norm_value"], "left_anti")
-        fresh.write.mode("overwrite").parquet(str(PurePosixPath(out) / f"batch={number}"))
-
-    return decisions.writeStream.foreachBatch(remember).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    What is known is state of the stream and is looked up by key: a batch reads nothing of what earlier ones wrote. New decisions are
+    appended to ``out`` (source, norm_value, decision), each once. Repeats within an Arrow batch go before the shuffle.
+    """
+    told = cut_ahead(decisions.select("source", "norm_value", "decision", "ts"), earliest)
+    first = with_state(told, ["source", "norm_value"], FirstDecision(), "source STRING, norm_value STRING, decision STRING")
+    writer = first.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
