@@ -218,8 +218,34 @@ def test_verdicts(spark):
 
 
 def test_registered_functions(spark):
-    assert "regex_spans" in register_all(spark)
+    assert {"regex_spans", "text_spans", "shape_rows", "norm_key"} <= set(register_all(spark))
     rows = spark.sql("""SELECT t.* FROM VALUES ('a <list path="x"/>') v(s), LATERAL extract_tool_calls(s) t""").collect()
     assert [(r["verb"], r["args"]) for r in rows] == [("list", {"path": "x"})]
     assert spark.sql("SELECT fold_key('Straße')").first()[0] == "strasse"
     assert [tuple(r) for r in spark.sql("SELECT * FROM regex_spans('a1b22', '[0-9]+')").collect()] == [(1, 2, "1"), (3, 5, "22")]
+
+
+def test_sql_functions_give_what_the_builders_give(spark):
+    """Texts with marks, nulls, signs of other widths; JVM patterns; calls beside rows of a table."""
+    from textloom.functions import identifiers, text
+
+    register_all(spark)
+    rows = [(1, "a1 b22\n" * 4 + "zip 12345, a@b.org, 5 Main"), (2, None), (3, ""), (4, "x" * 500 + " 77 " + "y" * 500), (5, f"{chr(0xFFFF)}9{chr(0xFFFE)} 123-45-6789"), (6, '<a class="c" href="https://h:8443/x">⟦wall:0123456789abcdef⟧ 12 Ä')]
+    df = spark.createDataFrame(rows, "id INT, t STRING")
+    df.createOrReplaceTempView("sql_texts")
+    out = lambda d: sorted(map(str, d.collect()))
+    sql = lambda q: out(spark.sql(f"SELECT id, {q} AS x FROM sql_texts"))
+    built = lambda c: out(df.select("id", c.alias("x")))
+    t = F.col("t")
+    assert sql("clip(t, 9)") == built(text.clip(t, 9)) and sql("clip(t)") == built(text.clip(t))
+    assert sql("estimate_tokens(t)") == built(text.estimate_tokens(t))
+    assert sql("slice_lines(t, 2, 2)") == built(corpus.slice_lines(t, 2, 2))
+    assert sql("decision_value(t)") == built(identifiers.decision_value(t))
+    assert sql("scan_surface(t)") == built(identifiers.scan_surface(t))
+    assert sql("text_spans(t, '[0-9]+(?=[^0-9]|$)')") == built(F.coalesce(text.regex_spans(F.coalesce(t, F.lit("")), "[0-9]+(?=[^0-9]|$)")))
+    assert sql("shape_matches(t)") == built(identifiers.shape_matches(F.coalesce(t, F.lit(""))))
+    spans = df.select("id", "t", F.explode(text.regex_spans(t, "[0-9]+")).alias("s"))
+    want = spans.select("id", "s.start", "s.end", "s.value", text.match_context(t, F.col("s.start"), F.col("s.end"), 1).alias("x"))
+    got = spark.sql("SELECT d.id, s.*, match_context(d.t, s.start, s.end, 1) AS x FROM sql_texts d, LATERAL regex_spans(d.t, '[0-9]+') s")
+    assert out(got) == out(want) and len(out(want)) > 10
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()

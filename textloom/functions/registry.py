@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from textloom.functions import folding
+from textloom.functions import folding, sql
 from textloom.operators.corpus import line_changes, unified_text
 from textloom.operators.tasks import parse_calls, tool_calls_in
 
@@ -27,20 +25,9 @@ class ExtractToolCalls:
             yield i, c["verb"], c["kind"], c["tool"], c["args"]
 
 
-class RegexSpans:
-    def eval(self, text: str, pattern: str):
-        for m in re.finditer(pattern, text or ""):
-            yield m.start(), m.end(), m.group()
-
-
 def register_all(spark: SparkSession) -> list[str]:
-    """Register all scalar and table functions; returns their names."""
-    tables = {
-        "extract_tool_calls": udtf(ExtractToolCalls, returnType="call INT, verb STRING, kind STRING, tool STRING, args MAP<STRING, STRING>"),
-        "regex_spans": udtf(RegexSpans, returnType="start INT, end INT, value STRING"),
-    }
+    """Register all functions, native ones and those in Python; returns their names."""
     for name, f in SCALARS.items():
         spark.udf.register(name, f)
-    for name, f in tables.items():
-        spark.udtf.register(name, f)
-    return [*SCALARS, *tables]
+    spark.udtf.register("extract_tool_calls", udtf(ExtractToolCalls, returnType="call INT, verb STRING, kind STRING, tool STRING, args MAP<STRING, STRING>"))
+    return [*SCALARS, "extract_tool_calls", *sql.create_all(spark)]

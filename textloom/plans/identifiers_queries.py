@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom.functions import registry
 from textloom.functions import identifiers as ids
 from textloom.functions.text import js_trim
 from textloom.functions.web import source_key
@@ -282,6 +283,15 @@ def number_segments(spark, folder):
     return docs.select("doc_id", F.size(ids.number_segments(F.col("text"))).alias("runs"))
 
 
+@query("""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[0-9]+([ .-]{1,6}[0-9]+)*'), lambda x: length(x) || ':' || regexp_replace(x, '[^0-9]', '', 'g')), ',') AS runs
+          FROM (SELECT doc_id, regexp_replace(text, '[^0-9A-Za-z .-]', 'x', 'g') AS text FROM $documents) d""")
+def number_segment_digits(spark, folder):
+    """The digits of every run, and how long it is with its separators."""
+    docs = documents(spark, folder).withColumn("text", F.regexp_replace("text", "[^0-9A-Za-z .-]", "x"))
+    one = lambda s: F.concat_ws(":", s["end"] - s["start"], s["digits"])
+    return docs.select("doc_id", F.array_join(F.transform(ids.number_segments(F.col("text")), one), ",").alias("runs"))
+
+
 @query(f"SELECT norm_key, {hmac_sql('norm_key')} AS id FROM (SELECT DISTINCT norm_key FROM ({_INDEX}) i) k")
 def pii_id(spark, folder):
     keys = values.build_value_index(store(spark, folder)).select("norm_key").distinct()
@@ -391,3 +401,25 @@ def token_validator(spark, folder):
 @query(f"""SELECT 'browser:orders@' || lower(source) AS key, count(*) AS n FROM ({_FORMS}) f GROUP BY 1""")
 def form_source_keys(spark, folder):
     return forms(spark, folder).select(source_key(F.lit("orders"), F.lower("source")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, shape, v AS value FROM ({found_sql('$documents')}) m")
+def sql_shape_rows(spark, folder):
+    """Shapes through a native table function beside each row."""
+    registry.register_all(spark)
+    return spark.sql(f"SELECT d.doc_id, s.shape, s.value FROM parquet.`{folder}/documents.parquet` d, LATERAL shape_rows(d.text) s")
+
+
+@query("""SELECT page_id, len(regexp_extract_all(html, 'class="[^"]*"')) AS blanked, length(html) AS size FROM $pages""")
+def sql_scan_surface(spark, folder):
+    registry.register_all(spark)
+    pages = f"(SELECT page_id, html, scan_surface(html) AS s FROM parquet.`{folder}/pages.parquet`)"
+    found = lambda c: f"size(regexp_extract_all({c}, 'class=\"[^\"]*\"', 0))"
+    return spark.sql(f"SELECT page_id, {found('html')} - {found('s')} AS blanked, length(s) AS size FROM {pages}")
+
+
+@query(f"SELECT family, member, path, norm_key FROM ({_KEYED}) k")
+def sql_norm_key(spark, folder):
+    registry.register_all(spark)
+    store(spark, folder).createOrReplaceTempView("textloom_store")
+    return spark.sql("SELECT family, member, path, norm_key(trim(value)) AS norm_key FROM textloom_store")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom.functions import registry
 from textloom.functions import text as tx
 from textloom.functions.folding import normalize_text
 from textloom.operators.corpus import id_set_changes
@@ -64,6 +65,54 @@ def match_context_all(spark, folder):
     return rows.select("doc_id", (F.col("i") + 1).alias("n"), "c.line", F.when(cut & inside, whole).otherwise(F.col("c.hit")).alias("hit"))
 
 
+_SPANS = """SELECT doc_id, text, m[n] AS value, n, CAST(coalesce(list_sum(list_transform(s[1:n], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:n - 1], lambda x: length(x))), 0) AS INT) AS p FROM
+          (SELECT doc_id, text, s, m, unnest(range(1, len(m) + 1)) AS n FROM
+          (SELECT doc_id, text, string_split_regex(text, '[0-9]+') AS s, regexp_extract_all(text, '[0-9]+') AS m FROM $documents) x) y"""
+_SHORT = "list_transform({}, lambda x: left(x, 320) || CASE WHEN length(x) > 320 THEN ' …' ELSE '' END)"
+_CONTEXT = f"""
+    SELECT doc_id, p AS start, line, array_to_string({_SHORT.format('ls[greatest(1, line - 2):line - 1]')}, chr(10)) AS before, array_to_string({_SHORT.format('ls[line + 1:line + 2]')}, chr(10)) AS after,
+           CASE WHEN p - 160 > b THEN '… ' ELSE '' END || substr(text, greatest(b, p - 160) + 1, least(e, q + 160) - greatest(b, p - 160)) || CASE WHEN q + 160 < e THEN ' …' ELSE '' END AS hit
+    FROM (SELECT *, b + length(ls[line]) AS e FROM (SELECT *, CAST(coalesce(list_sum(list_transform(ls[1:line - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS b FROM
+         (SELECT *, len(string_split(left(text, p), chr(10))) AS line, string_split(text, chr(10)) AS ls, p + length(value) AS q FROM ({_SPANS}) x) y) z) w"""
+
+
+def in_session(spark, folder, name):
+    """The functions of the library in this session, and a table to call them on."""
+    registry.register_all(spark)
+    return f"parquet.`{folder}/{name}.parquet`"
+
+
+@query(_CONTEXT)
+def match_context_lines(spark, folder):
+    """The lines around every match, the hit line as it is cut, and its place."""
+    rows = load(spark, folder, "SELECT doc_id, text FROM $documents")
+    rows = rows.select("doc_id", "text", F.explode(tx.regex_spans(F.col("text"), "[0-9]+")).alias("s"))
+    rows = rows.withColumn("c", tx.match_context(F.col("text"), F.col("s.start"), F.col("s.end")))
+    return rows.select("doc_id", "s.start", "c.line", F.array_join("c.before", "\n").alias("before"), F.array_join("c.after", "\n").alias("after"), "c.hit")
+
+
+@query(_CONTEXT)
+def sql_match_context(spark, folder):
+    """The same through SQL text: a table function beside each row, and a native function."""
+    docs = in_session(spark, folder, "documents")
+    return spark.sql(f"""SELECT doc_id, start, c.line, array_join(c.before, '\n') AS before, array_join(c.after, '\n') AS after, c.hit FROM
+        (SELECT d.doc_id, s.start, match_context(d.text, s.start, s.end) AS c FROM {docs} d, LATERAL regex_spans(d.text, '[0-9]+') s) x""")
+
+
+@query(f"SELECT doc_id, p AS start, p + length(value) AS stop, value FROM ({_SPANS}) x")
+def sql_regex_spans(spark, folder):
+    docs = in_session(spark, folder, "documents")
+    return spark.sql(f"SELECT d.doc_id, s.start, s.end AS stop, s.value FROM {docs} d, LATERAL regex_spans(d.text, '[0-9]+') s")
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || chr(10) || '…[+' || (length(text) - 2000) || ' chars]' ELSE text END AS text,
+          CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS some,
+          regexp_replace(lower(text), '[\\s.‐-―-]', '', 'g') AS norm FROM $documents""")
+def sql_text_functions(spark, folder):
+    docs = in_session(spark, folder, "documents")
+    return spark.sql(f"SELECT doc_id, clip(text, 2000) AS text, estimate_tokens(text) AS tokens, slice_lines(text, 2, 3) AS some, decision_value(text) AS norm FROM {docs}")
+
+
 @query("""SELECT page_id, coalesce(regexp_extract(t, 'href="([^"]*)"', 1), '') AS href, coalesce(regexp_extract(t, 'lang="([^"]*)"', 1), '') AS lang
           FROM (SELECT page_id, regexp_extract(html, '<html[^>]*>') || regexp_extract(html, '<a[^>]*>') AS t FROM $pages) x""")
 def extract_attributes(spark, folder):
