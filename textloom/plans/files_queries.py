@@ -46,6 +46,19 @@ def conversation_files(spark, folder):
     return readers.conversation_records(files)
 
 
+@query("""SELECT CAST(conv_id // 100 AS STRING) AS conv_id, row_number() OVER (PARTITION BY conv_id // 100 ORDER BY conv_id, turn) - 1 AS turn, role, text FROM
+          (SELECT conv_id, turn, role, regexp_replace(text, '[\\x00-\\x20]+$', '') AS text FROM $conversations) x WHERE text <> ''""")
+def conversation_log_splits(spark, folder):
+    """Logs of a hundred conversations each, read in splits."""
+    turns = load(spark, folder, "SELECT conv_id, turn, role, text FROM $conversations")
+    lines = writers.conversation_lines(turns.withColumn("file", F.expr("conv_id DIV 100")), "file")
+    listed = F.array_sort(F.collect_list(F.struct("conv_id", "turn", "value")))
+    path = job_folder(spark, "logs")
+    files = lines.groupBy("file").agg(F.array_join(F.transform(listed, lambda x: x["value"]), readers.RECORD_END).alias("value"))
+    files.write.partitionBy("file").option("lineSep", readers.RECORD_END).text(path)
+    return readers.read_conversation_log(spark, path, F.col("file"))
+
+
 @query("""SELECT '/c/' || conv_id AS url, conv_id || '-' || turn AS node, lag(conv_id || '-' || turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent_id,
           role, text AS content, 1700000000000 + turn * 1000 AS t FROM $conversations""")
 def captured_request_files(spark, folder):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import java_trim, js_trim
+from textloom.operators.ordered import ROWS_PER_SLICE, ordered_scan, slices
 
 # Separators of conversation files, corpus rules.
 RECORD_END = "\x1f"
@@ -118,9 +119,31 @@ def conversation_records(texts: DataFrame) -> DataFrame:
     )
 
 
-def read_conversation_log(spark: SparkSession, path: str) -> DataFrame:
-    """Conversation files, one conversation each."""
-    return conversation_records(spark.read.text(path, wholetext=True).select(file_name().alias("conv_id"), "value"))
+def file_records(spark: SparkSession, path: str, separator: str, key: Column | None = None) -> DataFrame:
+    """(file, block, place, value): the records of files, read in splits. (block, place) is their order within a file.
+
+    Files are cut by bytes and a split reads on to the end of its last record, so one large file is read by all cores. ``key`` names
+    the file, by its name if it is not given.
+    """
+    rows = spark.read.option("lineSep", separator).text(path)
+    return rows.select((file_name() if key is None else key).cast("string").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+
+
+def read_conversation_log(spark: SparkSession, path: str, key: Column | None = None, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """(conv_id, turn, role, text) of conversation files, one conversation each, with the rules of ``conversation_records``.
+
+    Records are read in splits and numbered in slices: a conversation of any size is many tasks.
+    """
+    bare = F.regexp_replace(java_trim(F.col("value")), FIELD_END + "+$", "")
+    fields = file_records(spark, path, RECORD_END, key).select("file", "block", "place", F.split(bare, FIELD_END, -1).alias("r"))
+    kept = fields.where(F.size("r") == 2)
+    order = ["block", "place"]
+    numbered = ordered_scan(kept, ["file"], order, slices(kept, ["file"], order, rows_per_slice), sums={"n": F.lit(1).cast("bigint")})
+    turns = numbered.select(F.col("file").alias("conv_id"), (F.col("n") - 1).alias("turn"), F.col("r")[0].alias("role"), F.col("r")[1].alias("text"))
+    # Only names are read here, no contents.
+    names = spark.read.format("binaryFile").load(path).select((file_name() if key is None else key).cast("string").alias("conv_id")).distinct()
+    bare_files = names.join(turns.select("conv_id").distinct(), "conv_id", "left_anti")
+    return turns.unionByName(bare_files.select("conv_id", F.lit(0).cast("bigint").alias("turn"), F.lit("assistant").alias("role"), F.lit(GREETING).alias("text")))
 
 
 def debug_records(lines: DataFrame) -> DataFrame:
