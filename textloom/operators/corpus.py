@@ -268,6 +268,7 @@ CLOSED_BY = {"p": {"p", "div", "ul", "ol", "h1", "h2", "h3", "h4", "table", "art
 _DROPPED = r"(?is)<!--.*?-->|<(script|style|noscript|template|head)\b[^>]*+>.*?</\1\s*+>|</?(?:meta|link)\b[^>]*+>|<[!?][^>]*+>"
 _PIECE = r"""</?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[A-Za-z][^>]*+>|[^<]++|<"""
 _ATTRIBUTE = r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?"""
+_OF_INTEREST = "(?i)role|onclick|tabindex|hidden|style|aria-|placeholder|name|value|type|disabled|checked"
 _NAMED = json.dumps({name[:-1]: text for name, text in html5.items() if name.endswith(";")})
 
 
@@ -299,7 +300,7 @@ def _squeezed(text: Column, n: int) -> Column:
 
 
 def markup_elements(pages: DataFrame, keys: Sequence[str], html: str = "html") -> DataFrame:
-    """Pieces of markup in their order, opening tags with their attributes and the place of their closing tag.
+    """Pieces of markup in their order, opening tags with their attributes, if one of them is used here, and the place of their closing tag.
 
     A closing tag belongs to the last open one of its name: both have the same level in the running count of that name. An option holds
     text alone and ends with it. All windows share one exchange by page.
@@ -311,7 +312,9 @@ def markup_elements(pages: DataFrame, keys: Sequence[str], html: str = "html") -
     rows = rows.withColumn("tag", tag).withColumn("closes", (F.col("tag") != "") & F.startswith("piece", F.lit("</")))
     rows = rows.withColumn("opens", (F.col("tag") != "") & ~F.col("closes"))
     rows = rows.withColumn("holds", F.col("opens") & ~F.col("tag").isin(*VOID, "option") & ~F.endswith("piece", F.lit("/>")))
-    rows = rows.withColumn("attrs", F.when(F.col("opens"), _attributes(F.col("piece")))).withColumn("text", F.when(F.col("tag") == "", unescape(F.col("piece"))).otherwise(""))
+    # A plain search spares most tags the taking apart.
+    attrs = F.when(F.col("opens") & F.col("piece").rlike(_OF_INTEREST), _attributes(F.col("piece"))).when(F.col("opens"), F.create_map().cast("map<string,string>"))
+    rows = rows.withColumn("attrs", attrs).withColumn("text", F.when(F.col("tag") == "", unescape(F.col("piece"))).otherwise(""))
     by_tag = Window.partitionBy("_page", "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = F.when(F.col("holds"), 1).when(F.col("closes"), -1).otherwise(0)
     rows = rows.withColumn("level", F.sum(step).over(by_tag) + F.col("closes").cast("int"))
