@@ -7,9 +7,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +27,8 @@ APOSTROPHES = _chars(0x27, 0x2018, 0x2019, 0x02BC, 0x2032)
 DASHES = _chars(0x2D, range(0x2010, 0x2016), 0x2212)
 SEPARATORS = WHITE + INVISIBLE + DASHES + ".,;:/\\_|()[]{}<>*~=+#&'" + '"' + _chars(0xB7, range(0xFF0D, 0xFF10), 0xFF1A)
 GAP = 6
+#: Characters of text whose results are held at a time, whatever the size of the batches that come in.
+PART_CHARS = 1 << 20
 
 FOLDED = T.StructType(
     [
@@ -53,6 +58,8 @@ def fold(text: str) -> tuple[str, Sequence[int], Sequence[int]]:
     """The folded text, and for each of its characters the start and end of the original characters it came from."""
     if text.isascii() and not _UNEVEN.search(text):
         return text.lower(), range(len(text)), range(1, len(text) + 1)
+    if text.isascii():
+        return _fold_ascii(text)
     out: list[str] = []
     starts: list[int] = []
     ends: list[int] = []
@@ -86,14 +93,46 @@ def fold(text: str) -> tuple[str, Sequence[int], Sequence[int]]:
     return "".join(out), starts, ends
 
 
+def _fold_ascii(text: str) -> tuple[str, list[int], list[int]]:
+    """Plain ASCII has no marks and nothing invisible: white space is squeezed, and a character ends where the next one kept starts."""
+    codes = np.frombuffer(text.encode("ascii"), np.uint8)
+    white = (codes == 32) | (codes >= 9) & (codes <= 13)
+    kept = ~white
+    kept[0] = True
+    kept[1:] |= ~white[:-1]
+    starts = np.flatnonzero(kept)
+    norm = np.where(white, np.uint8(32), codes)[kept].tobytes().decode("ascii").lower()
+    return norm, starts.tolist(), [*starts[1:].tolist(), len(text)]
+
+
 def text_key(value: str) -> str:
     return unicodedata.normalize("NFC", value).lower()
 
 
-@F.pandas_udf(FOLDED)
-def normalize_text(texts: pd.Series) -> pd.DataFrame:
+def text_parts(columns: Sequence[pa.Array], limit: int = PART_CHARS) -> Iterator[list[list[str | None]]]:
+    """The rows of a batch of text columns in parts of about ``limit`` bytes; a longer row is a part of its own."""
+    size = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    done, rows, ends = 0, len(size), np.cumsum(size)
+    while done < rows:
+        before = ends[done - 1] if done else 0
+        stop = max(done + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield [c.slice(done, stop - done).to_pylist() for c in columns]
+        done = stop
+
+
+@F.arrow_udf(FOLDED)
+def normalize_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Folded text with the original span of each folded character."""
-    return pd.DataFrame([fold(t or "") for t in texts], columns=["norm", "starts", "ends"])
+    kind = pa.list_(pa.int32())
+    for batch in batches:
+        for (texts,) in text_parts([batch]):
+            norms, places = [], ([], [])
+            for t in texts:
+                norm, *spans = fold(t or "")
+                norms.append(norm)
+                for held, span in zip(places, spans):
+                    held.append(np.fromiter(span, np.int32, len(span)))
+            yield pa.StructArray.from_arrays([pa.array(norms, pa.string()), *[pa.array(p, kind) for p in places]], ["norm", "starts", "ends"])
 
 
 @F.pandas_udf(T.StringType())

@@ -6,15 +6,16 @@ import bisect
 import json
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from html.entities import html5
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.functions.folding import text_parts
 from textloom.functions.text import glob_predicate
 
 # Limits.
@@ -184,9 +185,19 @@ def line_ops(old: str | None, new: str | None) -> list[tuple[str, str]]:
     return out + [("add", s) for s in b[done:]] + [("same", s) for s in end]
 
 
-@F.pandas_udf(OPS)
-def line_changes(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([[{"op": op, "line": line} for op, line in line_ops(a, b)] for a, b in zip(old, new)])
+@F.arrow_udf(OPS)
+def line_changes(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """``line_ops`` of each pair. Results leave in parts of bounded size, so memory does not follow the size of a batch."""
+    for batch in batches:
+        for olds, news in text_parts(batch):
+            ops, lines, ends = [], [], [0]
+            for old, new in zip(olds, news):
+                for op, line in line_ops(old, new):
+                    ops.append(op)
+                    lines.append(line)
+                ends.append(len(ops))
+            fields = pa.StructArray.from_arrays([pa.array(ops, pa.string()), pa.array(lines, pa.string())], ["op", "line"])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields)
 
 
 def unified(old: str | None, new: str | None, context: int = 2, label: str = "file") -> str:
@@ -212,9 +223,11 @@ def unified(old: str | None, new: str | None, context: int = 2, label: str = "fi
     return "\n".join(lines)
 
 
-@F.pandas_udf(T.StringType())
-def unified_text(old: pd.Series, new: pd.Series, label: pd.Series) -> pd.Series:
-    return pd.Series([unified(a, b, label=c or "file") for a, b, c in zip(old, new, label)], dtype=object)
+@F.arrow_udf(T.StringType())
+def unified_text(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for part in text_parts(batch):
+            yield pa.array([unified(a, b, label=c or "file") for a, b, c in zip(*part)], pa.string())
 
 
 def line_diff(pairs: DataFrame, keys: Sequence[str], old: str = "old", new: str = "new") -> DataFrame:
