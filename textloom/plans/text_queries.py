@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import registry
 from textloom.functions import text as tx
-from textloom.functions.folding import normalize_text
+from textloom.functions.folding import fold_key, normalize_text
 from textloom.operators.corpus import id_set_changes
 from textloom.operators.ordered import ordered_scan, slices
 from textloom.plans.catalog import query
@@ -231,7 +231,7 @@ def id_set_changes_of_links(spark, folder):
 @query("""SELECT doc_id, regexp_replace(lower(text), '[ \\t\\n\\r\\v\\f\\xA0]+', ' ', 'g') AS norm FROM $documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
 def normalize_ascii_text(spark, folder):
     rows = load(spark, folder, "SELECT doc_id, text FROM $documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return rows.select("doc_id", normalize_text("text")["norm"].alias("norm"))
+    return rows.select("doc_id", fold_key("text").alias("norm"))
 
 
 @query()
