@@ -34,3 +34,23 @@ def test_line_differences_leave_in_parts():
     assert len(out) > 3 and sum(len(o) for o in out) == 13
     rows = [r for o in out for r in o.to_pylist()]
     assert [[(c["op"], c["line"]) for c in r] for r in rows[-2:]] == [corpus.line_ops(old[0], new[0]), corpus.line_ops(None, None)]
+
+
+def test_a_frequent_value_is_dealt_to_several_tasks(spark):
+    """Matches of one value, decided for all: several tasks join them."""
+    from pyspark.sql import functions as F
+
+    from textloom.operators import shapes
+
+    matches = spark.range(4000).select(F.lit("s").alias("source"), F.col("id").alias("doc_id"), F.lit("54321").alias("norm_value"))
+    decided = spark.createDataFrame([("*", "54321", "allow"), ("s", "54321", "mask")], "source STRING, norm_value STRING, decision STRING")
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    kept = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("false", "-1")):
+            spark.conf.set(n, v)
+        rows = shapes.apply_decisions(matches, decided).select("decision", F.spark_partition_id().alias("p")).groupBy("decision", "p").count().collect()
+    finally:
+        for n, v in zip(names, kept):
+            spark.conf.set(n, v)
+    assert {r["decision"] for r in rows} == {"allow"} and len(rows) > 2 and sum(r["count"] for r in rows) == 4000
