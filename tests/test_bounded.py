@@ -54,3 +54,14 @@ def test_a_frequent_value_is_dealt_to_several_tasks(spark):
         for n, v in zip(names, kept):
             spark.conf.set(n, v)
     assert {r["decision"] for r in rows} == {"allow"} and len(rows) > 2 and sum(r["count"] for r in rows) == 4000
+
+
+def test_lookups_of_tokens_stay_off_the_driver(spark):
+    from textloom.operators import shapes
+
+    texts = spark.createDataFrame([(1, "a ⟦wall:0123456789abcdef⟧ b"), (2, None), (None, "plain")], "doc_id BIGINT, text STRING")
+    vault = spark.createDataFrame([("x", "⟦wall:0123456789abcdef⟧")], "value STRING, token STRING")
+    out = shapes.vault_resolve(texts, vault, "doc_id")
+    assert sorted(r["text"] or "" for r in out.collect()) == ["", "a x b", "plain"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
