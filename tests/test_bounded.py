@@ -65,3 +65,12 @@ def test_lookups_of_tokens_stay_off_the_driver(spark):
     assert sorted(r["text"] or "" for r in out.collect()) == ["", "a x b", "plain"]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_a_store_stays_off_the_driver(spark):
+    from textloom.operators import values
+
+    rows = [("f1", "a", "name", "Alice"), ("f1", "b", "name", "Alice"), ("f2", "c", "name", "Bobby"), ("f3", "d", "name", "Bobby")]
+    out = values.dictionary(spark.createDataFrame(rows, "family STRING, member STRING, path STRING, value STRING"), "k")
+    assert {(r["match_key"], r["tier"]) for r in out.collect()} == {("alice", 2), ("bobby", 3)}
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
