@@ -184,6 +184,29 @@ def test_network_artifacts(spark, tmp_path):
     assert spark.range(1).select(readers.safe_id(F.lit("a:1/b.c-d"))).first()[0] == "a_1_b.c-d"
 
 
+def test_corpus_written(spark, tmp_path):
+    """Odd names and texts come back, and files are dealt to folders by their number, not to a folder each."""
+    rows = [(f"source=a%2Fb/doc_id={i}", "" if i == 7 else f"text {i}\nüß ") for i in range(50)] + [("plain", None)]
+    files = spark.createDataFrame(rows, "name string, text string")
+    named = writers.corpus_names(files, F.col("name"), 10)
+    root = str(tmp_path / "c")
+    for _ in range(2):  # a task that is repeated replaces its files
+        writers.write_corpus(named, root)
+    got = {r["path"].split("/", 1)[1]: r["text"] for r in readers.read_corpus(spark, root).collect()}
+    assert got == {name: (text or "") + "\n" for name, text in rows}
+    assert len(list((tmp_path / "c").iterdir())) <= 6
+    assert not [p for p in (tmp_path / "c").rglob("*") if p.name.startswith(".")]
+
+
+def test_corpus_files_odd_names(spark, tmp_path):
+    from textloom.plans import files_queries
+
+    rows = [(1, "a/b", "x"), (2, "*", "y"), (3, "100%", "z\nz"), (4, "", ""), (5, None, "v"), (6, "a b+c", "w")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in files_queries.corpus_files(spark, str(tmp_path)).select("doc_id", "source", "text").collect())
+    assert got == [(i, s, t + "\n") for i, s, t in rows]
+
+
 def test_har(spark, tmp_path):
     df = spark.createDataFrame(
         [("s", "r1", "GET", "u", 1000, 1250, 200, 10, "text/html", {"a": "b"}), ("s", "r2", "GET", "v", 2000, None, None, None, None, None)],
