@@ -3,6 +3,7 @@
 import random
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from textloom.functions import folding
 from textloom.operators import corpus
@@ -74,3 +75,24 @@ def test_a_store_stays_off_the_driver(spark):
     out = values.dictionary(spark.createDataFrame(rows, "family STRING, member STRING, path STRING, value STRING"), "k")
     assert {(r["match_key"], r["tier"]) for r in out.collect()} == {("alice", 2), ("bobby", 3)}
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_of_large_store_searched_once(spark):
+    """Masking reads the spans it found from what it wrote; it does not search the texts again for each field of the spans."""
+    from textloom.plans import masking
+
+    store = spark.createDataFrame([("f1", "a", "name", "Anna Smith"), ("f1", "a", "city", "Springfield"), ("f2", "b", "city", "Springfield")], "family string, member string, path string, value string")
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("Anna Smith of Springfield "), "id").alias("text"))
+    out = masking.mask_known(docs, store, "k", small_store=0)
+    assert "windows(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = [r["text"] for r in out.collect()]
+    assert len(got) == 40 and all(t.startswith("@@@(f1.a.name) of ###{city across 2 families incl. f1 #") for t in got)
+
+
+def test_store_is_read_by_all_cores(spark, tmp_path):
+    from textloom.plans import identifiers_queries
+
+    spark.range(60_000).selectExpr("id c_custkey", "'c' || id c_name", "cast(id % 25 as int) c_nationkey", "'s' c_mktsegment").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(25).selectExpr("id n_nationkey").coalesce(1).write.parquet(str(tmp_path / "nation.parquet"))
+    rows = identifiers_queries.store(spark, str(tmp_path))
+    assert rows.count() == 7 * 60_000 + 25 and rows.rdd.getNumPartitions() >= 9
