@@ -96,3 +96,12 @@ def test_store_is_read_by_all_cores(spark, tmp_path):
     spark.range(25).selectExpr("id n_nationkey").coalesce(1).write.parquet(str(tmp_path / "nation.parquet"))
     rows = identifiers_queries.store(spark, str(tmp_path))
     assert rows.count() == 7 * 60_000 + 25 and rows.rdd.getNumPartitions() >= 9
+
+
+def test_outline_tasks_do_not_grow_with_the_pages(spark, monkeypatch):
+    """Each task takes apart a bounded amount of markup; adaptive execution does not join tasks for their few bytes in the shuffle."""
+    monkeypatch.setattr(corpus, "MARKUP_BYTES", 512)
+    pages = spark.range(64).select("id", F.concat(F.lit("<p>"), F.repeat(F.lit("x"), 248), F.lit("</p>")).alias("html"))
+    out = corpus.page_outline(pages, ["id"])
+    assert out.rdd.getNumPartitions() >= 31 and out.count() == 64
+    assert corpus.page_outline(pages.where("false"), ["id"]).count() == 0

@@ -22,6 +22,8 @@ from textloom.functions.text import glob_predicate
 SIZE_LIMIT = 2 * 1024 * 1024
 OUTLINE_LINES = 800
 MORE_LINES = "… [more lines]"
+#: Bytes of markup that a task takes apart.
+MARKUP_BYTES = 4 << 20
 
 
 def capped(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
@@ -318,9 +320,12 @@ def markup_elements(pages: DataFrame, keys: Sequence[str], html: str = "html") -
     A closing tag belongs to the last open one of its name: both have the same level in the running count of that name. An option holds
     text alone and ends with it. All windows share one exchange by page.
     """
-    pieces = F.regexp_extract_all(F.regexp_replace(F.coalesce(html, F.lit("")), _DROPPED, ""), F.lit(_PIECE), F.lit(0))
-    rows = pages.select(*keys, F.monotonically_increasing_id().alias("_page"), pieces.alias("_pieces"))
-    rows = rows.select(*keys, "_page", F.posexplode("_pieces").alias("pos", "piece")).repartition("_page")
+    pieces = F.regexp_extract_all(F.regexp_replace(F.coalesce(F.col("_html"), F.lit("")), _DROPPED, ""), F.lit(_PIECE), F.lit(0))
+    # A number of partitions that is given is kept: adaptive execution would join small ones, whose rows hold many times their size when sorted.
+    size = pages.agg(F.sum(F.octet_length(html))).first()[0] or 0
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, -(-size // MARKUP_BYTES))
+    rows = pages.select(*keys, F.col(html).alias("_html"), F.monotonically_increasing_id().alias("_page")).repartition(tasks, "_page")
+    rows = rows.select(*keys, "_page", F.posexplode(pieces).alias("pos", "piece"))
     tag = F.lower(F.regexp_extract("piece", "^</?([A-Za-z][A-Za-z0-9:-]*)", 1))
     rows = rows.withColumn("tag", tag).withColumn("closes", (F.col("tag") != "") & F.startswith("piece", F.lit("</")))
     rows = rows.withColumn("opens", (F.col("tag") != "") & ~F.col("closes"))

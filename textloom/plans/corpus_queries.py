@@ -113,7 +113,7 @@ _OUTLINE = """
 
 @query(_OUTLINE)
 def page_outline(spark, folder):
-    return corpus.page_outline(spread(load(spark, folder, "SELECT page_id, html FROM $pages")), ["page_id"])
+    return corpus.page_outline(load(spark, folder, "SELECT page_id, html FROM $pages"), ["page_id"])
 
 
 @query("""SELECT page_id, len(regexp_extract_all(html, '<a ')) AS links FROM $pages WHERE regexp_matches(html, '<a ')""")
@@ -125,9 +125,9 @@ def outline_links(spark, folder):
 
 @query(f"SELECT * FROM ({_OUTLINE}) o WHERE contains(line, '***')")
 def find_in_outline(spark, folder):
-    return corpus.find_in_outline(spread(load(spark, folder, "SELECT page_id, html FROM $pages")), ["page_id"], "***")
+    return corpus.find_in_outline(load(spark, folder, "SELECT page_id, html FROM $pages"), ["page_id"], "***")
 
 
 @query(f"SELECT * FROM ({_OUTLINE}) o WHERE regexp_matches(line, '(?i)link \".*the')")
 def find_links_in_outline(spark, folder):
-    return corpus.find_in_outline(spread(load(spark, folder, "SELECT page_id, html FROM $pages")), ["page_id"], 'link ".*the')
+    return corpus.find_in_outline(load(spark, folder, "SELECT page_id, html FROM $pages"), ["page_id"], 'link ".*the')
