@@ -184,6 +184,15 @@ def test_network_artifacts(spark, tmp_path):
     assert spark.range(1).select(readers.safe_id(F.lit("a:1/b.c-d"))).first()[0] == "a_1_b.c-d"
 
 
+def test_bundles_share_files(spark, tmp_path):
+    """Many bundles do not make many files, and a bundle without a name stays one."""
+    files = spark.range(400).selectExpr("nullif(id div 2, 7) AS bundle", "cast(id AS string) AS path", "'c' AS content").repartition(3, "bundle")
+    writers.unpack_bundle(files, str(tmp_path / "u"))
+    back = spark.read.parquet(str(tmp_path / "u"))
+    assert back.count() == 400 and back.where("bundle IS NULL").count() == 2 and dict(back.dtypes)["bundle"] == "bigint"
+    assert len(list((tmp_path / "u").rglob("*.parquet"))) <= 3
+
+
 def test_corpus_written(spark, tmp_path):
     """Odd names and texts come back, and files are dealt to folders by their number, not to a folder each."""
     rows = [(f"source=a%2Fb/doc_id={i}", "" if i == 7 else f"text {i}\nüß ") for i in range(50)] + [("plain", None)]
