@@ -230,6 +230,22 @@ def test_har(spark, tmp_path):
     assert json.loads("".join(p.read_text() for p in parts))["log"]["version"] == "1.2"
 
 
+def test_har_of_many_sessions(spark, tmp_path):
+    """Folders as Spark reads them, whatever the sessions are called; written again, a document replaces the one before; nothing passes a commit."""
+    names = ["a", "b/c", "d=e", "100%", "ü x", 'q"#\'*?:\\{[]^']
+    kind = "session STRING, request_id STRING, method STRING, url STRING, t0 BIGINT, done BIGINT, status INT, size BIGINT, mime STRING"
+    rows = [(n, f"r{i}", "GET", f"u{i}", 1000 + i, 1250, 200, 10, "text/html") for n in names for i in range(5)]
+    path = str(tmp_path / "h")
+    writers.export_har(spark.createDataFrame([("old", *r[1:]) for r in rows], kind), path)
+    writers.export_har(spark.createDataFrame(rows, kind), path)
+    back = spark.read.text(path).where("value LIKE '%startedDateTime%'").groupBy("session").count()
+    assert {r["session"]: r["count"] for r in back.collect()} == {n: 5 for n in names}
+    for folder in (tmp_path / "h").glob("session=*"):
+        whole = json.loads("".join(p.read_text() for p in sorted(folder.glob("part-*"))))
+        assert [e["request"]["url"] for e in whole["log"]["entries"]] == [f"u{i}" for i in range(5)]
+    assert not list((tmp_path / "h").rglob("_SUCCESS")) and not [p for p in (tmp_path / "h").rglob(".*")]
+
+
 def test_quarantine(spark, tmp_path):
     df = spark.createDataFrame([(1, True), (2, False)], "doc_id BIGINT, released BOOLEAN")
     writers.write_quarantine(df, str(tmp_path / "a"), str(tmp_path / "b"))
