@@ -105,3 +105,16 @@ def test_outline_tasks_do_not_grow_with_the_pages(spark, monkeypatch):
     out = corpus.page_outline(pages, ["id"])
     assert out.rdd.getNumPartitions() >= 31 and out.count() == 64
     assert corpus.page_outline(pages.where("false"), ["id"]).count() == 0
+
+
+def test_common_words_are_folded_after_they_are_counted(spark):
+    """Only the words that are common go through Python, not every word of every text."""
+    from textloom.operators import values
+
+    texts = spark.range(3000).selectExpr("concat('The w', id) AS text")
+    words = texts.select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").count().where("count > 100").select("word")
+    out = values.reject_common(spark.createDataFrame([("the",), ("w1",), (None,)], "value string"), words)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for n, line in enumerate(plan) if "nfc_lower" in line and any("Generate explode" in below for below in plan[n:n + 3])]
+    assert {r["value"]: r["problem"] for r in out.collect()} == {"the": "common word", "w1": None, None: None}
+    assert plan and sum("nfc_lower" in line for line in plan) == 2

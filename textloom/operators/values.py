@@ -149,8 +149,10 @@ def field_status(records: DataFrame, values: DataFrame, fields: tuple[str, ...]
 
 def reject_common(values: DataFrame, words: DataFrame) -> DataFrame:
     """Add ``problem``: why a value must not be stored. ``words`` (word) lists everyday words, in lower case."""
-    common = words.select(nfc_lower("word").alias("_word")).distinct().withColumn("_common", F.lit(True))
-    keyed = values.withColumn("_key", nfc_lower(js_trim(F.col("value"))))
+    # Marked as non-deterministic, or the test of the join for NULL would take the function below the counting of words, to all texts.
+    lowered = nfc_lower.asNondeterministic()
+    common = words.select(lowered(F.col("word")).alias("_word")).distinct().withColumn("_common", F.lit(True))
+    keyed = values.withColumn("_key", lowered(js_trim(F.col("value"))))
     joined = keyed.join(common, keyed["_key"] == common["_word"], "left")
     problem = value_problem(F.col("value"), F.coalesce("_common", F.lit(False)))
     return joined.withColumn("problem", problem).select(*values.columns, "problem")

@@ -273,7 +273,7 @@ def value_problems_all(spark, folder):
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), " ", -1))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     quarter = docs.agg(F.count("*") / 4).scalar()
     common = words.where(F.col("n") > quarter).select("word")
-    tried = docs.select(F.explode(F.split("text", " ", -1)).alias("value")).where("NOT value rlike '[^A-Za-z0-9]'").distinct()
+    tried = docs.select(F.explode(F.array_distinct(F.split("text", " ", -1))).alias("value")).where("NOT value rlike '[^A-Za-z0-9]'").distinct()
     return values.reject_common(tried, common)
 
 
