@@ -118,3 +118,43 @@ def test_common_words_are_folded_after_they_are_counted(spark):
     assert not [line for n, line in enumerate(plan) if "nfc_lower" in line and any("Generate explode" in below for below in plan[n:n + 3])]
     assert {r["value"]: r["problem"] for r in out.collect()} == {"the": "common word", "w1": None, None: None}
     assert plan and sum("nfc_lower" in line for line in plan) == 2
+
+
+def test_tasks_of_the_validator_do_not_grow_with_the_store(spark, monkeypatch):
+    """Index, tiers and tokens are dealt by their number of rows, whatever the session's number of shuffle partitions."""
+    from textloom import session
+    from textloom.operators import values
+    from textloom.plans import masking
+
+    monkeypatch.setattr(session, "ROWS_PER_SHARE", 100)
+    store = spark.range(1500).selectExpr("'f' || id % 5 AS family", "'m' || id AS member", "'name' AS path", "'Person ' || id AS value")
+    tokens = store.selectExpr("concat('@@@(', family, '.', member, '.name)') AS token")
+    names = ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    kept = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("false", "2")):
+            spark.conf.set(n, v)
+        index = values.fixed_index(store)
+        tiers = values.tiered_index(index)
+        genuine = masking.token_validator(tokens.unionByName(tokens.selectExpr("concat(token, 'x') AS token")), store, index, tiers)
+        for df in (index, tiers, genuine):
+            sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == 1500 and len(sizes) >= 10 and max(sizes) < 300
+    finally:
+        for n, v in zip(names, kept):
+            spark.conf.set(n, v)
+
+
+def test_tiers_of_values_in_many_families(spark):
+    """Families of one value are counted in several tasks; fields, counts and slots are those of all of them."""
+    from textloom.operators import values
+
+    rows = [(f"f{k}", "a", "nick" if k % 7 else "name", "Common") for k in range(200)] + [("f3", "b", "name", "Common"), ("f3", "b", "city", "Common")]
+    rows += [("f1", "a", "name", "Twice"), ("f1", "b", "nick", "TWICE"), ("f1", "b", "nick", "twice"), ("f2", "c", "name", "Once"), ("f2", None, "zone", "Famous")]
+    got = values.tiered_index(spark.createDataFrame(rows, "family STRING, member STRING, path STRING, value STRING")).collect()
+    assert {r["norm_key"]: (r["n_paths"], r["n_families"], r["tier"], r["fields"], sorted(r["slots"])) for r in got} == {
+        "t:common": (202, 200, 3, ["city", "name", "nick"], ["a.name"]),
+        "t:twice": (2, 1, 2, ["name", "nick"], ["a.name", "b.nick"]),
+        "t:once": (1, 1, 1, ["name"], ["c.name"]),
+        "t:famous": (1, 1, 1, ["zone"], ["zone"]),
+    }
