@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -265,6 +266,51 @@ def test_covers():
     assert len(suffix.difference_cover(273)) == 17
 
 
+def edge_contexts(groups, each):
+    """Rows of ``settle``: groups of contexts of one name, which agree from a place on that differs."""
+    rng = np.random.default_rng(3)
+    n = groups * each
+    raw = np.repeat(rng.integers(97, 123, (groups, 672), dtype=np.uint8), each, 0)
+    for row, k in zip(raw, rng.integers(0, 272, n).tolist(), strict=True):
+        row[:k] = rng.integers(97, 123, k, dtype=np.uint8)
+    columns = {"name": np.arange(n) // each, "uid": np.arange(n), "pos": np.full(n, 1000), "n": np.where(np.arange(n) % 5 == 0, 2, 1), "l": np.full(n, 272), "r": np.full(n, 272)}
+    return pa.table({k: pa.array(x, pa.int64()) for k, x in columns.items()} | {"raw": pa.array([x.tobytes() for x in raw], pa.binary())})
+
+
+@pytest.mark.parametrize(("groups", "each", "most"), [(7500, 4, 40), (1, 30_000, 100), (3, 10_000, 100)])
+def test_memory_of_settling(groups, each, most):
+    """A worker settles 30,000 contexts, in many groups or in one of the largest it takes, in few megabytes."""
+    import tracemalloc
+
+    cover, t = suffix.Cover(400), edge_contexts(groups, each)
+    tracemalloc.start()
+    whole = suffix.settle(t, cover)
+    at_once = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.reset_peak()
+    parts = list(suffix.settle_groups(iter(t.to_batches(max_chunksize=1024)), cover))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert whole.num_rows and at_once < 100 and peak < most
+    key = lambda x: sorted(zip(*x.to_pydict().values(), strict=True))
+    assert key(pa.Table.from_batches(parts)) == key(whole)
+
+
+def test_contexts_of_long_texts():
+    """A text with very many places gives its contexts in batches of bounded size."""
+    cover, rng = suffix.Cover(400), np.random.default_rng(4)
+    raws = [rng.bytes(k) for k in (500, 300_000, 400)]
+    places = [np.arange(0, len(x) - cover.width + 1, 11).tolist() for x in raws]
+    found = pa.array([[{"name": p * 7, "pos": p, "n": 1 + p % 2} for p in x] for x in places], pa.list_(pa.struct([(k, pa.int64()) for k in ("name", "pos", "n")])))
+    out = list(suffix.surroundings(iter([pa.RecordBatch.from_arrays([pa.array([5, 6, 9]), pa.array(raws, pa.binary()), found], ["uid", "raw", "found"])]), cover))
+    assert max(x.num_rows for x in out) <= 4096
+    want = []
+    for uid, raw, x in zip((5, 6, 9), raws, places, strict=True):
+        for p in x:
+            lo, hi = max(0, p - 272), min(len(raw), p + 128 + 272)
+            want.append((p * 7, uid, p, 1 + p % 2, p - lo, hi - p - 128, raw[lo:hi]))
+    assert list(zip(*pa.Table.from_batches(out).to_pydict().values(), strict=True)) == want
+
+
 # Content-defined chunks
 
 
