@@ -57,6 +57,23 @@ def test_a_frequent_value_is_dealt_to_several_tasks(spark):
     assert {r["decision"] for r in rows} == {"allow"} and len(rows) > 2 and sum(r["count"] for r in rows) == 4000
 
 
+def test_many_decisions_stay_off_the_driver(spark, monkeypatch):
+    """Decisions are broadcast by their number, not by what Spark takes their size to be."""
+    from textloom.operators import shapes
+
+    matches = spark.range(4000).selectExpr("if(id % 2 = 0, 's', 't') AS source", "id AS doc_id", "cast(id % 500 AS STRING) AS norm_value")
+    made = spark.range(300).selectExpr("if(id < 200, '*', 's') AS source", "cast(id AS STRING) AS norm_value", "if(id % 3 = 0, 'allow', 'mask') AS decision")
+    decided = made.union(spark.createDataFrame([("s", "0", "mask"), ("*", None, "mask"), ("t", "450", "what")], "source STRING, norm_value STRING, decision STRING"))
+    word = lambda r: ("allow" if int(r[1]) % 3 == 0 else "mask") if int(r[1]) < (300 if r[0] == "s" else 200) else "pending"
+    for few in (0, 150, 1000):
+        monkeypatch.setattr(shapes, "FEW_DECISIONS", few, raising=False)
+        out = shapes.apply_decisions(matches, decided)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert (plan.count("BroadcastHashJoin"), plan.count("SortMergeJoin")) == {0: (0, 2), 150: (1, 1), 1000: (2, 0)}[few]
+        rows = out.collect()
+        assert len(rows) == 4000 and all(r["decision"] == word((r["source"], r["norm_value"])) for r in rows)
+
+
 def test_lookups_of_tokens_stay_off_the_driver(spark):
     from textloom.operators import shapes
 

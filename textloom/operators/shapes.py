@@ -28,6 +28,8 @@ DECISIONS = ("allow", "mask")
 SMALL_DECISIONS, DECISION_CHARS = 200_000, 32_000_000
 #: Tasks that matches of one value are dealt to at most.
 DEALT = 16
+#: Decisions that a join with matches broadcasts at most, and their characters. Spark would go by the size of their files, or by bytes after compression.
+FEW_DECISIONS, FEW_CHARS = 10_000, 1_000_000
 DECIDED = MATCH.replace("rank:int", "rank:int,decision:string")
 
 
@@ -60,24 +62,30 @@ def fixed_decisions(decisions: DataFrame) -> DataFrame:
 def apply_decisions(matches: DataFrame, decisions: DataFrame) -> DataFrame:
     """Add ``decision``: one made for all sources, else one made for this source, else ``pending``.
 
-    A value that most texts hold is dealt to ``DEALT`` tasks.
+    A value that most texts hold is dealt to ``DEALT`` tasks. No more than ``FEW_DECISIONS`` are gathered on the driver.
     """
-    return _apply_fixed(matches, fixed_decisions(decisions))
+    return _apply_fixed(matches, cut_lineage(fixed_decisions(decisions)))
 
 
 def _apply_fixed(matches: DataFrame, unique: DataFrame) -> DataFrame:
-    dealt = unique.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
-    general = dealt.where(F.col("source") == "*").select("norm_value", "_deal", F.col("decision").alias("_general"))
-    local = dealt.where(F.col("source") != "*").withColumnRenamed("decision", "_local")
+    general = unique.where("source = '*'").select("norm_value", F.col("decision").alias("_general"))
+    local = unique.where("source <> '*'").withColumnRenamed("decision", "_local")
     mixed = matches.withColumn("_deal", F.pmod(F.hash(*matches.columns), F.lit(DEALT)).cast("int"))
     return (
-        mixed.join(general, ["norm_value", "_deal"], "left")
-        .join(local, ["source", "norm_value", "_deal"], "left")
+        _look_up(_look_up(mixed, general, ["norm_value"]), local, ["source", "norm_value"])
         .withColumn("decision", F.coalesce("_general", "_local", F.lit("pending")))
         .select(*matches.columns, "decision")
     )
 
 
+def _look_up(mixed: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    rows, chars = known.agg(F.count("*"), F.sum(F.length(F.concat(*keys)))).first()
+    if rows <= FEW_DECISIONS and (chars or 0) <= FEW_CHARS:
+        return mixed.join(F.broadcast(known), keys, "left")
+    dealt = known.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    return mixed.join(dealt.hint("merge"), [*keys, "_deal"], "left")
+
+
 def mask_counts(decided: DataFrame, keys: list[str]) -> DataFrame:
     """Masked, allowed and pending matches per key."""
     return decided.groupBy(*keys).agg(
