@@ -74,6 +74,19 @@ def test_many_decisions_stay_off_the_driver(spark, monkeypatch):
         assert len(rows) == 4000 and all(r["decision"] == word((r["source"], r["norm_value"])) for r in rows)
 
 
+def test_counts_of_decided_matches_stay_off_the_driver(spark, tmp_path):
+    """The query broadcasts a few decisions about single sources, not the many that grow with the orders."""
+    from textloom.plans import identifiers_queries
+
+    spark.range(12_000).selectExpr("id o_orderkey", "id DIV 3 o_custkey", "if(id % 4 = 0, '1-URGENT', '5-LOW') o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(4000).selectExpr("id c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    out = identifiers_queries.mask_counts(spark, str(tmp_path))
+    counts = {r["source"]: (r["masked"], r["allowed"], r["pending"]) for r in out.collect()}
+    assert "SortMergeJoin" in (plan := out._jdf.queryExecution().executedPlan().toString()) and plan.count("BroadcastHashJoin") <= 2  # the plan and what it was at first
+    assert {s: sum(n) for s, n in counts.items()} == {"1-URGENT": 15_000, "5-LOW": 45_000}
+    assert counts["5-LOW"][0] > 18_000 and counts["5-LOW"][1] >= 18_000 and counts["5-LOW"][2] > counts["1-URGENT"][2] * 3
+
+
 def test_lookups_of_tokens_stay_off_the_driver(spark):
     from textloom.operators import shapes
 
