@@ -98,6 +98,24 @@ def test_lookups_of_tokens_stay_off_the_driver(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_texts_meet_their_values_in_one_shuffle(spark, monkeypatch):
+    """Buckets ask for each of their tokens once; no key made of the text travels with every token."""
+    from textloom.operators import shapes
+
+    monkeypatch.setattr(shapes, "ROWS_PER_TASK", 50, raising=False)
+    monkeypatch.setattr(shapes, "ASKED", 30, raising=False)
+    token = lambda n: f"⟦wall:{n:016x}⟧"
+    text = lambda n: f"{token(n)} é {token(n % 7)}, {token(5000 + n)} {token(n)}. ⟦wall:x⟧" if n % 10 else ("plain", None)[n % 20 // 10]
+    rows = [(n % 5 or None, text(n), {"n": str(n)}) for n in [*range(300), *[3] * 200]]
+    vault = [(f"v\\1${n}", token(n)) for n in range(300)] + [("z", token(3)), (None, token(5001))]
+    texts = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, more MAP<STRING, STRING>")
+    out = shapes.vault_resolve(texts, spark.createDataFrame(vault, "value STRING, token STRING"), "doc_id")
+    assert "sha2(" not in out._jdf.queryExecution().optimizedPlan().toString() and out.columns == texts.columns
+    back = lambda t, n: t and t.replace(token(n), f"v\\1${n}").replace(token(n % 7), f"v\\1${n % 7}")
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, out.collect())) == sorted(key((k, back(t, int(m["n"])), m)) for k, t, m in rows)
+
+
 def test_a_store_stays_off_the_driver(spark):
     from textloom.operators import values
 
