@@ -251,3 +251,22 @@ def test_quarantine(spark, tmp_path):
     writers.write_quarantine(df, str(tmp_path / "a"), str(tmp_path / "b"))
     assert spark.read.parquet(str(tmp_path / "a")).first()[0] == 1
     assert spark.read.parquet(str(tmp_path / "b")).first()[0] == 2
+
+
+def test_quarantine_keeps_no_copy(spark, tmp_path):
+    """Rows wait in compressed files that are gone afterwards, and a run may read what it replaces."""
+    root, good, bad = tmp_path / "shared", str(tmp_path / "a"), str(tmp_path / "b")
+    kept = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(root))
+    try:
+        rows = spark.range(20_000).selectExpr("id AS doc_id", "repeat('some text ', 40) AS text", "CASE WHEN id % 5 > 1 THEN true WHEN id % 5 = 1 THEN false END AS released")
+        writers.write_quarantine(rows, good, bad, "x")
+        again = spark.read.parquet(bad).drop("run").withColumn("released", F.col("doc_id") % 2 == 1)
+        writers.write_quarantine(again, good, bad, "x")
+        assert {r["released"] for r in spark.read.parquet(good).select("released").distinct().collect()} == {True}
+        assert [spark.read.parquet(p).where("run = 'x'").count() for p in (good, bad)] == [2000, 2000]
+        writers.write_quarantine(spark.read.parquet(bad).drop("run").where("released"), good, bad, "x")
+        assert [spark.read.parquet(p).count() for p in (good, bad)] == [0, 0]
+        assert not [p for p in root.rglob("*") if p.is_file()]
+    finally:
+        spark.sparkContext.setCheckpointDir(kept.rpartition("/")[0])
