@@ -270,3 +270,32 @@ def test_quarantine_keeps_no_copy(spark, tmp_path):
         assert not [p for p in root.rglob("*") if p.is_file()]
     finally:
         spark.sparkContext.setCheckpointDir(kept.rpartition("/")[0])
+
+
+def test_corpus_of_small_files_is_read_in_few_tasks(spark, tmp_path, monkeypatch):
+    """A task reads many small files. What is listed and read is what Spark lists and reads, in a folder of any name."""
+    root = tmp_path / "a b%20ü#1"
+    names = [f"{i}/{'é' if i % 2 else 'x y'}/doc={i}" for i in range(300)] + ["top.txt", "d.e/.hidden", "_no/a.txt", "_k=v/a.txt", ".git/a.txt", "n/node_modules/b.js", "n/a._COPYING_", "n/x.bin", "n/deep/er/y.PY"]
+    for n, name in enumerate(names):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"t\0" if n == 5 else f"text {n} é".encode() * (n % 3))
+    key = lambda df: sorted(map(str, df.collect()))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    try:
+        assert readers.read_corpus(spark, str(root)).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    got = {k: [key(readers.read_corpus(spark, p, *k)) for p in (str(root), f"{root}/")] for k in ((), (9, None), (None, 2))}
+    monkeypatch.setattr(readers, "corpus_listing", lambda *a: None, raising=False)
+    for k, rows in got.items():
+        want = key(readers.read_corpus(spark, str(root), *k))
+        assert rows == [want, want] and len(want) == 201
+    monkeypatch.undo()
+    monkeypatch.setattr(readers, "FILES_PER_TASK", 20, raising=False)
+    monkeypatch.setattr(readers, "BYTES_HELD", 40, raising=False)
+    assert key(readers.read_corpus(spark, str(root))) == got[()][0] and readers.read_corpus(spark, str(root)).rdd.getNumPartitions() >= 10
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.read_corpus(spark, str(tmp_path / "none"))
+    (tmp_path / "empty").mkdir()
+    assert readers.read_corpus(spark, str(tmp_path / "empty")).count() == 0

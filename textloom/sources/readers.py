@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +26,8 @@ TEXT_SUFFIXES = (
     ".css", ".scss", ".sql", ".toml", ".ini", ".env", ".gitignore", "",
 )
 SAMPLE_BYTES = 8192
+#: Files and bytes that a task reads of a corpus, and bytes that it holds at a time.
+FILES_PER_TASK, BYTES_PER_TASK, BYTES_HELD = 5000, 1 << 26, 1 << 23
 MAX_SAFE_INTEGER = 2**53 - 1
 STORE_DEPTH = 8
 EVENT_SCHEMA = "session STRING, seq BIGINT, t BIGINT, type STRING, payload VARIANT"
@@ -329,15 +336,99 @@ def read_bundle(spark: SparkSession, path: str, form: str = "header", delimiter:
 # ── corpus and network artefacts ──────────────────────────────────────────────
 
 
+def open_folder(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, given as a path or a URI, and the path there."""
+    return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+
+
+def hidden(name: str) -> bool:
+    """Whether Spark passes over files and folders of this name."""
+    return (name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name) and not name.startswith(("_metadata", "_common_metadata"))
+
+
+def _listed(system: fs.FileSystem, folder: str) -> tuple[list[str], list[tuple[str, int]]]:
+    """Folders, and files with their bytes, that lie in a folder and are not hidden. Empty files have no rows in Spark's readers either."""
+    found = [i for i in system.get_file_info(fs.FileSelector(folder)) if not hidden(i.base_name)]
+    return [i.path for i in found if i.type == fs.FileType.Directory], [(i.path, i.size) for i in found if i.type == fs.FileType.File and i.size]
+
+
+def corpus_listing(spark: SparkSession, root: str) -> tuple[str, DataFrame] | None:
+    """The folder as a URI, and (path, length) of the files below it. None for a folder that pyarrow does not open, and for a pattern.
+
+    The driver lists the upper folders until all cores have some to list, and holds no list of the files below those.
+    """
+    if re.search(r"[*?{\[\\]", root):
+        return None
+    try:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        whole = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+        uri = quote(whole, safe="/:@,;=+&!$'()~")
+        system, base = open_folder(uri)
+        if system.get_file_info(base).type != fs.FileType.Directory:
+            return None
+    except (Py4JJavaError, OSError, ValueError, NotImplementedError):
+        return None
+    wanted, folders, files = 8 * spark.sparkContext.defaultParallelism, [base], []
+    while folders and len(folders) < wanted:
+        listed = [_listed(system, f) for f in folders]
+        folders = [f for inner, _ in listed for f in inner]
+        files += [f for _, here in listed for f in here]
+    kind, cut = pa.schema([("path", pa.string()), ("length", pa.int64())]), len(base.rstrip("/")) + 1
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = open_folder(uri)
+        for batch in batches:
+            open_folders = batch.column("folder").to_pylist()
+            while open_folders:
+                inner, here = _listed(system, open_folders.pop())
+                open_folders += inner
+                if here:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([p[cut:] for p, _ in here], [n for _, n in here]), kind)], schema=kind)
+
+    # The driver's list is of folders, not of files, unless all files lie in the upper ones.
+    upper = spark.createDataFrame(pa.Table.from_arrays([pa.array([p[cut:] for p, _ in files], pa.string()), pa.array([n for _, n in files], pa.int64())], schema=kind))
+    lower = spark.createDataFrame(pa.table({"folder": pa.array(folders, pa.string())})).repartition(max(1, min(len(folders), wanted)))
+    return uri, upper.unionByName(lower.mapInArrow(below, "path string, length long"))
+
+
+def read_files(listing: DataFrame, uri: str) -> DataFrame:
+    """(path, length, content) of listed files, in tasks of a bounded number of files and bytes."""
+    n, size = listing.agg(F.count("*"), F.sum("length")).first()
+    parts = max(listing.sparkSession.sparkContext.defaultParallelism, -(-n // FILES_PER_TASK), -(-(size or 0) // BYTES_PER_TASK))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = open_folder(uri)
+        base, names = base.rstrip("/"), ["path", "length", "content"]
+        paths, lengths, contents, held = [], [], [], 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(lengths, pa.int64()), pa.array(contents, pa.binary())], names)
+        for batch in batches:
+            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+                if paths and held + length > BYTES_HELD:
+                    yield out()
+                    paths, lengths, contents, held = [], [], [], 0
+                with system.open_input_stream(f"{base}/{path}") as file:
+                    contents.append(file.read())
+                paths.append(path)
+                lengths.append(length)
+                held += length
+        if paths:
+            yield out()
+
+    return listing.select("path", "length").repartition(parts).mapInArrow(read, "path string, length long, content binary")
+
+
 def read_corpus(spark: SparkSession, root: str, max_bytes: int | None = None, max_depth: int | None = None) -> DataFrame:
     """(path, bytes, text, is_binary, skipped) of the text files below ``root``.
 
     No text for binary files. With limits, the text of larger files and files in deeper folders is not read, and ``skipped`` says
-    ``size`` or ``depth``; every file keeps its row. Content is scanned apart, behind a pushed limit on the length.
+    ``size`` or ``depth``; every file keeps its row. Tasks list the files and read those that are wanted, many small ones each. A folder that
+    only Spark opens is read by Spark, a few files to a task.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    listing = corpus_listing(spark, root)
     base = re.sub(r"^file:/*", "", root.rstrip("/"))
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", ""), "^/?" + re.escape(base.lstrip("/")) + "/", "")
+    below = F.regexp_replace(F.regexp_replace("path", "^file:/*", ""), "^/?" + re.escape(base.lstrip("/")) + "/", "")
+    rel = F.col("path") if listing else below
+    files = listing[1] if listing else spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     folders = F.slice(F.split(rel, "/"), F.lit(1), F.size(F.split(rel, "/")) - 1)
     name = F.element_at(F.split(rel, "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"^.+(\.[^.]*)$", 1))
@@ -348,7 +439,8 @@ def read_corpus(spark: SparkSession, root: str, max_bytes: int | None = None, ma
     rows = lambda df, content, binary: df.select(rel.alias("path"), F.col("length").alias("bytes"), content.alias("text"), binary.alias("is_binary"), skipped.alias("skipped"))
     # A binary file has a zero byte near its start.
     binary = F.position(F.lit(bytearray(b"\0")), F.substring("content", 1, SAMPLE_BYTES)) > 0
-    read = rows(wanted.where(~large & ~deep), F.when(~binary, F.expr("decode(content, 'UTF-8')")), binary)
+    whole = wanted.where(~large & ~deep)
+    read = rows(read_files(whole, listing[0]) if listing else whole, F.when(~binary, F.expr("decode(content, 'UTF-8')")), binary)
     if max_bytes is None and max_depth is None:
         return read
     return read.unionByName(rows(wanted.where(large | deep), F.lit(None).cast("string"), F.lit(None).cast("boolean")))
