@@ -137,6 +137,26 @@ def test_windows_of_large_store_searched_once(spark):
     assert len(got) == 40 and all(t.startswith("@@@(f1.a.name) of ###{city across 2 families incl. f1 #") for t in got)
 
 
+def test_spans_of_large_store_are_dealt_once(spark, monkeypatch):
+    """What is found in a text travels with a short key, and once."""
+    import re
+
+    from textloom.plans import masking
+
+    kept, write = {}, masking.written
+    monkeypatch.setattr(masking, "written", lambda df, label: kept.setdefault(label, write(kept.setdefault(label + " made", df), label)))
+    store = [("f1", "a", "name", "Anna Smith"), ("f1", "b", "nick", "Anna Smith"), ("f1", "a", "phone", "555-0101"), ("f1", "a", "city", "Springfield"), ("f2", "b", "city", "SPRINGFIELD")]
+    texts = ["Anna Smith of Springfield, tel 5550101", "springfield", None, "", "nothing", "###{city across 2 families #0123456789abcdef} Springfield", "Anna Smith of Springfield, tel 5550101"]
+    docs = spark.createDataFrame([(n % 3 or None, t) for n, t in enumerate(texts)], "doc_id LONG, text STRING")
+    values = spark.createDataFrame(store, "family STRING, member STRING, path STRING, value STRING")
+    both = [sorted(map(str, masking.mask_known(docs, values, "k", small_store=n).collect())) for n in (0, 1000)]
+    assert both[0] == both[1] and sum("###{a.name, b.nick in f1} of ###{city across 2 families incl. f1 #" in r for r in both[0]) == 2
+    chosen = kept["chosen"]
+    assert dict(chosen.dtypes)["_row"] == "binary" and {len(r["_row"]) for r in chosen.collect()} == {16}
+    assert not re.search(r"hashpartitioning\(_row#\d+, start", kept["chosen made"]._jdf.queryExecution().executedPlan().toString())
+    assert {(s["tier"], s["key"]) for r in chosen.collect() for s in r["_found"]} == {(1, None), (2, None), (3, "t:springfield")}
+
+
 def test_store_is_read_by_all_cores(spark, tmp_path):
     from textloom.plans import identifiers_queries
 
